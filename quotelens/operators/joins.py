@@ -1,0 +1,24 @@
+"""Join helpers: broadcast only behind a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when its counted rows are at most this.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Return ``broadcast(small)`` when its row count is proven small,
+    otherwise ``small`` unchanged (a shuffle join, AQE may still convert
+    it at run time). ``small`` is cached first so the count and the join
+    read the same rows once."""
+    small = small.cache()
+    n = small.count()
+    return F.broadcast(small) if n <= max_rows else small
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    return big.join(checked_broadcast(small, max_rows), on=on, how=how)
