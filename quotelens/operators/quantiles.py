@@ -74,13 +74,21 @@ def sorted_quantiles(df: DataFrame, keys: list[str], value: str,
     return out
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows in the largest group (one partial-aggregated count pass)."""
+    if not keys:
+        return df.count()
+    m = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return int(m or 0)
+
+
 def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column],
                   quantiles: list[tuple[str, str, float]], in_memory: bool | None = None) -> DataFrame:
     """``groupBy(keys).agg(*aggs, <quantiles>)`` with exact quantiles.
 
     ``quantiles`` holds (output name, value column, probability)."""
     if in_memory is None:
-        in_memory = df.count() <= INMEMORY_MAX_ROWS
+        in_memory = largest_group(df, keys) <= INMEMORY_MAX_ROWS
     if in_memory:
         qcols = [F.percentile(F.col(v), F.lit(float(p))).alias(n) for n, v, p in quantiles]
         return df.groupBy(*keys).agg(*aggs, *qcols)

@@ -180,3 +180,48 @@ def enriched_cte() -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c for c in ctes if c)
+
+
+def m0_oof_cte() -> str:
+    """M0 out-of-fold predictions in SQL (needs ``eq``)."""
+    return f"""
+    folds AS (SELECT CAST(range AS INTEGER) AS k FROM range({S.N_FOLDS})),
+    train AS (SELECT f.k, e.* FROM eq e JOIN folds f ON e.fold <> f.k),
+    m0st AS (
+      SELECT k, 'global' AS dim, '*' AS level, unit_price FROM train
+      UNION ALL SELECT k, 'part', base_part_type, unit_price FROM train
+      UNION ALL SELECT k, 'material', material, unit_price FROM train
+      UNION ALL SELECT k, 'process', process, unit_price FROM train
+      UNION ALL SELECT k, 'rush', CAST(rush_job AS VARCHAR), unit_price FROM train),
+    m0med AS (SELECT k, dim, level, quantile_cont(unit_price, 0.5) AS med FROM m0st WHERE level IS NOT NULL GROUP BY k, dim, level),
+    m0glob AS (SELECT k, med AS global_median FROM m0med WHERE dim = 'global'),
+    m0rush AS (SELECT k, max(CASE WHEN level = 'true' THEN med END) / max(CASE WHEN level = 'false' THEN med END) AS rm
+               FROM m0med WHERE dim = 'rush' GROUP BY k),
+    m0slope AS (SELECT k, regr_slope(ln(unit_price), ln(CAST(quantity AS DOUBLE))) AS slope FROM train GROUP BY k),
+    m0sc AS (SELECT g.k, g.global_median, COALESCE(s.slope, {_d(S.M0_DEFAULT_SLOPE)}) AS slope,
+                    COALESCE(r.rm, {_d(S.M0_DEFAULT_RUSH)}) AS rush_multiplier
+             FROM m0glob g LEFT JOIN m0slope s ON s.k = g.k LEFT JOIN m0rush r ON r.k = g.k),
+    m0lv AS (SELECT m.k, m.dim, m.level, CASE WHEN m.dim = 'part' THEN m.med ELSE m.med / g.global_median END AS value
+             FROM m0med m JOIN m0glob g ON g.k = m.k WHERE m.dim IN ('part', 'material', 'process')),
+    oof AS (
+      SELECT e.quote_id, e.fold, 'M0' AS model, e.total_price_usd AS actual,
+        COALESCE(pm.value, sc.global_median) * COALESCE(mf.value, {_d(1.0)}) * COALESCE(pf.value, {_d(1.0)})
+          * pow(CAST(e.quantity AS DOUBLE), {_d(1.0)} + sc.slope)
+          * CASE WHEN e.rush_job THEN sc.rush_multiplier ELSE {_d(1.0)} END AS pred,
+        e.material, e.part_description, e.base_part_type, e.quantity, e.estimator, e.rush_job, e.quote_date
+      FROM eq e JOIN m0sc sc ON sc.k = e.fold
+        LEFT JOIN m0lv pm ON pm.k = e.fold AND pm.dim = 'part' AND pm.level = e.base_part_type
+        LEFT JOIN m0lv mf ON mf.k = e.fold AND mf.dim = 'material' AND mf.level = e.material
+        LEFT JOIN m0lv pf ON pf.k = e.fold AND pf.dim = 'process' AND pf.level = e.process)"""
+
+
+def fold_metrics_cte(src: str = "oof") -> str:
+    return f"""
+    fm AS (
+      SELECT model, fold, avg(abs(actual - pred) / abs(actual)) * 100 AS MAPE,
+        quantile_cont(abs(actual - pred) / abs(actual), 0.5) * 100 AS MedAPE,
+        sqrt(avg((actual - pred) * (actual - pred))) AS RMSE,
+        CASE WHEN var_pop(actual) * count(*) > 0
+             THEN 1.0 - sum((actual - pred) * (actual - pred)) / (var_pop(actual) * count(*)) ELSE 0.0 END AS R2,
+        count(*) AS n
+      FROM {src} GROUP BY model, fold)"""
