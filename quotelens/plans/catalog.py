@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_models, q_profile  # noqa: F401
+from . import q_models, q_profile, q_quality  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -225,3 +225,28 @@ def fold_metrics_cte(src: str = "oof") -> str:
              THEN 1.0 - sum((actual - pred) * (actual - pred)) / (var_pop(actual) * count(*)) ELSE 0.0 END AS R2,
         count(*) AS n
       FROM {src} GROUP BY model, fold)"""
+
+
+def dirty_cte() -> str:
+    """The dirty view and the request rows (needs ``quotes``)."""
+    from ..sources import quotes as Q
+    h = hash_sql("quote_id")
+    return f"""
+    dq0 AS (SELECT *, {h} % {Q.DIRTY_MODULUS} AS _r FROM quotes),
+    dq1 AS (
+      SELECT quote_id, quote_date,
+        CASE WHEN _r = 8 THEN part_description || {_s(Q.DIRTY_NON_ASCII_SUFFIX)} WHEN _r = 9 THEN '' ELSE part_description END AS part_description,
+        CASE WHEN _r = 3 THEN 'Unobtanium' ELSE material END AS material,
+        CASE WHEN _r = 4 THEN 'Laser' ELSE process END AS process,
+        CASE WHEN _r = 2 THEN 7 ELSE quantity END AS quantity,
+        CASE WHEN _r = 6 THEN 0 ELSE lead_time_weeks END AS lead_time_weeks,
+        CASE WHEN _r = 1 THEN NULL ELSE rush_job END AS rush_job,
+        CASE WHEN _r = 5 THEN 'Mori-san' ELSE estimator END AS estimator,
+        CASE WHEN _r = 0 THEN {_d(-1.0)} ELSE total_price_usd END AS total_price_usd,
+        _r
+      FROM dq0),
+    dirty AS (SELECT * EXCLUDE (_r) FROM dq1 UNION ALL SELECT * EXCLUDE (_r) FROM dq1 WHERE _r = 7),
+    requests AS (
+      SELECT DISTINCT quote_id AS request_id, part_description, material, process, quantity, rush_job, lead_time_weeks,
+        CASE WHEN {h} % 20 = 0 THEN NULL ELSE estimator END AS estimator, quote_date
+      FROM dirty WHERE {h} % 10 = 0 OR {h} % {Q.DIRTY_MODULUS} < 10)"""

@@ -159,3 +159,47 @@ def load_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "orders"),
         read_table(spark, sf_dir, "part"),
     )
+
+
+# ---- FIXED VALUES: planted defects of the dirty view (h % 997) -------------
+DIRTY_MODULUS = 997
+DIRTY_NON_ASCII_SUFFIX = " ü"
+
+
+def _h() -> Column:
+    return F.conv(F.substring(F.md5(F.col("quote_id")), 1, 8), 16, 10).cast("bigint")
+
+
+def dirty_quotes(quotes: DataFrame) -> DataFrame:
+    """Deterministic defects for the quality rules: bad price, NULL rush,
+    bad quantity, unknown material / process / estimator, lead time 0,
+    duplicated rows, non-ASCII and blank descriptions."""
+    r = F.pmod(_h(), F.lit(DIRTY_MODULUS))
+    d = quotes.withColumn("_r", r).select(
+        "quote_id", "quote_date",
+        F.when(F.col("_r") == 8, F.concat(F.col("part_description"), F.lit(DIRTY_NON_ASCII_SUFFIX)))
+        .when(F.col("_r") == 9, F.lit("")).otherwise(F.col("part_description")).alias("part_description"),
+        F.when(F.col("_r") == 3, F.lit("Unobtanium")).otherwise(F.col("material")).alias("material"),
+        F.when(F.col("_r") == 4, F.lit("Laser")).otherwise(F.col("process")).alias("process"),
+        F.when(F.col("_r") == 2, F.lit(7)).otherwise(F.col("quantity")).alias("quantity"),
+        F.when(F.col("_r") == 6, F.lit(0)).otherwise(F.col("lead_time_weeks")).alias("lead_time_weeks"),
+        F.when(F.col("_r") == 1, F.lit(None).cast("boolean")).otherwise(F.col("rush_job")).alias("rush_job"),
+        F.when(F.col("_r") == 5, F.lit("Mori-san")).otherwise(F.col("estimator")).alias("estimator"),
+        F.when(F.col("_r") == 0, F.lit(-1.0)).otherwise(F.col("total_price_usd")).alias("total_price_usd"),
+        "_r")
+    return d.unionByName(d.where(F.col("_r") == 7)).drop("_r")
+
+
+def load_dirty_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dirty_quotes(load_quotes(spark, sf_dir))
+
+
+def quote_requests(dirty: DataFrame) -> DataFrame:
+    """Quote requests (Q1, V12, V13, ST1): every tenth quote plus every
+    planted defect, price dropped, estimator absent for every twentieth."""
+    h = _h()
+    return dirty.where((F.pmod(h, F.lit(10)) == 0) | (F.pmod(h, F.lit(DIRTY_MODULUS)) < 10)).select(
+        F.col("quote_id").alias("request_id"), "part_description", "material", "process", "quantity",
+        "rush_job", "lead_time_weeks",
+        F.when(F.pmod(h, F.lit(20)) == 0, F.lit(None).cast("string")).otherwise(F.col("estimator")).alias("estimator"),
+        "quote_date").dropDuplicates(["request_id"])
