@@ -148,22 +148,28 @@ def _ridge_solution(gz, zy, yyc, n, alpha):
     return beta, max(rss, 0.0) / n
 
 
-def _lasso_cd(gn: np.ndarray, bn: np.ndarray, alpha: float, beta0=None, tol=1e-4, max_iter=10000):
-    """min 1/2 b'Gb - b'c + alpha |b|_1 (G, c already divided by n)."""
+def _lasso_cd(gn: np.ndarray, bn: np.ndarray, alpha: float, beta0=None, tol=1e-10, max_iter=20000):
+    """min 1/2 b'Gb - b'c + alpha |b|_1 (G, c already divided by n) by
+    accelerated proximal gradient (FISTA) -- vectorized p x p products on
+    the driver; the fitted values of a lasso are unique, so any exact
+    solver gives the same predictions."""
     p = len(bn)
+    lip = float(np.linalg.eigvalsh(gn)[-1]) if p else 0.0
+    if lip <= 0:
+        return np.zeros(p)
+    step = 1.0 / lip
     beta = np.zeros(p) if beta0 is None else beta0.copy()
-    diag = np.diag(gn)
+    yv, t = beta.copy(), 1.0
     for _ in range(max_iter):
-        max_delta = 0.0
-        for j in range(p):
-            if diag[j] <= 0:
-                continue
-            rho = bn[j] - gn[j] @ beta + diag[j] * beta[j]
-            new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / diag[j]
-            max_delta = max(max_delta, abs(new - beta[j]))
-            beta[j] = new
-        if max_delta < tol * max(1e-12, np.max(np.abs(beta)) if np.any(beta) else 1.0):
+        g = gn @ yv - bn
+        z = yv - step * g
+        new = np.sign(z) * np.maximum(np.abs(z) - step * alpha, 0.0)
+        t_new = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
+        yv = new + ((t - 1.0) / t_new) * (new - beta)
+        if np.max(np.abs(new - beta)) <= tol * max(1.0, np.max(np.abs(new))):
+            beta = new
             break
+        beta, t = new, t_new
     return beta
 
 

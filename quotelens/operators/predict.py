@@ -97,12 +97,23 @@ def detect_ood(rows: DataFrame, bounds: DataFrame, id_col: str = "request_id") -
                     F.size(r).alias("n_reasons"))
 
 
+def array_median(arr: Column) -> Column:
+    """Median of a small array (linear interpolation of the two middle
+    values), for groups bounded by the number of models."""
+    a = F.array_sort(F.filter(arr, lambda x: x.isNotNull()))
+    n = F.size(a)
+    lo = F.element_at(a, ((n - 1) / 2).cast("int") + 1)
+    hi = F.element_at(a, (n / 2).cast("int") + 1)
+    return F.when(n > 0, (lo + hi) / 2)
+
+
 def model_disagreement(preds: DataFrame, key: str = "quote_id") -> DataFrame:
     """A20 + R9: per row min, max, median over models, spread % =
     (max - min) / median, flag > 20 %. Groups are one row's models, so
     the in-memory median is bounded by the number of models."""
     g = preds.groupBy(key).agg(F.min("pred").alias("min_pred"), F.max("pred").alias("max_pred"),
-                               F.median("pred").alias("median_pred"), F.count("pred").alias("n_models"))
+                               array_median(F.collect_list("pred")).alias("median_pred"),
+                               F.count("pred").alias("n_models"))
     spread = (F.col("max_pred") - F.col("min_pred")) / F.col("median_pred") * 100
     return g.select(key, "min_pred", "max_pred", "median_pred", "n_models", spread.alias("spread_pct"),
                     (spread > 20).alias("flagged"))
@@ -116,16 +127,19 @@ def recommendation(preds: DataFrame, band: DataFrame | None = None, key: str = "
     top = S.TOP_TIER_LINEAR + S.TOP_TIER_TREE
     is_top = F.col("model").isin(*top)
     g = preds.groupBy(key).agg(
-        F.median(F.when(is_top, F.col("pred"))).alias("_top_med"),
+        array_median(F.collect_list(F.when(is_top, F.col("pred")))).alias("_top_med"),
         F.max(F.when(is_top, F.col("pred"))).alias("_top_max"),
         F.min(F.when(is_top, F.col("pred"))).alias("_top_min"),
         F.count(F.when(is_top, 1)).alias("_n_top"),
-        F.median("pred").alias("_all_med"), F.max("pred").alias("_all_max"), F.min("pred").alias("_all_min"),
+        array_median(F.collect_list("pred")).alias("_all_med"), F.max("pred").alias("_all_max"),
+        F.min("pred").alias("_all_min"),
         F.array_join(F.array_sort(F.collect_list(F.when(is_top, F.col("model")))), ",").alias("_top_models"),
         F.array_join(F.array_sort(F.collect_list("model")), ",").alias("_all_models"),
-        F.median(F.when(F.col("model").isin(*S.TOP_TIER_LINEAR), F.col("pred"))).alias("linear_median"),
-        F.median(F.when(F.col("model").isin(*S.TOP_TIER_TREE), F.col("pred"))).alias("tree_median"),
+        array_median(F.collect_list(F.when(F.col("model").isin(*S.TOP_TIER_LINEAR), F.col("pred")))).alias("linear_median"),
+        array_median(F.collect_list(F.when(F.col("model").isin(*S.TOP_TIER_TREE), F.col("pred")))).alias("tree_median"),
     )
+    # groups hold one quote's models (bounded by the model count), so the
+    # medians are taken on small sorted arrays rather than percentile buffers
     has_top = F.col("_n_top") > 0
     est = F.when(has_top, F.col("_top_med")).otherwise(F.col("_all_med"))
     mx = F.when(has_top, F.col("_top_max")).otherwise(F.col("_all_max"))

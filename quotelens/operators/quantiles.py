@@ -5,7 +5,8 @@ one group holds every distinct value of that group in one task. That is
 fine while the whole input is small; a group holding a third of a
 100 TB table is not. Strategy:
 
-* input rows <= ``INMEMORY_MAX_ROWS``  -> one ``groupBy().agg(percentile)``.
+* largest group <= ``INMEMORY_MAX_ROWS`` -> one ``groupBy().agg()`` holding a
+  sorted list per group (bounded by the check) that serves all probabilities.
 * otherwise -> sort-based selection: range-partition on (keys, value)
   so a hot key is spread over many tasks, freeze partition id and row
   id into a written table, prefix-sum the per-(key, partition) counts
@@ -74,6 +75,16 @@ def sorted_quantiles(df: DataFrame, keys: list[str], value: str,
     return out
 
 
+def _pick_quantile(sorted_arr: Column, p: float) -> Column:
+    """Linear interpolation between the two closest ranks of a sorted array."""
+    n = F.size(sorted_arr)
+    pos = F.lit(float(p)) * (n - 1).cast("double")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    a_lo = F.element_at(sorted_arr, lo.cast("int") + 1)
+    a_hi = F.element_at(sorted_arr, hi.cast("int") + 1)
+    return F.when(n > 0, F.when(lo == hi, a_lo).otherwise((hi - pos) * a_lo + (pos - lo) * a_hi))
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows in the largest group (one partial-aggregated count pass)."""
     if not keys:
@@ -90,8 +101,14 @@ def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column],
     if in_memory is None:
         in_memory = largest_group(df, keys) <= INMEMORY_MAX_ROWS
     if in_memory:
-        qcols = [F.percentile(F.col(v), F.lit(float(p))).alias(n) for n, v, p in quantiles]
-        return df.groupBy(*keys).agg(*aggs, *qcols)
+        # one sorted list per (group, value column) serves every probability
+        values = list(dict.fromkeys(v for _n, v, _p in quantiles))
+        lists = [F.array_sort(F.collect_list(F.col(v).cast("double"))).alias(f"_sl_{i}")
+                 for i, v in enumerate(values)]
+        g = df.groupBy(*keys).agg(*aggs, *lists)
+        qcols = [_pick_quantile(F.col(f"_sl_{values.index(v)}"), p).alias(n) for n, v, p in quantiles]
+        return g.select(*keys, *[F.col(c) for c in g.columns if c not in keys and not c.startswith("_sl_")],
+                        *qcols)
     out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
     by_value: dict[str, list[tuple[str, float]]] = {}
     for n, v, p in quantiles:

@@ -91,13 +91,13 @@ def a27(spark, sf):
     factors 0.25 / 0.50 / 0.75 / 1.00 (in range, exposed, $ at risk)."""
     oof = all_oof_table(spark, sf)
     band = PR.best_band(PR.empirical_bands(oof))
-    preds = oof.select("quote_id", "model", "pred")
-    frames = []
-    for factor in (0.25, 0.5, 0.75, 1.0):
-        rec = PR.recommendation(preds, band, factor=factor)
-        frames.append(rec.join(oof.where(F.col("model") == "M0").select("quote_id", "actual"), "quote_id")
-                      .withColumn("factor", F.lit(factor)))
-    r = reduce(lambda a, b: a.unionByName(b), frames)
+    rec = PR.recommendation(oof.select("quote_id", "model", "pred"), None)
+    b = band.select("lower_pct", "upper_pct")
+    factors = spark.createDataFrame([(f,) for f in (0.25, 0.5, 0.75, 1.0)], "factor double")
+    r = (rec.join(oof.where(F.col("model") == "M0").select("quote_id", "actual"), "quote_id")
+         .crossJoin(F.broadcast(b)).crossJoin(F.broadcast(factors))  # 1 band row x 4 factors
+         .withColumn("protect_margin", F.col("estimate") * (1 + F.col("upper_pct") * F.col("factor") / 100))
+         .withColumn("win_bid", F.col("estimate") * (1 + F.col("lower_pct") * F.col("factor") / 100)))
     return r.groupBy("factor").agg(
         (F.avg(((F.col("actual") >= F.col("win_bid")) & (F.col("actual") <= F.col("protect_margin"))).cast("double")) * 100)
         .alias("pct_in_win_protect"),
