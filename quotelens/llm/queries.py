@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import bpe, sharding
 from .common import read_table
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op2_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return bpe.digests(docs, public_tokenizers.path(TOKENIZER))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return sharding.shard(docs, shards=40)
 
 
 QUERIES = {
+    "op2_bpe_digests": op2_bpe_digests,
     "op3_histogram_shards": op3_histogram_shards,
 }
 
