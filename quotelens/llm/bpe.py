@@ -75,11 +75,11 @@ def load_spec(path: str) -> dict:
 class Lexicon:
     """Reader of a compiled transducer (see ``compile_lexicon``)."""
 
-    HEAD = struct.Struct("<4q")
+    HEAD = "<4q"  # states, arcs, outputs, ids
 
     def __init__(self, buffer):
-        n, arcs, outs, ids = self.HEAD.unpack_from(buffer, 0)
-        at = self.HEAD.size
+        n, arcs, outs, ids = struct.unpack_from(self.HEAD, buffer, 0)
+        at = struct.calcsize(self.HEAD)
         view = []
         for count in (n + 1, n, arcs, arcs, outs + 1, ids):
             view.append(memoryview(buffer)[at:at + 4 * count].cast("i"))
@@ -177,7 +177,7 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
     start = np.cumsum([0] + [len(o) for o in outs], dtype="<i4")
     pool = np.fromiter(chain.from_iterable(outs), "<i4")
     parts = [np.asarray(x, "<i4").tobytes() for x in (first, last, target, out, start, pool)]
-    return Lexicon.HEAD.pack(len(order), len(target), len(outs), len(pool)) + b"".join(parts) + bytes(labels)
+    return struct.pack(Lexicon.HEAD, len(order), len(target), len(outs), len(pool)) + b"".join(parts) + bytes(labels)
 
 
 class Codec:
