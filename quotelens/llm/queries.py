@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, sharding
-from .common import read_table
+from . import bpe, language_id, sharding
+from .common import held_out, read_table
 
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    words = language_id.fit(docs)
+    return language_id.identify(docs, words).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return bpe.digests(docs, public_tokenizers.path(TOKENIZER))
@@ -23,6 +31,7 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cross_parsing": op1_cross_parsing,
     "op2_bpe_digests": op2_bpe_digests,
     "op3_histogram_shards": op3_histogram_shards,
 }
