@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, sharding
+from . import bpe, language_id, near_dedup, sharding
 from .common import held_out, read_table
 
 
@@ -30,10 +30,16 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, shards=40)
 
 
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return near_dedup.near_duplicates(docs, k=3, threshold=0.85).drop("text_key")
+
+
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_bpe_digests": op2_bpe_digests,
     "op3_histogram_shards": op3_histogram_shards,
+    "op6_hyperminhash": op6_hyperminhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
