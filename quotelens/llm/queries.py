@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, sharding
+from . import bpe, language_id, near_dedup, sharding, url_reputation
 from .common import held_out, read_table
 
 
@@ -35,11 +35,78 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs, k=3, threshold=0.85).drop("text_key")
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled where its url ends in the number of a labelled
+    document; it is bad if that is of low quality or toxic."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    number = F.regexp_extract(url_reputation.host_path(F.col("url"))[1], "^/[a-z]+/([0-9]{1,18})", 1)
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    known = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    outcomes = pages.select(F.col("page_id").alias("id"), F.when(number != "", number).cast("long").alias("doc_id")) \
+        .join(known, "doc_id").select("id", "bad")
+    return url_reputation.judge(pages, outcomes, URL_RULES) \
+        .select("page_id", "host", "path", "rule", "verdict", F.round("bad_bound", 6).alias("bad_bound"))
+
+
+OP7_SQL = r"""
+with known as (select doc_id, max(greatest(1 - quality, toxic)) as bad from labels group by doc_id),
+p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+o as (select page_id, max(bad) as bad from p join known
+        on try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})', 1), '') as bigint) = doc_id
+        where bad is not null group by page_id),
+h0 as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad from p left join o using (page_id) group by host),
+h1 as (select *, regexp_extract(host, '([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]+))$', 1) as found from h0),
+h2 as (select host, n, bad, case when found = '' then host else found end as domain from h1),
+h as (select *, regexp_replace(domain, '^[^.]*\.', '') as suffix from h2),
+d as (select domain, sum(n) as n, sum(bad) as bad from h group by domain),
+s as (select suffix, sum(n) as n, sum(bad) as bad from h group by suffix),
+c as (select 'host' as level, n, bad from h union all select 'domain', n, bad from d
+      union all select 'suffix', n, bad from s),
+a as (select level, count(*) as k, sum(n)::double as t, sum(bad)::double as b, sum(bad * bad / n::double) as q,
+        sum(n * n)::double as n2 from c where n > 0 group by level),
+r as (select level, k, t, (q - b * b / t) / (k - 1) as btw, (b - q) / (t - k) as wth,
+        (t - n2 / t) / (k - 1) as n0 from a),
+r2 as (select level, k, t, (btw - wth) / (btw + (n0 - 1) * wth) as rho from r),
+m as (select level, case when k > 1 and t > k and rho is not null and not isnan(rho)
+        then (1 - greatest(1.0 / 1001, least(0.5, rho))) / greatest(1.0 / 1001, least(0.5, rho))
+        else 20.0 end as m from r2),
+g as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::double as rate,
+        coalesce((select m from m where level = 'suffix'), 20.0) as ms,
+        coalesce((select m from m where level = 'domain'), 20.0) as md,
+        coalesce((select m from m where level = 'host'), 20.0) as mh from h),
+e as (select h.host, h.n + g.mh as mass, (h.bad + g.mh * ((d.bad + g.md * ((s.bad + g.ms * g.rate)
+        / (s.n + g.ms))) / (d.n + g.md))) / (h.n + g.mh) as mean
+      from h join d using (domain) join s using (suffix) cross join g),
+v as (select page_id, p.host, path, mean - 1.645 * sqrt(mean * (1 - mean) / (mass + 1)) as bound,
+        case when (p.host = 'www.example.com' or p.host like '%.www.example.com') and path like '/en/%'
+               then 'www.example.com/en/'
+             when (p.host = 'example.com' or p.host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+             when (p.host = 'net' or p.host like '%.net') and path like '/es/%' then 'net/es/'
+             when (p.host = 'net' or p.host like '%.net') and path like '/fr/%' then 'net/fr/'
+             when (p.host = 'com' or p.host like '%.com') and path like '/%' then 'com/' end as rule
+      from p join e using (host))
+select page_id, host, path, rule,
+  case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
+       when bound > 0.25 then 'block' else 'allow' end as verdict, round(bound, 6) as bad_bound
+from v
+"""
+
+
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_bpe_digests": op2_bpe_digests,
     "op3_histogram_shards": op3_histogram_shards,
     "op6_hyperminhash": op6_hyperminhash,
+    "op7_host_reputation": op7_host_reputation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_host_reputation": OP7_SQL,
+}
