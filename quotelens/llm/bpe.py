@@ -185,7 +185,7 @@ class Codec:
 
     LONG = 48  # symbols from which merging keeps a heap
 
-    def __init__(self, spec: dict, lexicon: Lexicon | None = None, limit: int = 500_000):
+    def __init__(self, spec: dict, lexicon: Lexicon | None = None, limit: int = 300_000):
         self.spec, self.lexicon, self.limit = spec, lexicon, limit
         self.alphabet = byte_alphabet()
         self.added = spec["added"]
@@ -198,9 +198,10 @@ class Codec:
         self.words = regex.compile(pattern, regex.V1).findall
         self.space = regex.compile(r"\s+")
         self.odd_space = re.compile("[\x1c-\x1f]")
-        self.capitals = regex.compile("[" + "".join(f"\\U{c:08x}" for c in LOWER) + "]")
+        # what was met lately; a full memory becomes the old one, from which what is met again returns
         self.by_chunk: dict[str, tuple] = {}
         self.by_word: dict[str, tuple] = {}
+        self.old_chunk, self.old_word = self.by_chunk, self.by_word
         size = max([*spec["vocab"].values(), *self.added.values()]) + 1
         self.token: list[str] = [""] * size
         for t, i in chain(spec["vocab"].items(), self.added.items()):
@@ -209,9 +210,10 @@ class Codec:
         self.same = list(range(size))  # one object for each id, so that remembered ids share them
 
     def normalise(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        if not text.isascii() and self.capitals.search(text):
-            text = text.translate(LOWER)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if max(text) >= "\u1c89" or "\u03a3" in text:
+                text = text.translate(LOWER)
         return text.lower()
 
     def merge(self, word: str) -> list[int]:
@@ -251,29 +253,37 @@ class Codec:
     def word(self, word: str) -> tuple:
         got = self.by_word.get(word)
         if got is None:
-            if self.lexicon is not None:
+            got = self.old_word.get(word)
+            if got is None and self.lexicon is not None:
                 got = self.lexicon.get(word.encode("utf-8", "surrogatepass"))
             if got is None:
                 got = self.merge(word)
+            got = tuple(map(self.same.__getitem__, got))
             if len(word) < 64:
-                if len(self.by_word) >= self.limit:
-                    self.by_word.clear()
-                self.by_word[word] = got = tuple(got)
+                self.by_word[word] = got
         return got
 
+    def split(self, part: str) -> list[str] | tuple:
+        """The words of a run without white space and added tokens, normalised."""
+        part = self.normalise(part)
+        if part.isalpha():
+            return (part,) if max(part) < "\u0558" else self.words(part)
+        if part[-1] in ",." and part[:-1].isalpha() and max(part) < "\u0558":
+            return part[:-1], part[-1]
+        return self.words(part)
+
     def chunk(self, chunk: str) -> tuple:
         """The ids of a run without white space."""
-        got: list[int] = []
-        for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
-            if part in self.added:
-                got.append(self.added[part])
-            elif part:
-                for w in self.words(self.normalise(part)):
-                    got += self.word(w)
-        got = tuple(map(self.same.__getitem__, got))
+        got = self.old_chunk.get(chunk)
+        if got is None:
+            got = ()
+            for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
+                if part in self.added:
+                    got += (self.added[part],)
+                elif part:
+                    for w in self.split(part):
+                        got += self.word(w)
         if len(chunk) < 64:
-            if len(self.by_chunk) >= self.limit:
-                self.by_chunk.clear()
             self.by_chunk[chunk] = got
         return got
 
@@ -281,6 +291,10 @@ class Codec:
         return self.space.split(text) if self.odd_space.search(text) else text.split()
 
     def encode(self, text: str | None) -> list[int]:
+        if len(self.by_chunk) >= self.limit:
+            self.by_chunk, self.old_chunk = {}, self.by_chunk
+        if len(self.by_word) >= self.limit:
+            self.by_word, self.old_word = {}, self.by_word
         got, get, make = [], self.by_chunk.get, self.chunk
         for c in self.chunks(text or ""):
             ids = get(c)
@@ -303,7 +317,7 @@ def word_counts(df: DataFrame, spec: dict, text_col: str) -> DataFrame:
             for c, n in seen.items():
                 for part in codec.cut.split(c) if codec.cut and "<" in c else (c,):
                     if part not in codec.added:
-                        for w in codec.words(codec.normalise(part)):
+                        for w in codec.split(part) if part else ():
                             if len(w) < 64:
                                 got[w] += n
             seen.clear()
@@ -336,10 +350,13 @@ def _mapped(df: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int
     uri = write_shared_bytes(spark, build_lexicon(docs, spec, "text", size), "words.lexicon")
     spark.sparkContext.addFile(uri)
     name = uri.rsplit("/", 1)[1]
-    share = spark.sparkContext.broadcast(spec)
+    share = spark.sparkContext.broadcast({"spec": spec})
 
     def run(batches):
-        codec = Codec(share.value, Lexicon.open(SparkFiles.get(name)))
+        held = share.value  # lives as long as the worker, and so does what the codec remembers
+        codec = held.get("codec")
+        if codec is None:
+            codec = held["codec"] = Codec(held["spec"], Lexicon.open(SparkFiles.get(name)))
         for b in batches:
             ids = b.column(0).to_pylist()
             for at in range(0, len(ids), 512):
