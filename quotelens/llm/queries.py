@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, sharding, url_reputation
+from . import bpe, language_id, near_dedup, quality, sharding, url_reputation
 from .common import held_out, read_table
 
 
@@ -99,12 +99,20 @@ from v
 """
 
 
+def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return quality.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_bpe_digests": op2_bpe_digests,
     "op3_histogram_shards": op3_histogram_shards,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_host_reputation": op7_host_reputation,
+    "op9_random_indexing": op9_random_indexing,
 }
 
 ORACLE_SQL = {
