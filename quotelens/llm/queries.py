@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, quality, sharding, url_reputation
+from . import bpe, html_text, language_id, near_dedup, quality, sharding, url_reputation
 from .common import held_out, read_table
 
 
@@ -30,6 +30,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, shards=40)
 
 
+def op4_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return near_dedup.near_duplicates(docs, k=3, threshold=0.85).drop("text_key")
@@ -110,6 +114,7 @@ QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_bpe_digests": op2_bpe_digests,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_block_rules": op4_block_rules,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_host_reputation": op7_host_reputation,
     "op9_random_indexing": op9_random_indexing,
