@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language_id, near_dedup, quality, sharding, url_reputation
+from . import bpe, decontam, html_text, language_id, near_dedup, quality, sharding, url_reputation
 from .common import held_out, read_table
 
 
@@ -110,6 +110,12 @@ def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return decontam.find_leaks(docs, items).drop("text_key")
+
+
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_bpe_digests": op2_bpe_digests,
@@ -118,6 +124,7 @@ QUERIES = {
     "op6_hyperminhash": op6_hyperminhash,
     "op7_host_reputation": op7_host_reputation,
     "op9_random_indexing": op9_random_indexing,
+    "op10_templates": op10_templates,
 }
 
 ORACLE_SQL = {
