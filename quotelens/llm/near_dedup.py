@@ -26,7 +26,6 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 EXACT_BANDS = 32
-HUBS = 3
 CHUNK = 256
 
 
@@ -107,24 +106,24 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, ck binary, n long, regs binary")
 
 
+def node_keys(regs: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """The band keys of a text: at its own level, and on to that of the
+    largest set that it can be similar to."""
+    low, high = (LEVELS.index(level(m, threshold)) for m in (n, int(n / threshold + 1e-9)))
+    return np.concatenate([band_keys(regs, bands) for bands in LEVELS[low:high + 1]]).view(np.int64)
+
+
 def _bands(reps: DataFrame, threshold: float) -> DataFrame:
-    """``key, node``: the band keys of each text, at its own level and on to
-    that of the largest set that it can be similar to."""
+    """``key, node``: the band keys of each text."""
     def run(batches):
         for b in batches:
             node, n = b.column(0).to_numpy(), b.column(1).to_pylist()
             for at in range(0, b.num_rows, 2048):
-                keys, nodes = [], []
-                for i in range(at, min(at + 2048, b.num_rows)):
-                    regs = np.frombuffer(b.column(2)[i].as_buffer(), np.uint16)
-                    low, high = (LEVELS.index(level(m, threshold)) for m in (n[i], int(n[i] / threshold + 1e-9)))
-                    for bands in LEVELS[low:high + 1]:
-                        got = band_keys(regs, bands)
-                        keys.append(got)
-                        nodes.append(np.full(len(got), node[i]))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                keys = [node_keys(np.frombuffer(b.column(2)[i].as_buffer(), np.uint16), n[i], threshold)
+                        for i in range(at, min(at + 2048, b.num_rows))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), pa.array(np.repeat(node[at:at + 2048], [len(x) for x in keys]))],
+                    ["key", "node"])
     return reps.select("node", "n", "regs").mapInArrow(run, "key long, node long")
 
 
@@ -188,56 +187,73 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _star_pairs(bands: DataFrame) -> DataFrame:
-    """Each member of a band group against the group's hubs: the members that
-    come first in a few random orders."""
-    hubs = bands.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node")).alias(f"hub{i}")
-                                      for i in range(HUBS)])
-    hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[f"hub{i}.node" for i in range(HUBS)]))).alias("hub"))
-    return bands.join(hubs, "key").where("node != hub") \
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def _hub_pairs(bands: DataFrame) -> DataFrame:
+    """Each member of a band group against the group's hub, the member that
+    comes first in a random order."""
+    hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("hub"))
+    return _pairs(bands.join(hubs, "key").where("node != hub"))
+
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-def _rest_pairs(bands: DataFrame, reps: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in groups that the hubs left in several components.
 
-    In such a group the rows outside its largest component are compared with
-    all rows, by registers alone and in blocks: rows are dealt into chunks of
-    about ``CHUNK``, and each pair of chunks meets in one bounded task group.
-    Only hopeful pairs of different components come out."""
-    n_part = partitions(bands.sparkSession)
+def _mixed(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of the band groups that lie in several components: ``key,
+    node, comp``, the group's size ``total``, its largest component ``main``
+    with ``most`` rows, and a ``hub`` in that."""
     marked = bands.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    parts = marked.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    order = F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node")
+    parts = marked.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min(order)["node"].alias("hub"))
     mixed = parts.groupBy("key").agg(F.sum("m").alias("total"), F.count("*").alias("comps"),
-                                     F.max(F.struct("m", "comp")).alias("top")) \
-        .where("comps > 1").select("key", "total", F.col("top.m").alias("most"), F.col("top.comp").alias("main"))
-    rows = marked.join(mixed, "key").join(reps.select("node", "n", "regs"), "node")
+                                     F.max(F.struct("m", "comp", "hub")).alias("top")) \
+        .where("comps > 1").select("key", "total", "top.hub", F.col("top.m").alias("most"), F.col("top.comp").alias("main"))
+    return stage(marked.join(mixed, "key"), "mixed")
+
+
+def _rest_pairs(mixed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``mixed`` rows that the registers leave hopeful.
+
+    The rows outside a group's largest component are compared with all its
+    rows, by registers alone and in blocks: rows are dealt into chunks of about
+    ``CHUNK``, and each pair of chunks meets in one bounded task group. Only
+    hopeful pairs of different components come out."""
+    n_part = partitions(mixed.sparkSession)
+    rows = mixed.join(nodes.select("node", "n", "regs"), "node")
     salt = F.xxhash64("node", "key")
     right = F.ceil(F.col("total") / CHUNK).cast("int")
     left = F.ceil((F.col("total") - F.col("most")) / CHUNK).cast("int")
-    cols = ["key", "node", "comp", "n", "regs"]
+    cols = ["key", "node", "comp", "n", "regs", "outer"]
+    rows = rows.withColumn("outer", F.col("comp") != F.col("main"))
     as_right = rows.withColumn("j", F.pmod(salt, right)) \
         .withColumn("i", F.explode(F.sequence(F.lit(0), left - 1))).select(*cols, "i", "j", F.lit(0).alias("side"))
-    as_left = rows.where("comp != main").withColumn("i", F.pmod(salt, left)) \
+    as_left = rows.where("outer").withColumn("i", F.pmod(salt, left)) \
         .withColumn("j", F.explode(F.sequence(F.lit(0), right - 1))).select(*cols, "i", "j", F.lit(1).alias("side"))
     keep = _hopeful(threshold)
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
+        key, side = table.column("key")[0].as_py(), table.column("side").to_numpy()
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "n"))
+        outer = table.column("outer").to_numpy()
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         other = np.flatnonzero(side == 0)
-        out_a, out_b = [], []
+        keys: dict[int, np.ndarray] = {}
+
+        def keys_of(i: int) -> np.ndarray:
+            if i not in keys:
+                keys[i] = node_keys(regs[i], int(n[i]), threshold)
+            return keys[i]
+        out = []
         for x in np.flatnonzero(side == 1):
-            y = other[comp[other] != comp[x]]
+            y = other[(comp[other] != comp[x]) & ~(outer[other] & (node[other] < node[x]))]
             y = y[keep(np.full(len(y), float(n[x])), n[y].astype(np.float64), regs[x][None, :], regs[y])]
-            out_a.append(np.minimum(node[y], node[x]))
-            out_b.append(np.maximum(node[y], node[x]))
-        both = [np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_a, out_b)]
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+            # a pair that meets in several groups comes out of that with the smallest key only
+            out += [sorted((node[x], node[i])) for i in y.tolist() if np.intersect1d(keys_of(x), keys_of(i)).min() == key]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
     blocks = as_right.unionByName(as_left).repartition(n_part, "key", "i", "j")
-    return blocks.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return blocks.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id",
@@ -252,8 +268,9 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: s
     if that is its own id. ``text_key`` is the MD5 of the text.
 
     Copies are one text, a class with the smallest of their ids, and never
-    meet in a join. In each band group every member is compared with a few
-    hubs; what the hubs leave in separate components is compared in blocks.
+    meet in a join. In each band group every member is compared with a hub,
+    and those outside the largest component with a hub of that; what is still
+    in separate components is compared in blocks.
     A text that is null or without words has an empty set and is linked with
     nothing. A row with a null id links nothing, has a null component and is
     kept. Rows are linked by their texts only: repeated rows share a
@@ -271,9 +288,13 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: s
     several = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     shared = stage(bands.join(several, "key", "left_semi"), "shared")
     drop_stage(bands)
-    star = stage(_filter_pairs(_star_pairs(shared), nodes, threshold), "star")
-    linked = stage(_confirm(star, docs, nodes, k, percent), "linked")
-    rest = stage(_rest_pairs(shared, nodes, components(linked), threshold), "rest")
+    hopeful = stage(_filter_pairs(_hub_pairs(shared), nodes, threshold), "hopeful")
+    linked = stage(_confirm(hopeful, docs, nodes, k, percent), "linked")
+    mixed = _mixed(shared, components(linked))
+    hopeful = stage(_filter_pairs(_pairs(mixed.where("comp != main")), nodes, threshold), "hopeful")
+    linked = linked.union(stage(_confirm(hopeful, docs, nodes, k, percent), "linked"))
+    mixed = _mixed(shared, components(linked))
+    rest = stage(_rest_pairs(mixed, nodes, threshold), "rest")
     linked = linked.union(_confirm(rest, docs, nodes, k, percent))
     named = nodes.select("ck", "node", "head").join(components(linked), "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
