@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, language_id, near_dedup, quality, sharding, url_reputation
+from . import bpe, decontam, html_text, language_id, near_dedup, quality, sharding, substring, url_reputation
 from .common import held_out, read_table
 
 
@@ -103,6 +103,10 @@ from v
 """
 
 
+def op8_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     model = quality.fit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
@@ -123,6 +127,7 @@ QUERIES = {
     "op4_block_rules": op4_block_rules,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_host_reputation": op7_host_reputation,
+    "op8_collinear_chains": op8_collinear_chains,
     "op9_random_indexing": op9_random_indexing,
     "op10_templates": op10_templates,
 }
