@@ -166,30 +166,34 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return found
 
 
-def identify(df: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text",
-             keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, lang_pred string, score double`` per row, and the columns in
-    ``keep`` unchanged.
+def identify(df: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred string, score double`` per row.
 
     ``lang_pred`` is a learned language (ties: the smaller name), or ``und``
     with score 0 where the text is null or has no letter, or nothing was
     learned. The score is the winner's share of 2 to the minus bits a word.
     Repeated rows and null ids are rows like others; an empty table gives an
-    empty result; columns that are not named are not read."""
+    empty result; other columns are not read."""
     shared = df.sparkSession.sparkContext.broadcast(words)
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("_text"),
-                     *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         model = Model(shared.value)
         for b in batches:
             got = [model.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
-                 *b.columns[2:]], ["doc_id", "lang_pred", "score", *[f"_k{i}" for i in range(len(keep))]])
-
-    types = dict(docs.dtypes)
-    schema = f"doc_id {types['doc_id']}, lang_pred string, score double" + \
-        "".join(f", _k{i} {types[f'_k{i}']}" for i in range(len(keep)))
-    out = docs.mapInArrow(run, schema)
-    return out.select("doc_id", "lang_pred", "score", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+                [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                ["doc_id", "lang_pred", "score"])
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+
+
+def drop_undetermined(df: DataFrame, words: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a language, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        model = Model(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([model.predict(t)[0] != UNDETERMINED for t in b.column(at).to_pylist()], pa.bool_()))
+    return df.mapInArrow(run, df.schema)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, language_id, near_dedup, quality, sharding, substring, url_reputation
+from . import bpe, decontam, html_text, language_id, near_dedup, quality, sharding, substring, topk, url_reputation
 from .common import held_out, read_table
 
 
@@ -34,6 +35,21 @@ def op4_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
 
 
+def op5_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), 20, is_query=lambda i: i % 20 == 0)
+
+
+OP5_SQL = """
+with v as (select vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)])::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+"""
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return near_dedup.near_duplicates(docs, k=3, threshold=0.85).drop("text_key")
@@ -125,13 +141,16 @@ QUERIES = {
     "op2_bpe_digests": op2_bpe_digests,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_block_rules": op4_block_rules,
+    "op5_norm_buckets": op5_norm_buckets,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_host_reputation": op7_host_reputation,
     "op8_collinear_chains": op8_collinear_chains,
     "op9_random_indexing": op9_random_indexing,
     "op10_templates": op10_templates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
+    "op5_norm_buckets": OP5_SQL,
     "op7_host_reputation": OP7_SQL,
 }
