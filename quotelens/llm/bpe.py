@@ -60,11 +60,13 @@ def load_spec(path: str) -> dict:
     the file asks for steps that this module does not know."""
     with open(path, encoding="utf-8") as f:
         j = json.load(f)
-    kinds = [n["type"] for n in j["normalizer"]["normalizers"]]
-    split, level = j["pre_tokenizer"]["pretokenizers"]
-    if kinds != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] \
-            or level["type"] != "ByteLevel" or j["decoder"] is not None or j["post_processor"] is not None:
+    steps = [n["type"] for part in ("normalizer", "pre_tokenizer") for n in
+             (j[part] or {}).get("normalizers", []) + (j[part] or {}).get("pretokenizers", [])]
+    if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or j["decoder"] or j["post_processor"]:
         raise ValueError(f"{path} is not a word-end BPE file of the known kind")
+    split = j["pre_tokenizer"]["pretokenizers"][0]
+    if split["behavior"] != "Removed" or not split["invert"]:
+        raise ValueError(f"{path} splits in an unknown way")
     m = j["model"]
     added = {t["content"]: t["id"] for t in j["added_tokens"]}
     pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]

@@ -191,11 +191,12 @@ def main_text(page: str | None, low: float = 0.1, high: float = 0.2, short: int
     labels = [first_pass(b, low, high, short, long, max_links) for b in found]
     article = any(b[3] and lab != BAD for b, lab in zip(found, labels))
     n = len(found)
-    near: list[list] = [[None] * n, [None] * n]  # the nearest decided block before and after, of the same region
+    # the nearest decided block before and after, of the same region; an article's insets decide nothing in it
+    near: list[list] = [[None] * n, [None] * n]
     for side, order in ((0, range(n)), (1, range(n - 1, -1, -1))):
         last: dict = {}
         for i in order:
-            if labels[i] != SHORT:
+            if labels[i] != SHORT and not (found[i][2] and found[i][3]):
                 last[found[i][3]] = i
             near[side][i] = last.get(found[i][3])
     keep = []

@@ -97,7 +97,7 @@ r2 as (select level, k, t, (btw - wth) / (btw + (n0 - 1) * wth) as rho from r),
 m as (select level, case when k > 1 and t > k and rho is not null and not isnan(rho)
         then (1 - greatest(1.0 / 1001, least(0.5, rho))) / greatest(1.0 / 1001, least(0.5, rho))
         else 20.0 end as m from r2),
-g as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::double as rate,
+g as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 10)::double as rate,
         coalesce((select m from m where level = 'suffix'), 20.0) as ms,
         coalesce((select m from m where level = 'domain'), 20.0) as md,
         coalesce((select m from m where level = 'host'), 20.0) as mh from h),

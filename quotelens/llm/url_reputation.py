@@ -67,7 +67,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = stage(hosts, "hosts")
     counts = {level: hosts.groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) for level in LEVELS}
     tops = [counts[level].where("n > 0").agg(_strength().alias(f"m_{level}")) for level in LEVELS]
-    world = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("rate"))
+    world = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 10)).alias("rate"))
     one = world
     for t in tops:  # four tables of one row
         one = one.crossJoin(t)
