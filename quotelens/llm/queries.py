@@ -55,6 +55,23 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs, k=3, threshold=0.85).drop("text_key")
 
 
+OP6_SQL = r"""
+with recursive d as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] end)) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+    join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+    where 100 * least(na.n, nb.n) >= 85 * greatest(na.n, nb.n)
+    group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, l.b from r join l on r.other = l.a)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.other) as component_id,
+  d.doc_id = min(r.other) as kept
+from d join r using (doc_id) left join n using (doc_id) group by d.doc_id
+"""
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -152,5 +169,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_norm_buckets": OP5_SQL,
+    "op6_hyperminhash": OP6_SQL,
     "op7_host_reputation": OP7_SQL,
 }
