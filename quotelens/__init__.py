@@ -10,4 +10,11 @@ Every public function takes and returns DataFrames. Sub-packages:
 * ``streaming`` -- Structured Streaming jobs (scoring, lifecycle, drift)
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -5,7 +5,8 @@ fold fits run as ONE job: every row is exploded into the four training
 sets it belongs to (``k != fold``) and the model's statistics are
 aggregated per ``k``. Scoring joins each row to the parameters of its
 own fold. Parameter tables are bounded by (#levels x #folds) and are
-broadcast only after their size is checked.
+left to adaptive
+execution, which broadcasts by real bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .joins import checked_broadcast
 from .quantiles import grouped_stats
 
 OOF_COLUMNS = ["quote_id", "fold", "model", "actual", "pred", "material", "part_description",
@@ -61,7 +61,7 @@ def m0_fit(train: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def m0_score(rows: DataFrame, levels: DataFrame, scalars: DataFrame) -> DataFrame:
     """Score rows that carry ``k`` (the fold whose parameters apply)."""
-    lv = checked_broadcast(levels)
+    lv = levels
     sc = F.broadcast(scalars)  # one row per fold: bounded by N_FOLDS
     part = lv.where(F.col("dim") == "part").select("k", F.col("level").alias("base_part_type"),
                                                     F.col("value").alias("_pm"))

@@ -63,61 +63,61 @@ def model_pairs(folds: DataFrame) -> DataFrame:
 
 
 PERM_EPS = 1e-12
+MOST_MASKED_FOLDS = 24
 
 
-def permutation_test(folds: DataFrame, max_folds: int = 20) -> DataFrame:
+def permutation_test(folds: DataFrame) -> DataFrame:
     """Exact two-sided sign-flip test over all 2^n masks; a mask
     counts when |mean(sign * d)| >= |mean(d)| (with a 1e-12 slack so the
-    identity and full-flip masks always count)."""
+    identity and full-flip masks always count). A pair's differences are one
+    short array; its masks are rows. Above ``MOST_MASKED_FOLDS`` folds the
+    masks are too many to enumerate and a ValueError is raised."""
     p = model_pairs(folds)
-    w = Window.partitionBy("model_a", "model_b").orderBy("fold")
-    p = p.withColumn("i", F.row_number().over(w) - 1)
     stats = p.groupBy("model_a", "model_b").agg(
         F.avg("mape_a").alias("mape_a"), F.avg("mape_b").alias("mape_b"), F.avg("d").alias("diff"),
-        F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_folds)
-    masks = stats.select("model_a", "model_b", "n",
-                         F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)).alias("mask"))
-    sign = F.when(F.expr("getbit(mask, i)") == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-    perm = masks.join(p.select("model_a", "model_b", "i", "d"), ["model_a", "model_b"]) \
-        .groupBy("model_a", "model_b", "mask").agg(F.avg(sign * F.col("d")).alias("perm_mean"))
-    cnt = perm.join(stats, ["model_a", "model_b"]).groupBy("model_a", "model_b").agg(
-        F.count(F.when(F.abs("perm_mean") >= F.abs("diff") - F.lit(PERM_EPS), 1)).alias("_extreme"),
-        F.count(F.lit(1)).alias("_masks"))
-    out = stats.join(cnt, ["model_a", "model_b"]).select(
-        "model_a", "model_b", "mape_a", "mape_b", "diff",
-        (F.col("_extreme") / F.col("_masks")).alias("p_value"))
+        F.transform(F.array_sort(F.collect_list(F.struct("fold", "d"))), lambda x: x["d"]).alias("ds"))
+    most = stats.agg(F.max(F.size("ds"))).first()[0] or 0
+    if most > MOST_MASKED_FOLDS:
+        raise ValueError(f"{most} folds: an exact sign-flip test enumerates 2^{most} masks; use the Wilcoxon test")
+    masks = stats.withColumn("mask", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.expr("shiftleft(1L, size(ds))") - 1)))
+    signed = F.aggregate(F.transform("ds", lambda d, i: F.when(
+        F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) > 0, d).otherwise(-d)), F.lit(0.0), lambda a, x: a + x)
+    extreme = F.abs(signed / F.size("ds")) >= F.abs("diff") - F.lit(PERM_EPS)
+    out = masks.groupBy("model_a", "model_b").agg(
+        F.first("mape_a").alias("mape_a"), F.first("mape_b").alias("mape_b"), F.first("diff").alias("diff"),
+        (F.count(F.when(extreme, 1)) / F.count(F.lit(1))).alias("p_value"))
     return out.withColumn("significant", F.col("p_value") < 0.05)
 
 
-def wilcoxon_test(folds: DataFrame, max_folds: int = 20) -> DataFrame:
-    """Wilcoxon signed-rank, exact null over 2^n sign assignments
-    of the (average) ranks of |d|; zero differences dropped; all-zero
-    pairs get p = 1."""
+def wilcoxon_test(folds: DataFrame) -> DataFrame:
+    """Wilcoxon signed-rank with its exact null distribution; zero
+    differences dropped, ties at their average rank; all-zero pairs get
+    p = 1.
+
+    Twice the average ranks are whole numbers, so the null distribution of
+    twice W+ is built rank by rank as an array of probabilities (polynomial
+    in the number of folds, no cap)."""
     p = model_pairs(folds)
     stats = p.groupBy("model_a", "model_b").agg(
         F.avg("mape_a").alias("mape_a"), F.avg("mape_b").alias("mape_b"), F.avg("d").alias("diff"))
     nz = p.where(F.col("d") != 0).withColumn("ad", F.abs("d"))
     w = Window.partitionBy("model_a", "model_b").orderBy("ad")
     nz = nz.withColumn("_rn", F.row_number().over(w).cast("double"))
-    nz = nz.withColumn("rank", F.avg("_rn").over(Window.partitionBy("model_a", "model_b", "ad")))
-    wplus = nz.groupBy("model_a", "model_b").agg(
-        F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(F.lit(0.0))).alias("w_plus"),
-        F.count(F.lit(1)).alias("m")).where(F.col("m") <= max_folds)
-    nz = nz.withColumn("i", F.row_number().over(Window.partitionBy("model_a", "model_b").orderBy("fold")) - 1)
-    masks = wplus.select("model_a", "model_b", F.explode(
-        F.sequence(F.lit(0), F.pow(F.lit(2), F.col("m")).cast("int") - 1)).alias("mask"))
-    dist = masks.join(nz.select("model_a", "model_b", "i", "rank"), ["model_a", "model_b"]) \
-        .groupBy("model_a", "model_b", "mask").agg(
-            F.sum(F.when(F.expr("getbit(mask, i)") == 1, F.col("rank")).otherwise(F.lit(0.0))).alias("w"))
-    eps = F.lit(1e-9)
-    tail = dist.join(wplus, ["model_a", "model_b"]).groupBy("model_a", "model_b").agg(
-        F.count(F.when(F.col("w") <= F.col("w_plus") + eps, 1)).alias("_le"),
-        F.count(F.when(F.col("w") >= F.col("w_plus") - eps, 1)).alias("_ge"),
-        F.count(F.lit(1)).alias("_masks"))
-    pv = F.least(F.lit(1.0), F.lit(2.0) * F.least("_le", "_ge") / F.col("_masks"))
+    nz = nz.withColumn("rank2", F.round(2 * F.avg("_rn").over(Window.partitionBy("model_a", "model_b", "ad"))).cast("int"))
+    ranks = nz.groupBy("model_a", "model_b").agg(
+        F.sum(F.when(F.col("d") > 0, F.col("rank2")).otherwise(F.lit(0))).cast("int").alias("w2"),
+        F.sort_array(F.collect_list("rank2")).alias("ranks"), F.sum("rank2").cast("int").alias("top"))
+    start = F.transform(F.sequence(F.lit(0), F.col("top")), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    dist = F.aggregate("ranks", start, lambda acc, r: F.transform(
+        acc, lambda x, i: 0.5 * x + 0.5 * F.when(i >= r, F.element_at(acc, F.greatest(i - r, F.lit(0)) + 1)).otherwise(F.lit(0.0))))
+    ranks = ranks.withColumn("dist", dist)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    le = total(F.expr("slice(dist, 1, w2 + 1)"))
+    ge = total(F.expr("slice(dist, w2 + 1, top - w2 + 1)"))
+    tail = ranks.select("model_a", "model_b", F.least(F.lit(1.0), 2.0 * F.least(le, ge)).alias("p"))
     out = stats.join(tail, ["model_a", "model_b"], "left").select(
-        "model_a", "model_b", "mape_a", "mape_b", "diff",
-        F.coalesce(pv, F.lit(1.0)).alias("p_value"))
+        "model_a", "model_b", "mape_a", "mape_b", "diff", F.coalesce("p", F.lit(1.0)).alias("p_value"))
     return out.withColumn("significant", F.col("p_value") < 0.05)
 
 

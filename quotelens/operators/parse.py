@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.fuzzy import indel_ratio, ratio_upper_bound
-from .joins import checked_broadcast
 
 SEP = " - "
 
@@ -98,7 +97,7 @@ def parse_distinct(descriptions: DataFrame, col: str = "part_description") -> Da
 
 def with_parsed_description(df: DataFrame, col: str = "part_description") -> DataFrame:
     """Attach the parse to every row. The parsed table has one row per
-    distinct description; it is broadcast only after its size is counted,
-    otherwise this is a shuffle join (AQE splits skewed descriptions)."""
-    parsed = checked_broadcast(parse_distinct(df, col))
+    distinct description; adaptive execution broadcasts it if its bytes
+    allow, and else splits skewed descriptions."""
+    parsed = parse_distinct(df, col)
     return df.join(parsed, df[col] == parsed["description"], "left").drop("description")

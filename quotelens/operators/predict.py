@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .joins import checked_broadcast
 from .quantiles import grouped_stats
 
 
@@ -67,8 +66,7 @@ def detect_ood(rows: DataFrame, bounds: DataFrame, id_col: str = "request_id") -
     rng = bounds.where(F.col("kind").endswith("_min") | F.col("kind").endswith("_max")) \
         .groupBy().pivot("kind", ["quantity_min", "quantity_max", "lead_time_min", "lead_time_max"]) \
         .agg(F.first(F.col("value").cast("int")))
-    known = checked_broadcast(bounds.where(F.col("kind").isin("material", "process", "part_description"))
-                              .select("kind", "value"))
+    known = bounds.where(F.col("kind").isin("material", "process", "part_description")).select("kind", "value")
 
     def member(kind: str, col: str) -> DataFrame:
         return known.where(F.col("kind") == kind).select(F.col("value").alias(f"_k_{col}"))

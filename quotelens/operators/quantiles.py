@@ -1,122 +1,73 @@
-"""Exact grouped quantiles that stay exact and bounded under skew.
+"""Exact grouped quantiles by one path at any size.
 
-``percentile`` / ``median`` in Spark are exact, but the final merge of
-one group holds every distinct value of that group in one task. That is
-fine while the whole input is small; a group holding a third of a
-100 TB table is not. Strategy:
-
-* largest group <= ``INMEMORY_MAX_ROWS`` -> one ``groupBy().agg()`` holding a
-  sorted list per group (bounded by the check) that serves all probabilities.
-* otherwise -> sort-based selection: range-partition on (keys, value)
-  so a hot key is spread over many tasks, freeze partition id and row
-  id into a written table, prefix-sum the per-(key, partition) counts
-  (at most #partitions rows per key), and fetch exactly the rows at the
-  needed ranks with a broadcast of the tiny target table.
-
-Both paths interpolate linearly between the two closest ranks like
-numpy's default ``percentile`` (and DuckDB's ``quantile_cont``).
-"""
+Equal values collapse to (keys, value, count) in a partial aggregate; the
+distinct values are range-partitioned on (keys, value), which spreads a hot
+key over many tasks, and written so that the partitioning is frozen; counts
+per (key, partition) give each partition's offset, counts within it each
+value's ranks; the values at the wanted ranks are picked by a conditional
+aggregate. No task holds a group's values, ties cost nothing, and the
+interpolation is linear between the closest ranks (numpy's default and
+DuckDB's ``quantile_cont``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import checked_broadcast
 from .stage import write_stage
 
-INMEMORY_MAX_ROWS = 2_000_000
-
-
-def _keys_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
-def sorted_quantiles(df: DataFrame, keys: list[str], value: str,
-                     named_probs: list[tuple[str, float]]) -> DataFrame:
-    """Skew-proof exact quantiles of ``value`` per ``keys`` (NULL values
-    ignored). Returns keys + one column per name."""
-    spark = df.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    srt = (base.repartitionByRange(nparts, *keys, "_v").sortWithinPartitions(*keys, "_v")
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    srt = write_stage(srt, "sorted-quantiles")
-
-    seg = srt.groupBy(*keys, "_pid").agg(F.count("*").alias("_c"), F.min("_mid").alias("_m0"))
-    wk = Window.partitionBy(*keys).orderBy("_pid")
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_c").over(
-                wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
-    wanted = F.array(*[F.struct(F.lit(n).alias("qname"), F.lit(float(p)).alias("p"))
-                       for n, p in named_probs])
-    t = seg.select("*", F.explode(wanted).alias("q"))
-    pos = F.col("q.p") * (F.col("_n") - 1).cast("double")
-    t = (t.withColumn("_pos", pos)
-          .withColumn("_ranks", F.array(F.floor("_pos").cast("long"), F.ceil("_pos").cast("long")))
-          .select("*", F.posexplode("_ranks").alias("_role", "_rank"))
-          .where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_c")))
-          .select(*keys, "_pid", (F.col("_m0") + F.col("_rank") - F.col("_off")).alias("_mid"),
-                  F.col("q.qname").alias("qname"), "_role", "_pos"))
-    picked = srt.select("_pid", "_mid", "_v").join(checked_broadcast(t), ["_pid", "_mid"])
-    lo_hi = picked.groupBy(*keys, "qname").agg(
-        F.max(F.when(F.col("_role") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_role") == 1, F.col("_v"))).alias("_hi"),
-        F.first("_pos").alias("_pos"))
-    lower, higher = F.floor("_pos"), F.ceil("_pos")
-    val = (F.when(lower == higher, F.col("_lo"))
-           .otherwise((higher - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - lower) * F.col("_hi")))
-    out = lo_hi.groupBy(*keys).pivot("qname", [n for n, _ in named_probs]).agg(F.first(val))
-    return out
-
-
-def _pick_quantile(sorted_arr: Column, p: float) -> Column:
-    """Linear interpolation between the two closest ranks of a sorted array."""
-    n = F.size(sorted_arr)
-    pos = F.lit(float(p)) * (n - 1).cast("double")
-    lo, hi = F.floor(pos), F.ceil(pos)
-    a_lo = F.element_at(sorted_arr, lo.cast("int") + 1)
-    a_hi = F.element_at(sorted_arr, hi.cast("int") + 1)
-    return F.when(n > 0, F.when(lo == hi, a_lo).otherwise((hi - pos) * a_lo + (pos - lo) * a_hi))
-
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the largest group (one partial-aggregated count pass)."""
-    if not keys:
-        return df.count()
-    m = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(m or 0)
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, named_probs: list[tuple[str, float]],
+                       weight: str | None = None) -> DataFrame:
+    """Keys and one column per (name, probability): exact quantiles of
+    ``value`` per ``keys``; NULL values are ignored. With ``weight`` (a
+    count), a row stands for that many equal values."""
+    n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = F.col(weight) if weight else F.lit(1)
+    base = df.select(*keys, F.col(value).cast("double").alias("_v"), w.cast("long").alias("_w")) \
+        .where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
+    dealt = write_stage(base.repartitionByRange(n_part, *keys, "_v").withColumn("_pid", F.spark_partition_id()),
+                        "quantiles")
+    part = dealt.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_m"))
+    by_key = Window.partitionBy(*keys)
+    part = part.select(*keys, "_pid", (F.sum("_m").over(by_key.orderBy("_pid")) - F.col("_m")).alias("_off"),
+                       F.sum("_m").over(by_key).alias("_n"))
+    names = [*keys, "_pid"]
+    part = part.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(names)], "_off", "_n")
+    upto = F.sum("_c").over(Window.partitionBy(*names).orderBy("_v"))
+    ranked = dealt.withColumn("_end", upto)
+    same = None
+    for i, c in enumerate(names):
+        one = F.col(c).eqNullSafe(F.col(f"_p{i}"))
+        same = one if same is None else same & one
+    end = F.col("_off") + F.col("_end")
+    ranked = ranked.join(part, same).select(*keys, "_v", "_n", (end - F.col("_c")).alias("_from"), end.alias("_to"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    aggs, out = [], []
+    for i, (name, p) in enumerate(named_probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        aggs += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"), F.first(pos).alias(f"_pos{i}")]
+        lo, hi, x = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(x) - x) * lo + (x - F.floor(x)) * hi).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column],
-                  quantiles: list[tuple[str, str, float]], in_memory: bool | None = None) -> DataFrame:
+                  quantiles: list[tuple[str, str, float]]) -> DataFrame:
     """``groupBy(keys).agg(*aggs, <quantiles>)`` with exact quantiles.
 
     ``quantiles`` holds (output name, value column, probability)."""
-    if in_memory is None:
-        in_memory = largest_group(df, keys) <= INMEMORY_MAX_ROWS
-    if in_memory:
-        # one sorted list per (group, value column) serves every probability
-        values = list(dict.fromkeys(v for _n, v, _p in quantiles))
-        lists = [F.array_sort(F.collect_list(F.col(v).cast("double"))).alias(f"_sl_{i}")
-                 for i, v in enumerate(values)]
-        g = df.groupBy(*keys).agg(*aggs, *lists)
-        qcols = [_pick_quantile(F.col(f"_sl_{values.index(v)}"), p).alias(n) for n, v, p in quantiles]
-        return g.select(*keys, *[F.col(c) for c in g.columns if c not in keys and not c.startswith("_sl_")],
-                        *qcols)
-    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct() if keys else None
     by_value: dict[str, list[tuple[str, float]]] = {}
     for n, v, p in quantiles:
         by_value.setdefault(v, []).append((n, p))
     for v, named in by_value.items():
-        q = sorted_quantiles(df, keys, v, named)
-        if not keys:
-            out = out.crossJoin(q)
+        q = weighted_quantiles(df, keys, v, named)
+        if out is None or not keys:
+            out = q if out is None else out.crossJoin(q)  # one row each
             continue
         q = q.select(*[F.col(k).alias(f"_q_{k}") for k in keys], *[n for n, _ in named])
         cond = None

@@ -249,4 +249,4 @@ def dirty_cte() -> str:
     requests AS (
       SELECT DISTINCT quote_id AS request_id, part_description, material, process, quantity, rush_job, lead_time_weeks,
         CASE WHEN {h} % 20 = 0 THEN NULL ELSE estimator END AS estimator, quote_date
-      FROM dirty WHERE {h} % 10 = 0 OR {h} % {Q.DIRTY_MODULUS} < 10)"""
+      FROM dirty)"""

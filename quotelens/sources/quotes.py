@@ -187,7 +187,8 @@ def dirty_quotes(quotes: DataFrame) -> DataFrame:
         F.when(F.col("_r") == 5, F.lit("Mori-san")).otherwise(F.col("estimator")).alias("estimator"),
         F.when(F.col("_r") == 0, F.lit(-1.0)).otherwise(F.col("total_price_usd")).alias("total_price_usd"),
         "_r")
-    return d.unionByName(d.where(F.col("_r") == 7)).drop("_r")
+    copies = F.when(F.col("_r") == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return d.withColumn("_copy", F.explode(copies)).drop("_r", "_copy")
 
 
 def load_dirty_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,10 +196,10 @@ def load_dirty_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_requests(dirty: DataFrame) -> DataFrame:
-    """Quote requests (Q1, V12, V13, ST1): every tenth quote plus every
-    planted defect, price dropped, estimator absent for every twentieth."""
+    """Quote requests (Q1, V12, V13, ST1): every quote, price dropped,
+    estimator absent for every twentieth."""
     h = _h()
-    return dirty.where((F.pmod(h, F.lit(10)) == 0) | (F.pmod(h, F.lit(DIRTY_MODULUS)) < 10)).select(
+    return dirty.select(
         F.col("quote_id").alias("request_id"), "part_description", "material", "process", "quantity",
         "rush_job", "lead_time_weeks",
         F.when(F.pmod(h, F.lit(20)) == 0, F.lit(None).cast("string")).otherwise(F.col("estimator")).alias("estimator"),

@@ -59,3 +59,29 @@ def test_hypotheses(folds):
         g = got[r["hypothesis"]]
         assert g["winner"] == r["winner"]
         assert abs(g["p_value"] - float(r["p_value"])) < 1e-9
+
+
+def test_no_cap_on_folds(spark):
+    """22 folds that differ by 2 points each: both tests are exact."""
+    rows = [(m, f, 10.0 + f / 7 + (2.0 + f / 100 if m == "B" else 0.0)) for m in "AB" for f in range(22)]
+    df = spark.createDataFrame(rows, "model string, fold int, MAPE double")
+    w = EV.wilcoxon_test(df).first()
+    assert abs(w["p_value"] - 2 / 2**22) < 1e-12 and w["significant"]
+    p = EV.permutation_test(df.where("fold < 16")).first()
+    assert abs(p["p_value"] - 2 / 2**16) < 1e-12
+    many = spark.createDataFrame([(m, f, float(f)) for m in "AB" for f in range(30)], "model string, fold int, MAPE double")
+    with pytest.raises(ValueError):
+        EV.permutation_test(many)
+
+
+def test_wilcoxon_with_ties_equals_enumeration(spark):
+    d = [1.0, -1.0, 2.0, 2.0, 0.0, 3.5, -2.0, 4.0]
+    rows = [("A", f, 10.0 + x) for f, x in enumerate(d)] + [("B", f, 10.0) for f in range(len(d))]
+    got = EV.wilcoxon_test(spark.createDataFrame(rows, "model string, fold int, MAPE double")).first()["p_value"]
+    nz = [x for x in d if x]
+    order = sorted(abs(x) for x in nz)
+    rank = [sum(i + 1 for i, o in enumerate(order) if o == abs(x)) / order.count(abs(x)) for x in nz]
+    plus = sum(r for r, x in zip(rank, nz) if x > 0)
+    sums = [sum(r for i, r in enumerate(rank) if m >> i & 1) for m in range(1 << len(rank))]
+    le, ge = sum(s <= plus + 1e-9 for s in sums), sum(s >= plus - 1e-9 for s in sums)
+    assert abs(got - min(1.0, 2 * min(le, ge) / len(sums))) < 1e-12

@@ -3,14 +3,19 @@ M0 respects the planted economics (coherence probes)."""
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 from conftest import SF001, SF01
 from quotelens.operators.workflow import lifecycle
 
 
-def test_stream_equals_batch(spark):
-    assert E.queries()["st2_stream_equals_batch"](spark, SF001).count() == 0
-    assert E.queries()["st3_drift_equals_batch"](spark, SF001).count() == 0
+def test_stream_equals_batch_for_events_dealt_over_files(spark, tmp_path):
+    """Events dealt at random over four files, read one file a batch."""
+    spark.read.parquet(f"{SF001}/events.parquet").orderBy(F.rand(3)).repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("st2_stream_equals_batch", "st3_drift_equals_batch"):
+        r = E.queries()[name](spark, str(tmp_path)).first()
+        assert r["n_batch"] == r["n_stream"] > 0 and r["n_different"] == 0
 
 
 def test_lifecycle_rules(spark):
