@@ -1,8 +1,9 @@
 """Near-duplicate documents by HyperMinHash.
 
-Each text's set of word shingles is hashed into 256 buckets; a bucket stores
+Each text's set of word shingles is hashed into 512 buckets; a bucket stores
 the smallest hash that falls into it, compressed to its count of leading
-zeros and ten mantissa bits. Runs of registers form bands; texts that agree
+zeros and ten mantissa bits. Neighbouring registers merge into 256, runs of
+these form bands; texts that agree
 in a band are candidates; the collision-corrected estimate of the compressed
 registers drops hopeless pairs; the full shingle sets confirm the rest.
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, components, drop_stage, mix64, partitions, stage, window_hashes
 
-REGISTERS = 256
+REGISTERS = 512
+BAND_REGISTERS = 256
 MANTISSA = 10
 EMPTY = 0xFFFF
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
@@ -47,9 +49,9 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     """The compressed registers of a sorted set of hashes."""
     out = np.full(REGISTERS, EMPTY, np.uint16)
     if len(hashes):
-        bucket = (hashes >> np.uint64(56)).astype(np.int64)
+        bucket = (hashes >> np.uint64(55)).astype(np.int64)
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        low = (hashes[first] << np.uint64(8)) | np.uint64(1)
+        low = (hashes[first] << np.uint64(9)) | np.uint64(1)
         part, exponent = np.frexp(low.astype(np.float64))
         zeros = np.clip(64 - exponent, 0, 62)
         mantissa = ((1.0 - part) * 2 * ((1 << MANTISSA) - 1)).astype(np.int64)
@@ -70,12 +72,14 @@ def level(n: int, threshold: float) -> int:
 
 def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for each band that has a register in use."""
-    at = np.arange(REGISTERS)
-    part = at * bands // REGISTERS
+    # a larger register is a smaller hash; unused ones count as the largest hash
+    regs = np.where(regs == EMPTY, 0, regs.astype(np.int64) + 1).reshape(BAND_REGISTERS, -1).max(axis=1)
+    at = np.arange(BAND_REGISTERS)
+    part = at * bands // BAND_REGISTERS
     salted = mix64((np.uint64(bands) << np.uint64(40)) + (at.astype(np.uint64) << np.uint64(20)) + regs.astype(np.uint64))
     start = np.flatnonzero(np.diff(part, prepend=-1))
     keys = np.add.reduceat(salted, start)
-    used = np.add.reduceat((regs != EMPTY).astype(np.int64), start) > 0
+    used = np.add.reduceat(regs, start) > 0
     return mix64(keys)[used]
 
 
@@ -131,7 +135,7 @@ def _hopeful(threshold: float):
     """Keeps pairs that the registers do not rule out: a pair at the
     threshold differs in at most d registers, and its estimate lies 4.5
     standard deviations below the threshold with a chance of 3 in a million."""
-    slack = 4.5 * (threshold * (1 - threshold) / 200) ** 0.5
+    slack = 4.5 * (threshold * (1 - threshold) / 400) ** 0.5
 
     def keep(na, nb, ra, rb):
         low = np.minimum(na, nb)
