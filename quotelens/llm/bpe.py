@@ -187,7 +187,7 @@ class Codec:
 
     LONG = 48  # symbols from which merging keeps a heap
 
-    def __init__(self, spec: dict, lexicon: Lexicon | None = None, limit: int = 300_000):
+    def __init__(self, spec: dict, lexicon: Lexicon | None = None, limit: int = 200_000):
         self.spec, self.lexicon, self.limit = spec, lexicon, limit
         self.alphabet = byte_alphabet()
         self.added = spec["added"]
@@ -256,11 +256,10 @@ class Codec:
         got = self.by_word.get(word)
         if got is None:
             got = self.old_word.get(word)
-            if got is None and self.lexicon is not None:
-                got = self.lexicon.get(word.encode("utf-8", "surrogatepass"))
             if got is None:
-                got = self.merge(word)
-            got = tuple(map(self.same.__getitem__, got))
+                if self.lexicon is not None:
+                    got = self.lexicon.get(word.encode("utf-8", "surrogatepass"))
+                got = tuple(map(self.same.__getitem__, self.merge(word) if got is None else got))
             if len(word) < 64:
                 self.by_word[word] = got
         return got
@@ -275,8 +274,9 @@ class Codec:
         return self.words(part)
 
     def chunk(self, chunk: str) -> tuple:
-        """The ids of a run without white space."""
-        got = self.old_chunk.get(chunk)
+        """The ids of a run without white space; a run is remembered once its
+        words are, so that what occurs once is held once."""
+        got, met = self.old_chunk.get(chunk), len(self.by_word)
         if got is None:
             got = ()
             for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
@@ -285,7 +285,7 @@ class Codec:
                 elif part:
                     for w in self.split(part):
                         got += self.word(w)
-        if len(chunk) < 64:
+        if len(chunk) < 64 and met == len(self.by_word):
             self.by_chunk[chunk] = got
         return got
 
@@ -329,7 +329,7 @@ def word_counts(df: DataFrame, spec: dict, text_col: str) -> DataFrame:
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(codec.chunks(t))
-                    if len(seen) > 400_000:
+                    if len(seen) > 300_000:
                         yield flush()
         yield flush()
 

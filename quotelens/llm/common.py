@@ -73,7 +73,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """word bytes -> 64-bit hash, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         import xxhash
         self.limit, self.digest = limit, xxhash.xxh64_intdigest

@@ -35,7 +35,7 @@ class Tokens(dict):
     """Run without white space -> 60 bits of its literal's hash and four
     flags; 0 for a run without word."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -86,7 +86,7 @@ class Model:
 
     LETTERS = r"[^\W\d_]+"
 
-    def __init__(self, words: dict[str, list[str]], limit: int = 300_000):
+    def __init__(self, words: dict[str, list[str]], limit: int = 150_000):
         self.langs = sorted(words)
         self.automata = []
         for lang in self.langs:
@@ -180,10 +180,12 @@ def identify(df: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id",
     def run(batches):
         model = Model(shared.value)
         for b in batches:
-            got = [model.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                ["doc_id", "lang_pred", "score"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                got = [model.predict(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                    ["doc_id", "lang_pred", "score"])
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
@@ -195,5 +197,8 @@ def drop_undetermined(df: DataFrame, words: dict[str, list[str]], text_col: str
     def run(batches):
         model = Model(shared.value)
         for b in batches:
-            yield b.filter(pa.array([model.predict(t)[0] != UNDETERMINED for t in b.column(at).to_pylist()], pa.bool_()))
+            for first in range(0, b.num_rows, 512):
+                part = b.slice(first, 512)
+                known = [model.predict(t)[0] != UNDETERMINED for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(known, pa.bool_()))
     return df.mapInArrow(run, df.schema)

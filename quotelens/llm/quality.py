@@ -44,7 +44,7 @@ class Terms(dict):
     """word -> term number, remembered for up to ``limit`` words; shapes that
     were not learned are the last number."""
 
-    def __init__(self, terms: list[str], limit: int = 300_000):
+    def __init__(self, terms: list[str], limit: int = 150_000):
         super().__init__()
         self.number = {t: i for i, t in enumerate(terms)}
         self.other, self.limit = len(terms), limit
