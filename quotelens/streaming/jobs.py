@@ -43,7 +43,7 @@ CLOSING_ID = -1
 def event_stream(spark: SparkSession, sf_dir: str, closing: str) -> DataFrame:
     """The events table as a stream, one file a batch, with the closing
     event's folder."""
-    tables = [f"{sf_dir.rstrip('/')}/events.parquet", closing]
+    tables = [f"{sf_dir.rstrip("/")}/events.parque[t]", closing]  # a pattern, as the table is a file or a folder
     both = [spark.readStream.format("parquet").schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).load(t) for t in tables]
     return both[0].unionByName(both[1])
 
