@@ -155,3 +155,26 @@ def recommendation(preds: DataFrame, band: DataFrame | None = None, key: str = "
             .withColumn("win_bid", F.col("estimate") * (1 + F.col("lower_pct") * factor / 100)) \
             .drop("lower_pct", "upper_pct")
     return out
+
+
+COVERAGE_FACTORS = (0.25, 0.5, 0.75, 1.0)
+
+
+def coverage(rec: DataFrame, band: DataFrame, factors: tuple[float, ...] = COVERAGE_FACTORS) -> DataFrame:
+    """A27 + A29: for each margin factor the share of ``rec(estimate,
+    actual)`` within win bid and protect margin, the share above the margin,
+    and the dollars above it: conditional sums of one pass, then one short row
+    turned into a row a factor."""
+    r = rec.crossJoin(F.broadcast(band.select("lower_pct", "upper_pct")))  # the chosen band: one row
+    aggs = []
+    for i, f in enumerate(factors):
+        high = F.col("estimate") * (1 + F.col("upper_pct") * f / 100)
+        low = F.col("estimate") * (1 + F.col("lower_pct") * f / 100)
+        aggs += [(F.avg(((F.col("actual") >= low) & (F.col("actual") <= high)).cast("double")) * 100).alias(f"in{i}"),
+                 (F.avg((F.col("actual") > high).cast("double")) * 100).alias(f"ex{i}"),
+                 F.sum(F.greatest(F.col("actual") - high, F.lit(0.0))).alias(f"at{i}")]
+    one = r.agg(*aggs, F.count(F.lit(1)).alias("n"))
+    rows = F.array(*[F.struct(F.lit(float(f)).alias("factor"), F.col(f"in{i}").alias("pct_in_win_protect"),
+                              F.col(f"ex{i}").alias("pct_exposed"), F.col(f"at{i}").alias("dollars_at_risk"))
+                     for i, f in enumerate(factors)])
+    return one.select(F.explode(rows).alias("r"), "n").select("r.*", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_linear, q_models, q_predict, q_probes, q_profile, q_quality, q_sources, q_stream, q_workflow  # noqa: F401
+from . import q_checked, q_linear, q_models, q_predict, q_probes, q_profile, q_quality, q_sources, q_stream, q_workflow  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -2,9 +2,9 @@
 M1-M4, significance (M12, M13, M15), disagreement and recommendation
 (A20, R3-R5, R9), scorecard (W4, L8, L9, L11), coefficients (S7, M19).
 
-Linear fits have no SQL equivalent, so these are rows-only checks plus
-pytest against brute force; the significance operators are also checked
-against the reference's published fold results (tests)."""
+Linear fits have no SQL equivalent, so these are rows-only checks; the fits
+are compared with numpy in ``tests/test_linear.py``, and the operators that
+follow them have SQL on stand-in models in ``q_checked.py``."""
 
 from __future__ import annotations
 
@@ -92,18 +92,8 @@ def a27(spark, sf):
     oof = all_oof_table(spark, sf)
     band = PR.best_band(PR.empirical_bands(oof))
     rec = PR.recommendation(oof.select("quote_id", "model", "pred"), None)
-    b = band.select("lower_pct", "upper_pct")
-    factors = spark.createDataFrame([(f,) for f in (0.25, 0.5, 0.75, 1.0)], "factor double")
-    r = (rec.join(oof.where(F.col("model") == "M0").select("quote_id", "actual"), "quote_id")
-         .crossJoin(F.broadcast(b)).crossJoin(F.broadcast(factors))  # 1 band row x 4 factors
-         .withColumn("protect_margin", F.col("estimate") * (1 + F.col("upper_pct") * F.col("factor") / 100))
-         .withColumn("win_bid", F.col("estimate") * (1 + F.col("lower_pct") * F.col("factor") / 100)))
-    return r.groupBy("factor").agg(
-        (F.avg(((F.col("actual") >= F.col("win_bid")) & (F.col("actual") <= F.col("protect_margin"))).cast("double")) * 100)
-        .alias("pct_in_win_protect"),
-        (F.avg((F.col("actual") > F.col("protect_margin")).cast("double")) * 100).alias("pct_exposed"),
-        F.sum(F.greatest(F.col("actual") - F.col("protect_margin"), F.lit(0.0))).alias("dollars_at_risk"),
-        F.count(F.lit(1)).alias("n"))
+    actual = oof.where(F.col("model") == "M0").select("quote_id", "actual")
+    return PR.coverage(rec.join(actual, "quote_id"), band)
 
 
 @register("l08_scorecard")
