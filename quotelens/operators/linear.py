@@ -257,20 +257,21 @@ def loo_errors(dsg: DataFrame, names: list[str], plans: dict) -> dict:
         for pdf in batches:
             a = np.column_stack([pdf[s].to_numpy(dtype=np.float64) for s in safe])
             fo = pdf["fold"].to_numpy()
+            shared: dict = {}  # models with the same columns share projections and leverages
             for ki, key in enumerate(keys):
                 pl = plans[key]
-                m = fo != key[1]
-                if not m.any():
-                    continue
-                xm = a[m][:, [pos[c] for c in pl["x"]]]
-                y = a[m][:, [pos[c] for c in pl["comb"]]] @ np.array(list(pl["comb"].values()))
-                z = (xm - pl["mu"]) / pl["sd"]
-                qv = z @ pl["V"]
-                den = pl["lam"][None, :] + RIDGE_ALPHAS[:, None]           # (na, p)
-                h = 1.0 / pl["n"] + (qv ** 2) @ (1.0 / den).T               # (rows, na)
-                yhat = pl["ybar"] + qv @ (pl["c"][None, :] / den).T         # (rows, na)
-                e = (y[:, None] - yhat) / (1.0 - h)
-                acc[ki] += (e ** 2).sum(axis=0)
+                group = (key[1], tuple(pl["x"]))
+                if group not in shared:
+                    m = fo != key[1]
+                    z = (a[m][:, [pos[c] for c in pl["x"]]] - pl["mu"]) / pl["sd"]
+                    qv = z @ pl["V"]
+                    den = pl["lam"][None, :] + RIDGE_ALPHAS[:, None]           # (na, p)
+                    shared[group] = m, qv, den, 1.0 - 1.0 / pl["n"] - (qv ** 2) @ (1.0 / den).T
+                m, qv, den, rest = shared[group]
+                if m.any():
+                    y = a[m][:, [pos[c] for c in pl["comb"]]] @ np.array(list(pl["comb"].values()))
+                    yhat = pl["ybar"] + qv @ (pl["c"][None, :] / den).T         # (rows, na)
+                    acc[ki] += (((y[:, None] - yhat) / rest) ** 2).sum(axis=0)
         yield pd.DataFrame({"key": np.arange(len(keys), dtype=np.int32), "sse": list(acc)})
 
     r = dsg.select("fold", *safe).mapInPandas(part, schema) \
@@ -371,8 +372,9 @@ def _lasso_fit(v: GramView, x, comb, mu, sd, alpha):
 
 
 def score_linear(dsg: DataFrame, fits: dict, gs, rush, pslopes) -> DataFrame:
-    """Out-of-fold predictions as column expressions (no UDF)."""
-    frames = []
+    """Out-of-fold predictions of all models as column expressions of one
+    scan (no UDF)."""
+    preds = []
     lq = F.col(_safe("log_quantity"))
     rj = F.col(_safe("rush_job"))
     for model in sorted({m for m, _ in fits}):
@@ -396,11 +398,11 @@ def score_linear(dsg: DataFrame, fits: dict, gs, rush, pslopes) -> DataFrame:
                 e = F.exp(lin + F.lit(0.5 * f["resid_var"]) + (F.lit(1.0) + slope) * lq
                           + rj * F.lit(float(np.log(rush[k]))))
             per_fold[k] = e
-        frames.append(dsg.select("quote_id", "fold", F.lit(model).alias("model"), "actual",
-                                 _by_fold(per_fold).cast("double").alias("pred"), "material", "part_description",
-                                 "base_part_type", "quantity", "estimator", F.col("rush_flag").alias("rush_job"),
-                                 "quote_date"))
-    return reduce(lambda a, b: a.unionByName(b), frames)
+        preds.append(F.struct(F.lit(model).alias("model"), _by_fold(per_fold).cast("double").alias("pred")))
+    return dsg.select("quote_id", "fold", F.explode(F.array(*preds)).alias("_p"), "actual", "material", "part_description",
+                      "base_part_type", "quantity", "estimator", F.col("rush_flag").alias("rush_job"), "quote_date") \
+        .select("quote_id", "fold", "_p.model", "actual", "_p.pred", "material", "part_description", "base_part_type",
+                "quantity", "estimator", "rush_job", "quote_date")
 
 
 def coefficient_table(spark, fits: list[dict]) -> DataFrame:
