@@ -97,8 +97,13 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
     rows = stage(floor_vectors(df, id_col, vector_col, scale).withColumn("dim", F.size("v")), "vectors")
     total = rows.count()
     buckets = max(1, -(-total // bucket_rows))
-    dealt = rows.repartitionByRange(buckets, F.desc("norm2"), F.col("id")).withColumn("bucket", F.spark_partition_id())
+    # sorted by length in parts of whatever size; as many neighbouring parts as hold bucket_rows rows are a bucket
+    dealt = rows.repartitionByRange(buckets, F.desc("norm2"), F.col("id")).withColumn("part", F.spark_partition_id())
     dealt = stage(dealt, "dealt")
+    parts = dealt.groupBy("dim", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("dim").orderBy("part")) - F.col("n")
+    parts = parts.select("dim", "part", F.floor(before / bucket_rows).cast("int").alias("bucket"))
+    dealt = stage(dealt.join(parts, ["dim", "part"]).drop("part"), "dealt")
     queries = rows.where(is_query(F.col("id")) if is_query else F.lit(True)).select(
         F.col("id").alias("qid"), F.col("v").alias("qv"), "dim", F.xxhash64("id", "v").alias("twin")).dropDuplicates(["qid", "twin"])
     blocks = max(1, -(-queries.count() // query_rows))
