@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +94,17 @@ def cell_grams(dsg: DataFrame, names: list[str]) -> np.ndarray:
                             "inner": np.tile(np.arange(K), K).astype(np.int32),
                             "g": [acc[f, i].ravel() for f in range(K) for i in range(K)]})
 
+    def add(table: pa.Table) -> pa.Table:
+        total = np.asarray(table.column("g").combine_chunks().flatten()).reshape(table.num_rows, -1).sum(axis=0)
+        return pa.table({"fold": table.column("fold").slice(0, 1), "inner": table.column("inner").slice(0, 1),
+                         "g": pa.array([total], pa.list_(pa.float64()))})
+
+    # the tasks' cells are added as packed arrays in two rounds, so that no group holds those of all tasks
     g = dsg.select("fold", "inner", *cols).mapInPandas(part, schema)
-    summed = g.select("fold", "inner", F.posexplode("g").alias("idx", "v")) \
-        .groupBy("fold", "inner", "idx").agg(F.sum("v").alias("v"))
+    g = g.withColumn("salt", F.spark_partition_id() % 64).groupBy("fold", "inner", "salt").applyInArrow(add, schema)
     out = np.zeros((K, K, w * w))
-    for r in summed.toLocalIterator():  # K*K*w*w numbers: bounded by the feature count
-        out[r["fold"], r["inner"], r["idx"]] = r["v"]
+    for r in g.groupBy("fold", "inner").applyInArrow(add, schema).collect():  # K*K arrays bounded by the feature count
+        out[r["fold"], r["inner"]] = r["g"]
     return out.reshape(K, K, w, w)
 
 
