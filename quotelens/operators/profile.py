@@ -224,7 +224,3 @@ def conditional_means(q: DataFrame) -> DataFrame:
         .groupBy("estimator").agg(F.avg(F.col(UP) - F.col("_gmean")).alias("_adj"))
     return marginal.join(res.crossJoin(grand), "estimator", "left").select(
         "estimator", "marginal_mean", (F.col("_grand") + F.col("_adj")).alias("conditional_mean"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -1,4 +1,4 @@
-"""Quote lifecycle as data.
+"""Quote lifecycle as data.
 
 The lifecycle's phases only move forward (none < draft < review < sent <
 closed), so the state after any event is fixed by a few per-quote

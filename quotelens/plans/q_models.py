@@ -32,7 +32,7 @@ def w05(spark, sf):
 
 
 @register("m00_lookup_cv", oracle=OOF + """
-SELECT quote_id, fold, model, actual, pred FROM oof""", doubles=["actual", "pred"], headline=True)
+SELECT quote_id, fold, model, actual, pred FROM oof""", doubles=["actual", "pred"])
 def m00(spark, sf):
     """M0 + M11: lookup-table model, out-of-fold predictions for all rows."""
     return m0_oof_table(spark, sf).select("quote_id", "fold", "model", "actual", "pred")

@@ -51,7 +51,7 @@ SELECT dimension, category, avg(unit_price) AS mean_unit_price,
        stddev_samp(unit_price) AS std_unit_price, count(unit_price) AS n,
        quantile_cont(unit_price, 0.5) AS median_unit_price
 FROM st WHERE category IS NOT NULL GROUP BY dimension, category""",
-          doubles=["mean_unit_price", "std_unit_price", "median_unit_price"], headline=True)
+          doubles=["mean_unit_price", "std_unit_price", "median_unit_price"])
 def a02(spark, sf):
     """A2: unit price by material / description / process / estimator."""
     return P.unit_price_by_dimension(materialized_quotes(spark, sf))

@@ -1,4 +1,4 @@
-"""Queries: CSV scan round trip (S1, S3) and versioned artefacts."""
+"""Queries: CSV scan round trip."""
 
 from __future__ import annotations
 

@@ -22,7 +22,6 @@ class Entry:
     build: Callable[[SparkSession, str], DataFrame]
     oracle: str | None = None
     doubles: list[str] = field(default_factory=list)
-    headline: bool = False
 
 
 REGISTRY: dict[str, Entry] = {}
@@ -45,12 +44,11 @@ def wrap_oracle(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS oracle_result"
 
 
-def register(name: str, oracle: str | None = None, doubles: list[str] | None = None,
-             headline: bool = False):
+def register(name: str, oracle: str | None = None, doubles: list[str] | None = None):
     def deco(fn):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             return round_doubles(fn(spark, sf_dir))
         REGISTRY[name] = Entry(name, build, wrap_oracle(oracle, doubles or []) if oracle else None,
-                               doubles or [], headline)
+                               doubles or [])
         return fn
     return deco

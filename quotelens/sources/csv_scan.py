@@ -1,7 +1,7 @@
 """S1 typed CSV scan and S3-S6 sinks.
 
-The historical quote CSV is read with an explicit all-string schema
-(no inference), checked for the required columns, blanks become NULL,
+The historical quote CSV is read as strings under its own header (no
+inference), checked for the required columns, blanks become NULL,
 and values are converted with ``try_*`` casts (ANSI mode would raise on
 a bad cast; bad values surface as NULL and are caught by the quality
 rules instead)."""
@@ -18,7 +18,7 @@ def load_quotes_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     missing = set(S.EXPECTED_COLUMNS) - set(raw.columns)
     if missing:
-        raise ValueError(f"Missing required columns: {sorted(missing)}")
+        raise ValueError(f"{path} lacks the columns {', '.join(sorted(missing))}")
 
     def blank(c: str):
         return F.when(F.trim(F.col(c)) == "", F.lit(None)).otherwise(F.col(c))

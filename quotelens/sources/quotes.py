@@ -56,7 +56,7 @@ PROCESS_BY_TYPE = {
     "PROMO": "Wire EDM",
     "LARGE": "5-Axis Milling",
 }
-UNKNOWN_PART_TEXT = "Quantum Flux Capacitor"
+UNKNOWN_PART_TEXT = "Garden Gnome Stand"
 PLANTED_BASE_PRICE = 220.0
 PLANTED_RUSH = 1.55
 
