@@ -89,14 +89,17 @@ class WordHasher(dict):
 
 
 def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k ids, in order (empty if there are fewer)."""
+    """Hash of every run of k ids, in order (empty if there are fewer): the
+    ids (hashes themselves) times an odd number for each place, summed and
+    mixed."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + ids[j:j + n])
-    return h
+    odd = mix64(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    h = ids[:n] * odd[0]
+    for j in range(1, k):
+        h += ids[j:j + n] * odd[j]
+    return mix64(h)
 
 
 def components(edges: DataFrame) -> DataFrame:

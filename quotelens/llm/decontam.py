@@ -28,6 +28,7 @@ NUMBER, NAME, UNIT = (np.uint64(x << 4) for x in (1, 2, 3))
 IS_NUMBER, IS_UNIT, IS_TITLE, ENDS = 1, 2, 4, 8
 EDGES = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
 GLUED = re.compile(r"^([$€£]?)([+-]?\d[\d.,]*)([^\W\d_]{1,7}|[%$€£])$")
+DIGIT = re.compile(r"\d")
 BITS = 22
 
 
@@ -42,17 +43,19 @@ class Tokens(dict):
     def __missing__(self, run: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        word = EDGES.sub("", run)
+        plain = run.isalpha()
+        word = run if plain else EDGES.sub("", run)
         got = 0
         if word:
+            low = word.lower()
             flags = ENDS * (run[-1] in ".!?:")
-            if any(c.isdigit() for c in word):
+            if not plain and DIGIT.search(word):
                 flags |= IS_NUMBER
-            if word.lower() in UNITS:
+            if low in UNITS:
                 flags |= IS_UNIT
-            if word[0].isupper() and len(word) > 1 and not word[1:2].isupper():
+            if word[0].isupper() and len(word) > 1 and not word[1].isupper():
                 flags |= IS_TITLE
-            got = (xxhash.xxh64_intdigest(word.lower()) | 0xF) & ~0xF | flags
+            got = (xxhash.xxh64_intdigest(low) | 0xF) & ~0xF | flags
         self[run] = got
         return got
 
@@ -85,7 +88,10 @@ def window_keys(word: np.ndarray, lit: np.ndarray, kind: np.ndarray, width: int,
         return np.empty(0, np.uint64)
     known = np.cumsum(np.r_[0, kind == 0])
     enough = known[width:] - known[:-width] >= min(literals, width)
-    return np.where(enough, window_hashes(word, width), mix64(window_hashes(lit, width) + np.uint64(1)))
+    keys = window_hashes(word, width)
+    if not enough.all():
+        keys = np.where(enough, keys, mix64(window_hashes(lit, width) + np.uint64(1)))
+    return keys
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
