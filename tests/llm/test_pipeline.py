@@ -4,7 +4,7 @@ import corpus_pipeline
 import __spark_entry__ as entry
 from conftest import SF001
 from quotelens.llm import near_dedup
-from test_near_dedup import brute
+from .test_near_dedup import brute
 
 
 def test_stages_do_their_work(spark, tmp_path):
