@@ -1,4 +1,4 @@
-"""Quote lifecycle as data.
+"""Quote lifecycle as data.
 
 The lifecycle's phases only move forward (none < draft < review < sent <
 closed), so the state after any event is fixed by a few per-quote
@@ -107,9 +107,10 @@ def status_counts(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def retention(quotes: DataFrame, days: int = 90) -> DataFrame:
-    """Quotes created within ``days`` of the newest quote."""
-    newest = quotes.agg(F.max("created_at").alias("_as_of"))
+def retention(quotes: DataFrame, days: int = 90, later_days: int = 0) -> DataFrame:
+    """Quotes created within ``days`` of a moment ``later_days`` after
+    the newest quote."""
+    newest = quotes.agg((F.max("created_at") + F.expr(f"INTERVAL {later_days} DAYS")).alias("_as_of"))
     return quotes.crossJoin(F.broadcast(newest)) \
         .where(F.col("created_at") >= F.col("_as_of") - F.expr(f"INTERVAL {days} DAYS")).drop("_as_of")
 
@@ -141,13 +142,37 @@ def reason_outcomes(lc: DataFrame) -> DataFrame:
         F.coalesce("n_closed", F.lit(0)).alias("n_closed"), F.coalesce("n_won", F.lit(0)).alias("n_won"))
 
 
-def override_request_errors(ev: DataFrame) -> DataFrame:
-    """Override payload rules (price range, reason domain)."""
-    o = ev.where(F.col("event") == "override")
-    checks = [
-        ("human_price", "must be > 0 and <= 10000000",
-         F.col("human_price").isNull() | (F.col("human_price") <= 0) | (F.col("human_price") > 10_000_000)),
-        ("reason_category", "unknown reason", F.col("reason").isNotNull() & ~F.col("reason").isin(*S.OVERRIDE_REASONS)),
-    ]
-    errs = F.filter(F.array(*[F.when(c, F.lit(f"{f}: {m}")) for f, m, c in checks]), lambda x: x.isNotNull())
-    return o.select("event_id", F.array_join(errs, "; ").alias("errors"), (F.size(errs) == 0).alias("is_valid"))
+MOST_PRICE, MOST_TEXT, MOST_PO = 10_000_000, 1000, 100
+
+
+def _failed(rules: list[tuple[Column, str]]) -> tuple[Column, Column]:
+    """The messages of the rules that fail, in order, and whether none does."""
+    found = F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]), lambda x: x.isNotNull())
+    return F.array_join(found, "; "), F.size(found) == 0
+
+
+def _unknown(col: str, domain: list[str]) -> Column:
+    return F.col(col).isNotNull() & ~F.col(col).isin(*domain)
+
+
+def override_request_errors(requests: DataFrame) -> DataFrame:
+    """Price in range, known reason and estimator, text not too long."""
+    p = F.col("human_price")
+    errors, ok = _failed([
+        (p.isNull() | (p <= 0) | (p > MOST_PRICE), f"human_price: must be > 0 and <= {MOST_PRICE}"),
+        (_unknown("reason", S.OVERRIDE_REASONS), "reason_category: unknown reason"),
+        (F.length("reason_text") > MOST_TEXT, f"reason_text: more than {MOST_TEXT} characters"),
+        (_unknown("estimator_id", S.VALID_ESTIMATORS), "estimator_id: unknown estimator")])
+    return requests.select("event_id", errors.alias("errors"), ok.alias("is_valid"))
+
+
+def outcome_request_errors(requests: DataFrame) -> DataFrame:
+    """Closing outcome, known loss reason, texts not too long, a final
+    price above zero if there is one."""
+    errors, ok = _failed([
+        (F.col("outcome").isNull() | _unknown("outcome", S.CLOSING_OUTCOMES), "outcome: must be won, lost or expired"),
+        (_unknown("reason", S.LOSS_REASONS), "reason: unknown reason"),
+        (F.length("reason_text") > MOST_TEXT, f"reason_text: more than {MOST_TEXT} characters"),
+        (F.col("final_price") <= 0, "final_negotiated_price: must be > 0"),
+        (F.length("po_number") > MOST_PO, f"po_number: more than {MOST_PO} characters")])
+    return requests.select("event_id", errors.alias("errors"), ok.alias("is_valid"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import workflow as W
-from ..sources.events import load_workflow_events
+from ..sources.events import load_workflow_events, outcome_requests, override_requests
 from .registry import register
 from .sqlbase import _s, with_ctes
 
@@ -112,9 +112,10 @@ def q07(spark, sf):
 
 @register("s10_retention_90d", oracle=WF + f"""
 SELECT quote_id, status, strftime(created_at, {TS_SQL}) AS created_at, model_price, final_price, n_overrides FROM ql
-WHERE created_at >= (SELECT max(created_at) FROM ql) - INTERVAL 90 DAYS""", doubles=["model_price", "final_price"])
+WHERE created_at >= (SELECT max(created_at) FROM ql) + INTERVAL 75 DAYS - INTERVAL 90 DAYS""", doubles=["model_price", "final_price"])
 def s10(spark, sf):
-    return W.retention(W.quote_list(_lc(spark, sf))).withColumn("created_at", F.date_format("created_at", TS))
+    """S10 as of 75 days after the newest quote, so that the older half goes."""
+    return W.retention(W.quote_list(_lc(spark, sf)), later_days=75).withColumn("created_at", F.date_format("created_at", TS))
 
 
 @register("a31_daily_drift", oracle=WF + """,
@@ -141,12 +142,48 @@ def a32(spark, sf):
     return W.reason_outcomes(_lc(spark, sf))
 
 
-@register("v14_override_validation", oracle=WF + f"""
-SELECT event_id, array_to_string(list_filter([
-   CASE WHEN human_price IS NULL OR human_price <= 0 OR human_price > 10000000 THEN 'human_price: must be > 0 and <= 10000000' END,
-   CASE WHEN reason IS NOT NULL AND NOT list_contains({_REASONS}, reason) THEN 'reason_category: unknown reason' END
- ], lambda x: x IS NOT NULL), '; ') AS errors,
- NOT (human_price IS NULL OR human_price <= 0 OR human_price > 10000000 OR (reason IS NOT NULL AND NOT list_contains({_REASONS}, reason))) AS is_valid
-FROM wev WHERE event = 'override'""")
+def _errors_sql(source: str, rules: list[tuple[str, str]]) -> str:
+    found = "list_filter([" + ", ".join(f"CASE WHEN {bad} THEN {_s(text)} END" for bad, text in rules) + "], lambda x: x IS NOT NULL)"
+    return f"SELECT event_id, array_to_string({found}, '; ') AS errors, len({found}) = 0 AS is_valid FROM ({source})"
+
+
+def _in(col: str, values: list[str]) -> str:
+    return f"{col} IS NOT NULL AND {col} NOT IN ({', '.join(_s(v) for v in values)})"
+
+
+def _nth_sql(values: list[str], n: int) -> str:
+    return f"([{', '.join(_s(v) for v in values)}])[CAST(event_id % {n} AS INTEGER) + 1]"
+
+
+_OVERRIDES = f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN -5.0 WHEN event_id % 13 = 0 THEN 2e7 ELSE human_price END AS human_price,
+  CASE WHEN event_id % 17 = 0 THEN 'gut_feeling' ELSE reason END AS reason,
+  CASE WHEN event_id % 19 = 0 THEN repeat('x', 1001) ELSE 'checked' END AS reason_text,
+  CASE WHEN event_id % 23 = 0 THEN 'Mori-san' WHEN event_id % 5 <> 0 THEN {_nth_sql(S.VALID_ESTIMATORS, 3)} END AS estimator_id
+  FROM wev WHERE event = 'override'"""
+_OUTCOMES = f"""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'cancelled' ELSE outcome END AS outcome,
+  CASE WHEN event_id % 11 = 0 THEN 'weather' WHEN outcome = 'lost' THEN {_nth_sql(S.LOSS_REASONS, 5)} END AS reason,
+  CASE WHEN event_id % 13 = 0 THEN repeat('x', 1001) ELSE 'as agreed' END AS reason_text,
+  CASE WHEN event_id % 17 = 0 THEN 0.0 WHEN event_id % 4 <> 0 THEN model_price END AS final_price,
+  CASE WHEN event_id % 19 = 0 THEN repeat('P', 101) ELSE 'PO-1' END AS po_number
+  FROM wev WHERE event = 'outcome'"""
+
+
+@register("v14_override_validation", oracle=WF + _errors_sql(_OVERRIDES, [
+    ("human_price IS NULL OR human_price <= 0 OR human_price > 10000000", "human_price: must be > 0 and <= 10000000"),
+    (_in("reason", S.OVERRIDE_REASONS), "reason_category: unknown reason"),
+    ("length(reason_text) > 1000", "reason_text: more than 1000 characters"),
+    (_in("estimator_id", S.VALID_ESTIMATORS), "estimator_id: unknown estimator")]))
 def v14(spark, sf):
-    return W.override_request_errors(load_workflow_events(spark, sf))
+    """V14 on requests with planted defects."""
+    return W.override_request_errors(override_requests(load_workflow_events(spark, sf)))
+
+
+@register("v15_outcome_validation", oracle=WF + _errors_sql(_OUTCOMES, [
+    ("outcome IS NULL OR outcome NOT IN ('won', 'lost', 'expired')", "outcome: must be won, lost or expired"),
+    (_in("reason", S.LOSS_REASONS), "reason: unknown reason"),
+    ("length(reason_text) > 1000", "reason_text: more than 1000 characters"),
+    ("final_price <= 0", "final_negotiated_price: must be > 0"),
+    ("length(po_number) > 100", "po_number: more than 100 characters")]))
+def v15(spark, sf):
+    """V15 on requests with planted defects."""
+    return W.outcome_request_errors(outcome_requests(load_workflow_events(spark, sf)))

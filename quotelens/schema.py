@@ -94,6 +94,7 @@ OVERRIDE_REASONS = [
     "other",
 ]
 LOSS_REASONS = ["price_too_high", "lead_time", "went_with_competitor", "scope_change", "other"]
+CLOSING_OUTCOMES = ["won", "lost", "expired"]
 QUOTE_STATUSES = ["draft", "review", "sent", "won", "lost", "expired"]
 
 # ---- FIXED VALUES: model names and settings --------------------------------

@@ -44,3 +44,30 @@ def workflow_events(events: DataFrame) -> DataFrame:
 def load_workflow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow_events(read_table(spark, sf_dir, "events",
                                       ["event_id", "ts", "user_id", "event_type", "value"]))
+
+
+def _nth(values: list[str], n: int) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int") + 1)
+
+
+def _each(n: int) -> Column:
+    return F.col("event_id") % n == 0
+
+
+def override_requests(ev: DataFrame) -> DataFrame:
+    """Override requests of the events, with defects planted by event id."""
+    return ev.where(F.col("event") == "override").select(
+        "event_id", F.when(_each(11), -5.0).when(_each(13), 2e7).otherwise(F.col("human_price")).alias("human_price"),
+        F.when(_each(17), "gut_feeling").otherwise(F.col("reason")).alias("reason"),
+        F.when(_each(19), F.repeat(F.lit("x"), 1001)).otherwise(F.lit("checked")).alias("reason_text"),
+        F.when(_each(23), "Mori-san").when(~_each(5), _nth(S.VALID_ESTIMATORS, 3)).alias("estimator_id"))
+
+
+def outcome_requests(ev: DataFrame) -> DataFrame:
+    """Outcome requests of the events, with defects planted by event id."""
+    return ev.where(F.col("event") == "outcome").select(
+        "event_id", F.when(_each(7), "cancelled").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(_each(11), "weather").when(F.col("outcome") == "lost", _nth(S.LOSS_REASONS, 5)).alias("reason"),
+        F.when(_each(13), F.repeat(F.lit("x"), 1001)).otherwise(F.lit("as agreed")).alias("reason_text"),
+        F.when(_each(17), 0.0).when(~_each(4), F.col("model_price")).alias("final_price"),
+        F.when(_each(19), F.repeat(F.lit("P"), 101)).otherwise(F.lit("PO-1")).alias("po_number"))
