@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from .quantiles import grouped_stats
+from .stage import write_stage
 
 OOF_COLUMNS = ["quote_id", "fold", "model", "actual", "pred", "material", "part_description",
                "base_part_type", "quantity", "estimator", "rush_job", "quote_date"]
@@ -41,7 +42,7 @@ def m0_fit(train: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.struct(F.lit("rush").alias("dim"), F.col("rush_job").cast("string").alias("level")),
     )).alias("d")).select("k", "d.dim", "d.level", "unit_price").where(F.col("level").isNotNull())
     med = grouped_stats(stacked, ["k", "dim", "level"], [], [("med", "unit_price", 0.5)])
-    med = med.cache()
+    med = write_stage(med, "m0-medians")
     glob = med.where(F.col("dim") == "global").select("k", F.col("med").alias("global_median"))
     rush = med.where(F.col("dim") == "rush").groupBy("k").agg(
         F.max(F.when(F.col("level") == "true", F.col("med"))).alias("_r"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import workflow as W
+from ..operators.stage import cached_stage
 from ..sources.events import load_workflow_events, outcome_requests, override_requests
 from .registry import register
 from .sqlbase import _s, with_ctes
@@ -61,7 +62,8 @@ WF = with_ctes(WF_CTE)
 
 
 def _lc(spark, sf):
-    return W.lifecycle(load_workflow_events(spark, sf))
+    """The replay, written once and shared by every workflow query."""
+    return cached_stage(spark, "lifecycle", sf, lambda: W.lifecycle(load_workflow_events(spark, sf)))
 
 
 @register("q03_lifecycle", oracle=WF + f"""

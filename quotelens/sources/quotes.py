@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators.stage import cached_stage
 from .tables import read_table
 
 # ---- FIXED VALUES: how driver columns map onto the quote domain -----------
@@ -192,7 +193,8 @@ def dirty_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def load_dirty_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dirty_quotes(load_quotes(spark, sf_dir))
+    """The dirty view, written once and shared by the quality queries."""
+    return cached_stage(spark, "dirty_quotes", sf_dir, lambda: dirty_quotes(load_quotes(spark, sf_dir)))
 
 
 def quote_requests(dirty: DataFrame) -> DataFrame:
