@@ -7,7 +7,7 @@ Every public function takes and returns DataFrames. Sub-packages:
 * ``operators`` -- DataFrame -> DataFrame operators (quality, profile,
   models, cross-validation, bias, bands, lenses, workflow)
 * ``plans``     -- the query catalog and the DuckDB oracle SQL
-* ``streaming`` -- Structured Streaming jobs (scoring, lifecycle, drift)
+* ``streaming`` -- Structured Streaming jobs (lifecycle, drift)
 """
 
 import sys

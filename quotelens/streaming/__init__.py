@@ -1 +1 @@
-"""Structured Streaming jobs (ST1-ST3)."""
+"""Structured Streaming jobs (ST2, ST3)."""
