@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared_bytes
+from .common import small_batches, write_shared_bytes
 
 # Letters and numbers that newer Unicode tables add and the tokenizers library does not know as such.
 UNKNOWN_LETTERS = (
@@ -348,7 +348,7 @@ def build_lexicon(df: DataFrame, spec: dict, text_col: str = "text", size: int =
 def _mapped(df: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int, row, schema: str) -> DataFrame:
     spark = df.sparkSession
     spec = load_spec(tokenizer)
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = small_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     uri = write_shared_bytes(spark, build_lexicon(docs, spec, "text", size), "words.lexicon")
     spark.sparkContext.addFile(uri)
     name = uri.rsplit("/", 1)[1]

@@ -44,6 +44,19 @@ def write_shared_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     return uri
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Spark hand at most 1000 rows at once to Python where the session
+    keeps its default of 10,000: the rows here are whole texts and sketches,
+    and a batch is held by the JVM and by Python at the same time."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS) == "10000":
+        conf.set(ARROW_ROWS, "1000")
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

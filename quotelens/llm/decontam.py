@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, window_hashes
+from .common import mix64, small_batches, stage, window_hashes
 
 # Units of measure and currency that may follow a number.
 UNITS = frozenset((
@@ -165,7 +165,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, width: int = 5, literals: in
     reported. Other columns are not read; an empty table on either side gives
     an empty result."""
     text = F.col(f"`{text_col}`").cast("string")
-    docs = df.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key")).alias("id"),
+    docs = small_batches(df).select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key")).alias("id"),
                      text.alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     widths = list(range(width, literals - 1, -1))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Frequent function words of the languages that are told from menus.
 STOP_WORDS = frozenset((
     "a an and are as at be but by for from had has have he her his in is it its not of on or she that the their they "
@@ -231,7 +233,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     A null or empty page has an empty text; broken markup is read as far as it
     goes. Null and repeated ids are rows like others, other columns are not
     read, an empty table gives an empty result. One page is one worker's."""
-    rows = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
+    rows = small_batches(df).select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                      F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def run(batches):

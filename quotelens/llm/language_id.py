@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 UNDETERMINED = "und"
 
@@ -175,7 +175,7 @@ def identify(df: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id",
     Repeated rows and null ids are rows like others; an empty table gives an
     empty result; other columns are not read."""
     shared = df.sparkSession.sparkContext.broadcast(words)
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = small_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         model = Model(shared.value)
@@ -201,4 +201,4 @@ def drop_undetermined(df: DataFrame, words: dict[str, list[str]], text_col: str
                 part = b.slice(first, 512)
                 known = [model.predict(t)[0] != UNDETERMINED for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(known, pa.bool_()))
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

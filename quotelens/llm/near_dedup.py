@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, components, drop_stage, mix64, partitions, stage, window_hashes
+from .common import WordHasher, components, drop_stage, mix64, partitions, small_batches, stage, window_hashes
 
 REGISTERS = 512
 BAND_REGISTERS = 256
@@ -282,7 +282,7 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: s
     are not read; an empty table gives an empty result."""
     percent = round(threshold * 100)
     text = F.col(f"`{text_col}`").cast("string")
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("ck"),
+    docs = small_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("ck"),
                      text.alias("text"))
     rows = stage(sketches(docs, k), "sketches")
     nodes = stage(rows.where("doc_id is not null and n > 0").groupBy("ck").agg(

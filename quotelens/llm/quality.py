@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 DIM, NONZERO, WINDOW = 96, 6, 2
 REPEAT = "<repeat>"
@@ -192,7 +192,7 @@ def score(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: s
     vector. Without a model every score is 0.5. Repeated rows and null ids are
     rows like others, other columns are not read, an empty table gives an
     empty result."""
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = small_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

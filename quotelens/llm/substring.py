@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix64, partitions, stage, window_hashes
+from .common import WordHasher, mix64, partitions, small_batches, stage, window_hashes
 from .near_dedup import words_of
 
 K, WINDOW = 5, 14
@@ -263,7 +263,7 @@ def repeated_passages(df: DataFrame, min_words: int = 50, similarity: float = 0.
     different texts of one id are different documents of that id, which aren't
     compared with each other. Other columns are not read; an empty table gives
     an empty result."""
-    texts = _texts(df, id_col, text_col)
+    texts = _texts(small_batches(df), id_col, text_col)
     seeds = stage(_seeds(texts), "seeds")
     first = F.min(F.struct("doc", "at")).alias("first")
     hubs = seeds.groupBy("h").agg(first, F.max("doc").alias("top")).where("top > first.doc") \
