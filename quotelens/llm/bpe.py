@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, write_shared_bytes
+from .common import drop_stage, small_batches, stage, write_shared_bytes
 
 # Letters and numbers that newer Unicode tables add and the tokenizers library does not know as such.
 UNKNOWN_LETTERS = (
@@ -338,9 +338,21 @@ def word_counts(df: DataFrame, spec: dict, text_col: str) -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, spec: dict, text_col: str = "text", size: int = 50_000) -> bytes:
-    """The compiled lexicon of the ``size`` words that are most frequent over
-    all rows (ties: smaller word). Only those words reach the driver."""
-    top = word_counts(df, spec, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    """The compiled lexicon of the words that are most frequent over all rows.
+
+    Counts are sorted into narrow steps of their logarithm; the lexicon holds
+    the most frequent steps that fit whole into ``size`` words. The driver
+    receives the steps' sizes (about a thousand) and those words."""
+    counts = stage(word_counts(df, spec, text_col), "words")
+    step = F.floor(F.log2("n") * 16)
+    taken, low = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        taken += r["words"]
+        if taken > size:
+            break
+        low = r["step"]
+    top = counts.where(step >= low).select("word").collect() if low is not None else []
+    drop_stage(counts)
     codec = Codec(spec)
     return compile_lexicon({r["word"].encode(): tuple(codec.merge(r["word"])) for r in top})
 
