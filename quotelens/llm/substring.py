@@ -5,12 +5,13 @@ with the smallest hash is a seed, so any run of ``WINDOW + K - 1`` words that
 two documents share holds a common seed. A seed's occurrences are joined with
 its first one (the hub), never with each other. The matches of a document with
 each hub are chained: matches in the same order on both sides add up, gaps
-cost, and a Fenwick tree finds each match's best predecessor. Chains are
+cost, and a tree of maxima finds each match's best predecessor within reach. Chains are
 aligned word by word and cut to their best passages."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -52,32 +53,45 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
 
     A chain's value is K words a match less ``GAP_COST`` a word stepped over
     on either side. As that cost is linear, the best predecessor of a match is
-    the one to its lower left with the largest value + cost * (x + y): a
-    prefix maximum in a Fenwick tree over the ranks of y."""
-    order = np.lexsort((-y, x)).tolist()
+    the one to its lower left, ``MAX_GAP`` away at most on either side, with
+    the largest value + cost * (x + y): a maximum over a range of y in a tree
+    from which the matches go that x has left behind."""
     xs, ys = x.tolist(), y.tolist()
-    ranks = {v: i + 1 for i, v in enumerate(sorted(set(ys)))}
-    size = len(ranks)
-    tree: list[tuple] = [(-1e18, -1)] * (size + 1)
-    value, before = [0.0] * len(xs), [-1] * len(xs)
+    order = np.lexsort((-y, x)).tolist()
+    by_y = np.lexsort((x, y)).tolist()
+    leaf_y, size = [ys[m] for m in by_y], len(by_y)
+    leaf = [0] * size
+    for i, m in enumerate(by_y):
+        leaf[m] = i
+    none = (-1e18, -1)
+    tree: list[tuple] = [none] * (2 * size)
+
+    def put(m: int, entry: tuple) -> None:
+        at = leaf[m] + size
+        tree[at] = entry
+        while at > 1:
+            at >>= 1
+            tree[at] = max(tree[2 * at], tree[2 * at + 1])
+    value, before, gone = [0.0] * size, [-1] * size, 0
     for m in order:
-        r = ranks[ys[m]] - 1
-        best = (-1e18, -1)
-        while r > 0:
-            if tree[r] > best:
-                best = tree[r]
-            r -= r & -r
-        gain = best[0] - GAP_COST * (xs[m] + ys[m])
-        p = best[1]
-        if p >= 0 and gain > 0 and xs[p] < xs[m] and xs[m] - xs[p] <= MAX_GAP and ys[m] - ys[p] <= MAX_GAP:
+        while xs[m] - xs[order[gone]] > MAX_GAP:
+            put(order[gone], none)
+            gone += 1
+        best, lo, hi = none, bisect_left(leaf_y, ys[m] - MAX_GAP) + size, bisect_left(leaf_y, ys[m]) + size
+        while lo < hi:
+            if lo & 1:
+                best = max(best, tree[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                best = max(best, tree[hi])
+            lo, hi = lo >> 1, hi >> 1
+        gain, p = best[0] - GAP_COST * (xs[m] + ys[m]), best[1]
+        if p >= 0 and gain > 0 and xs[p] < xs[m]:
             value[m], before[m] = K + gain, p
         else:
             value[m] = K
-        r, own = ranks[ys[m]], (value[m] + GAP_COST * (xs[m] + ys[m]), m)
-        while r <= size:
-            if own > tree[r]:
-                tree[r] = own
-            r += r & -r
+        put(m, (value[m] + GAP_COST * (xs[m] + ys[m]), m))
     used, found = [False] * len(xs), []
     for m in sorted(range(len(xs)), key=lambda m: (-value[m], xs[m], ys[m])):
         chain = []

@@ -73,6 +73,15 @@ def test_chain_by_fenwick_tree_equals_quadratic_search():
         assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in found)
 
 
+def test_second_passage_behind_a_long_gap(spark):
+    r = random.Random(11)
+    one, two = words(r, 200), words(r, 60)
+    rows = [(i, " ".join(one + words(r, 60) + two)) for i in (1, 2)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = set().union(*(range(g["start_word"], g["start_word"] + g["n_words"]) for g in got))
+    assert found == set(range(200)) | set(range(260, 320))
+
+
 def test_cutting_words():
     assert substring.cut_spans("a b  c\nd e", [(1, 2)]) == "a d e"
     assert substring.cut_spans("a b c", [(0, 2), (1, 2)]) == ""
