@@ -22,6 +22,7 @@ from .common import WordHasher, mix64, partitions, small_batches, stage, window_
 from .near_dedup import words_of
 
 K, WINDOW = 5, 14
+CIRCLE = 50
 GAP_COST = 0.1
 MAX_GAP = 48
 PAD = 96
@@ -30,14 +31,16 @@ RESYNC = sorted(((i, j) for i in range(9) for j in range(9) if i or j), key=lamb
 
 
 def seeds_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(positions, hashes)`` of the seeds of a word sequence. The n-th
-    occurrence of a k-mer is hashed with n, so that a text that goes round in
-    circles has no ties and matches turn by turn."""
+    """``(positions, hashes)`` of the seeds of a word sequence. The n-th of
+    the occurrences of a k-mer that follow each other in less than ``CIRCLE``
+    words is hashed with n, so that a text that goes round in circles has no
+    ties and matches turn by turn; one that comes back later starts anew, so
+    that each copy of a passage has the hashes of the first."""
     h = window_hashes(ids, K)
     if not len(h):
         return np.empty(0, np.int64), h
     order = np.argsort(h, kind="stable")
-    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (np.diff(order) >= CIRCLE)]
     if not new.all():
         turn = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
         h[order] = np.where(turn > 0, mix64(h[order] + turn.astype(np.uint64)), h[order])
@@ -270,8 +273,9 @@ def repeated_passages(df: DataFrame, min_words: int = 50, similarity: float = 0.
     ``min_words`` words or more in the document, of which (and of the source's)
     a share of ``similarity`` is equal in order. Each document is compared with
     the first document of each of its seeds, so that a passage in n documents
-    gives n - 1 rows, not all pairs; whole copies are passages like others, and
-    what a document says n times is compared turn by turn. A chain is followed up to ``PAD`` words beyond its outer seeds.
+    gives n - 1 rows, not all pairs; whole copies are passages like others.
+    What a document says again after ``CIRCLE`` words or more is compared with
+    the source each time, quicker repetitions turn by turn. A chain is followed up to ``PAD`` words beyond its outer seeds.
 
     Null ids and null or short texts take no part. Repeated rows are one; the
     different texts of one id are different documents of that id, which aren't

@@ -82,6 +82,14 @@ def test_second_passage_behind_a_long_gap(spark):
     assert found == set(range(200)) | set(range(260, 320))
 
 
+def test_a_document_that_says_an_earlier_passage_twice(spark):
+    r = random.Random(12)
+    p = words(r, 70)
+    rows = [(1, " ".join(words(r, 50) + p + words(r, 50))), (2, " ".join(p + words(r, 80) + p))]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((g["start_word"], g["n_words"], g["source_start"]) for g in got) == [(0, 70, 50), (150, 70, 50)]
+
+
 def test_cutting_words():
     assert substring.cut_spans("a b  c\nd e", [(1, 2)]) == "a d e"
     assert substring.cut_spans("a b c", [(0, 2), (1, 2)]) == ""
