@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from .common import WordHasher, mix64, partitions, small_batches, stage, window_hashes
 from .near_dedup import words_of
 
-K, WINDOW = 5, 14
+K, WINDOW = 5, 9
 CIRCLE = 50
 GAP_COST = 0.1
 MAX_GAP = 48
 PAD = 96
 SHIFT = 32  # a place is the number of the id's text and, in the low bits, the word
-RESYNC = sorted(((i, j) for i in range(9) for j in range(9) if i or j), key=lambda g: (max(g), abs(g[0] - g[1])))
+SHORT = 8  # words: a longer difference weighs in full
+RESYNC = sorted(((i, j) for i in range(SHORT + 1) for j in range(SHORT + 1) if i or j), key=lambda g: (max(g), abs(g[0] - g[1])))
+RESYNC += [(i, i) for i in range(SHORT + 1, 2 * SHORT + 1)]
 
 
 def seeds_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +104,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
             used[m] = True
             chain.append(m)
             m = before[m]
-        if len(chain) > 1:
+        if chain:
             found.append(chain[::-1])
     return found
 
@@ -121,48 +123,87 @@ def _grow(a: list, b: list, i: int, j: int, stops: list) -> list[tuple]:
         i, j = i + run, j + run
         for di, dj in RESYNC:
             if a[i + di:i + di + 3] == b[j + dj:j + dj + 3] and i + di + 3 <= n and j + dj + 3 <= m:
+                if di == dj:  # words replaced by as many: those between them may agree
+                    runs += [(i + d, j + d, 1) for d in range(di) if a[i + d] == b[j + d]]
                 i, j = i + di, j + dj
                 break
         else:
             while k < len(stops) and (stops[k][0] < i or stops[k][1] < j):
                 k += 1
-            if k == len(stops):
-                return runs
+            if k == len(stops):  # single words may still agree at the passage's end
+                return runs + [(i + d, j + d, 1) for d in range(1, SHORT + 1) if i + d < n and j + d < m and a[i + d] == b[j + d]]
             i, j = stops[k]
 
 
 def passages(a: list, b: list, anchors: list[tuple], min_words: int, similarity: float) -> list[tuple]:
     """``(start, length, other start, other length, equal words)`` of the
-    chain's passages: the best stretches of its alignment, in which a word
-    that differs outweighs as many equal ones as ``similarity`` allows."""
+    chain's passages: stretches of its alignment in which ``similarity`` of
+    the words are equal.
+
+    The best stretch is taken first, with short differences at half the price
+    at which a stretch at the limit is worth nothing, else at the full price;
+    where neither gives a passage, the longest stretch within the limit is."""
     i, j = anchors[0]
     back = _grow(a[:i][::-1], b[:j][::-1], 0, 0, [])
     runs = [(i - p - n, j - q - n, n) for p, q, n in reversed(back)] + _grow(a, b, i, j, anchors[1:])
+    gaps = [0] + [max(q[0] - p[0] - p[2], q[1] - p[1] - p[2]) for p, q in zip(runs, runs[1:])]
     price = similarity / (1 - similarity)
     out, todo = [], [(0, len(runs))]
     while todo:
         lo, hi = todo.pop()
-        best, total, start, span = 0.0, 0.0, lo, None
-        for r in range(lo, hi):
-            if r > lo:
-                p, q = runs[r - 1], runs[r]
-                total -= price * max(q[0] - p[0] - p[2], q[1] - p[1] - p[2])
-            if total <= 0:
-                total, start = 0.0, r
-            total += runs[r][2]
-            if total > best:
-                best, span = total, (start, r)
-        if span is None or best < min_words * similarity / 4:
+        if hi <= lo or runs[hi - 1][0] + runs[hi - 1][2] - runs[lo][0] < min_words:
             continue
-        first, last = runs[span[0]], runs[span[1]]
-        na, nb = last[0] + last[2] - first[0], last[1] + last[2] - first[1]
-        equal = sum(r[2] for r in runs[span[0]:span[1] + 1])
-        if na >= min_words and equal >= similarity * max(na, nb) - 1e-9:
-            out.append((first[0], na, first[1], nb, equal))
-        todo += [(lo, span[0]), (span[1] + 1, hi)]
+        for find in (lambda: _best(runs, gaps, lo, hi, price / 2, price), lambda: _best(runs, gaps, lo, hi, price, price),
+                     lambda: _longest(runs, gaps, lo, hi, similarity)):
+            s, e = find()
+            first, last = runs[s], runs[e]
+            na, nb = last[0] + last[2] - first[0], last[1] + last[2] - first[1]
+            equal = sum(r[2] for r in runs[s:e + 1])
+            if na >= min_words and equal >= similarity * max(na, nb) - 1e-9:
+                out.append((first[0], na, first[1], nb, equal))
+                todo += [(lo, s), (e + 1, hi)]
+                break
     return out
 
 
+def _best(runs: list, gaps: list, lo: int, hi: int, short: float, long: float) -> tuple[int, int]:
+    """The first and last of the runs with the largest sum of equal words less
+    the price of the words between."""
+    best, total, start, span = 0.0, 0.0, lo, (lo, lo)
+    for r in range(lo, hi):
+        if r > lo:
+            total -= gaps[r] * (short if gaps[r] <= SHORT else long)
+        if total <= 0:
+            total, start = 0.0, r
+        total += runs[r][2]
+        if total > best:
+            best, span = total, (start, r)
+    return span
+
+
+def _longest(runs: list, gaps: list, lo: int, hi: int, similarity: float) -> tuple[int, int]:
+    """The first and last of the longest stretch of runs with a share of
+    ``similarity`` of equal words: what lies between two prefix sums of which
+    the second isn't smaller."""
+    starts, ends, total = [], [], 0.0
+    for r in range(lo, hi):
+        total -= gaps[r] * similarity if r > lo else 0
+        starts.append(total)
+        total += runs[r][2] * (1 - similarity)
+        ends.append(total)
+    lows: list[int] = []
+    for k, v in enumerate(starts):
+        if not lows or v < starts[lows[-1]]:
+            lows.append(k)
+    best, span = 0, (lo, lo)
+    for e in range(len(ends) - 1, -1, -1):
+        while lows and ends[e] >= starts[lows[-1]] - 1e-9:
+            k = lows.pop()
+            if k <= e and runs[lo + e][0] + runs[lo + e][2] - runs[lo + k][0] > best:
+                best, span = runs[lo + e][0] + runs[lo + e][2] - runs[lo + k][0], (lo + k, lo + e)
+    return span
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, v, text``: the rows with an id and a text; ``v`` numbers the
     different texts of one id (0 where there is one)."""
@@ -220,7 +261,7 @@ def _groups(batches, columns: int, keys: int):
 
 
 def _chains(matches: DataFrame) -> DataFrame:
-    """``doc, v, hub, hv, xs, ys`` of each chain of two matches or more, from
+    """``doc, v, hub, hv, xs, ys`` of each chain of matches, from
     ``matches(doc, v, hub, hv, x, y)`` dealt and sorted by document."""
     def run(batches):
         out: list[tuple] = []
@@ -232,12 +273,11 @@ def _chains(matches: DataFrame) -> DataFrame:
             out.clear()
             return got
         for doc, v, hub, hv, x, y in _groups(batches, 6, 4):
-            if len(x) > 1:
-                both = np.unique(np.stack([x, y]), axis=1)
-                for c in chains(both[0], both[1]):
-                    out.append((doc[0], v[0], hub[0], hv[0], both[0][c], both[1][c]))
-                if len(out) >= 2000:
-                    yield batch()
+            both = np.unique(np.stack([x, y]), axis=1)
+            for c in chains(both[0], both[1]):
+                out.append((doc[0], v[0], hub[0], hv[0], both[0][c], both[1][c]))
+            if len(out) >= 2000:
+                yield batch()
         if out:
             yield batch()
     return matches.mapInArrow(run, "doc long, v long, hub long, hv long, xs array<int>, ys array<int>")

@@ -90,6 +90,26 @@ def test_a_document_that_says_an_earlier_passage_twice(spark):
     assert sorted((g["start_word"], g["n_words"], g["source_start"]) for g in got) == [(0, 70, 50), (150, 70, 50)]
 
 
+def test_changed_passages_of_fifty_words(spark):
+    r = random.Random(13)
+    rows = []
+    for i in range(60):
+        p = words(r, 50)
+        q = list(p)
+        for at in r.sample(range(1, 49), 5):
+            q[at] = "changed"
+        rows += [(i, " ".join(words(r, 60) + p + words(r, 60))), (100 + i, " ".join(words(r, 60) + q + words(r, 60)))]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(g["doc_id"] == g["source_id"] + 100 and g["similarity"] >= 0.8 for g in got)
+    assert len({g["doc_id"] for g in got}) >= 57
+
+
+def test_stretches_below_the_best_price_are_passages():
+    a = list(range(50))
+    b = [-i if i % 5 == 2 else i for i in a]
+    assert substring.passages(a, b, [(0, 0)], 50, 0.8) == [(0, 50, 0, 50, 40)]
+
+
 def test_cutting_words():
     assert substring.cut_spans("a b  c\nd e", [(1, 2)]) == "a d e"
     assert substring.cut_spans("a b c", [(0, 2), (1, 2)]) == ""
