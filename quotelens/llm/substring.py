@@ -12,17 +12,19 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix64, partitions, small_batches, stage, window_hashes
+from .common import WordHasher, drop_stage, mix64, partitions, small_batches, stage, window_hashes
 from .near_dedup import words_of
 
 K, WINDOW = 5, 9
 CIRCLE = 50
+LEVELS = (1, 2, 4)  # seeds in the runs that are joined after the first round
 GAP_COST = 0.1
 MAX_GAP = 48
 PAD = 96
@@ -314,6 +316,9 @@ def repeated_passages(df: DataFrame, min_words: int = 50, similarity: float = 0.
     a share of ``similarity`` is equal in order. Each document is compared with
     the first document of each of its seeds, so that a passage in n documents
     gives n - 1 rows, not all pairs; whole copies are passages like others.
+    Seeds that no passage explains then, alone and in runs of neighbours, are
+    compared with the next document that holds them, round by round until a
+    round explains no more of them.
     What a document says again after ``CIRCLE`` words or more is compared with
     the source each time, quicker repetitions turn by turn. A chain is followed up to ``PAD`` words beyond its outer seeds.
 
@@ -323,14 +328,97 @@ def repeated_passages(df: DataFrame, min_words: int = 50, similarity: float = 0.
     an empty result."""
     texts = _texts(small_batches(df), id_col, text_col)
     seeds = stage(_seeds(texts), "seeds")
-    first = F.min(F.struct("doc", "at")).alias("first")
-    hubs = seeds.groupBy("h").agg(first, F.max("doc").alias("top")).where("top > first.doc") \
+    hubs = seeds.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("top")).where("top > first.doc") \
         .select("h", F.col("first.doc").alias("hub"), F.col("first.at").alias("hub_at"))
+    shared = stage(seeds.join(hubs, "h"), "shared")
+    drop_stage(seeds)
+    found = stage(_aligned(shared, texts, min_words, similarity), "passages")
+    runs = stage(_marked(_runs(shared), found), "runs")
+    drop_stage(shared)
+    rounds = [found]
+    while not runs.where("open").isEmpty():
+        first = F.min(F.struct("doc", "at")).alias("first")
+        hubs = runs.groupBy("h").agg(first, F.max(F.when(F.col("open"), F.col("doc"))).alias("top")).where("top > first.doc") \
+            .select("h", F.col("first.doc").alias("hub"), F.col("first.at").alias("hub_at"))
+        rest = stage(runs.join(hubs, "h").where("doc > hub"), "rest")
+        found = stage(_aligned(rest.where("open"), texts, min_words, similarity), "passages")
+        drop_stage(runs)
+        if found.isEmpty():
+            break
+        rounds.append(found)
+        runs = stage(_marked(rest.drop("hub", "hub_at"), found), "runs")
+        drop_stage(rest)
+        if runs.where("was and not open").isEmpty():
+            break
+    return reduce(DataFrame.union, rounds).drop("v").distinct()
+
+
+def _runs(shared: DataFrame) -> DataFrame:
+    """``doc, v, at, last, h, open``: runs of neighbouring seeds of
+    ``shared(h, doc, at, hub)``, with the place of the run's last seed. Runs
+    of one are only those that the hub doesn't hold itself."""
+    def run(batches):
+        for doc, at, h, first in _groups(_wide(batches), 4, 1):
+            for m in LEVELS:
+                if m == 1:
+                    i = np.flatnonzero(first == 0)
+                    keys = h[i]
+                else:
+                    n = max(len(at) - m + 1, 0)
+                    i = np.flatnonzero(at[m - 1:][:n] - at[:n] <= 2 * CIRCLE)
+                    keys = window_hashes(h.view(np.uint64), m).view(np.int64)[i]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], at[i], at[i + m - 1], keys)], ["doc", "at", "last", "h"])
+    rows = shared.select("doc", "at", "h", (F.col("doc") == F.col("hub")).cast("int").alias("first"))
+    dealt = rows.repartition(partitions(shared.sparkSession), "doc").sortWithinPartitions("doc", "at")
+    return dealt.mapInArrow(run, "doc long, at long, last long, h long").withColumn("open", F.lit(True))
+
+
+def _marked(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """``runs`` with ``open`` false where a passage of ``found`` explains the
+    run, and ``was``, what it was before."""
+    def run(batches):
+        for doc, at, last, h, was, kind in _groups(_wide(batches), 6, 1):
+            spans, rows = np.flatnonzero(kind == 0), np.flatnonzero(kind)
+            if not len(rows):
+                continue
+            inside = np.zeros(len(rows), bool)
+            if len(spans):
+                # of the passages that start at or before a run, the end of the one that reaches furthest
+                reach = np.maximum.accumulate(last[spans])
+                k = np.searchsorted(at[spans], at[rows], side="right") - 1
+                inside = (k >= 0) & (last[rows] + K <= reach[np.maximum(k, 0)])
+            before = was[rows] == 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[rows], at[rows], last[rows], h[rows], before & ~inside, before)], names)
+    names = ["doc", "at", "last", "h", "open", "was"]
+    start = F.shiftleft(F.col("v").cast("long"), SHIFT) + F.col("start_word")
+    spans = found.select(F.col("doc_id").alias("doc"), start.alias("at"), (start + F.col("n_words")).alias("last"),
+                         F.lit(0).cast("long").alias("h"), F.lit(0).alias("was"), F.lit(0).alias("kind"))
+    rows = runs.select("doc", "at", "last", "h", F.col("open").cast("int").alias("was"), F.lit(1).alias("kind")).union(spans)
+    dealt = rows.repartition(partitions(runs.sparkSession), "doc").sortWithinPartitions("doc", "at", "kind")
+    return dealt.mapInArrow(run, "doc long, at long, last long, h long, open boolean, was boolean")
+
+
+def _wide(batches, rows: int = 1 << 14):
+    """``batches`` put together to about ``rows`` rows."""
+    held: list = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The passages between the documents and hubs of ``pairs(doc, at, hub,
+    hub_at)``, with the number ``v`` of the document's text."""
     low = (1 << SHIFT) - 1
-    matches = seeds.join(hubs, "h").where("doc > hub").select(
+    matches = pairs.where("doc > hub").select(
         "doc", F.shiftright("at", SHIFT).alias("v"), "hub", F.shiftright("hub_at", SHIFT).alias("hv"),
         F.col("at").bitwiseAND(low).alias("x"), F.col("hub_at").bitwiseAND(low).alias("y"))
-    dealt = matches.repartition(partitions(df.sparkSession), "doc", "v").sortWithinPartitions("doc", "v", "hub", "hv", "x", "y")
+    dealt = matches.repartition(partitions(pairs.sparkSession), "doc", "v").sortWithinPartitions("doc", "v", "hub", "hv", "x", "y")
     found = stage(_chains(dealt).withColumn("id", F.monotonically_increasing_id()), "chains")
     ends = found.select("*", F.greatest(F.element_at("xs", 1) - PAD, F.lit(0)).alias("xl"), (F.element_at("xs", -1) + K + PAD).alias("xh"),
                         F.greatest(F.element_at("ys", 1) - PAD, F.lit(0)).alias("yl"), (F.element_at("ys", -1) + K + PAD).alias("yh"))
@@ -339,23 +427,23 @@ def repeated_passages(df: DataFrame, min_words: int = 50, similarity: float = 0.
     cut = _slices(texts, wanted)
     sides = cut.groupBy("id").agg(F.max(F.when(F.col("side") == 0, F.col("w"))).alias("a"),
                                   F.max(F.when(F.col("side") == 1, F.col("w"))).alias("b"))
-    rows = ends.join(sides, "id").select("doc", "hub", "xs", "ys", "xl", "yl", "a", "b")
+    rows = ends.join(sides, "id").select("doc", "hub", "xs", "ys", "xl", "yl", "a", "b", "v")
 
     def align(batches):
         for b in batches:
             out = []
-            doc, hub, xl, yl = (b.column(i).to_numpy() for i in (0, 1, 4, 5))
+            doc, hub, xl, yl, v = (b.column(i).to_numpy() for i in (0, 1, 4, 5, 8))
             for i in range(b.num_rows):
                 x, y = b.column(2)[i].values.to_numpy() - xl[i], b.column(3)[i].values.to_numpy() - yl[i]
                 a, o = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint32).tolist() for c in (6, 7))
                 for s, n, t, m, equal in passages(a, o, list(zip(x.tolist(), y.tolist())), min_words, similarity):
-                    out.append((doc[i], int(xl[i]) + s, n, hub[i], int(yl[i]) + t, m, equal, equal / max(n, m)))
+                    out.append((doc[i], int(xl[i]) + s, n, hub[i], int(yl[i]) + t, m, equal, equal / max(n, m), v[i]))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-    names = ["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "equal_words", "similarity"]
+    names = ["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "equal_words", "similarity", "v"]
     return rows.mapInArrow(align, "doc_id long, start_word int, n_words int, source_id long, source_start int, "
-                                  "source_words int, equal_words int, similarity double").distinct()
+                                  "source_words int, equal_words int, similarity double, v long")
 
 
 WORD = re.compile(r"[^ \t-\r]+")

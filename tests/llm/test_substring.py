@@ -110,6 +110,20 @@ def test_stretches_below_the_best_price_are_passages():
     assert substring.passages(a, b, [(0, 0)], 50, 0.8) == [(0, 50, 0, 50, 40)]
 
 
+def test_passage_whose_pieces_stand_in_earlier_documents(spark):
+    r = random.Random(14)
+    rows, want = [], {}
+    for size in (20, 30):
+        for _ in range(20):
+            p, n = words(r, 60), len(rows)
+            rows += [(n + i, " ".join(words(r, 40) + p[s:s + size] + words(r, 40))) for i, s in enumerate(range(0, 60, size))]
+            n = len(rows)
+            rows += [(n + i, " ".join(words(r, 40) + p + words(r, 40))) for i in (0, 1)]
+            want[n + 1] = n
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {g["doc_id"]: g["source_id"] for g in got if g["n_words"] >= 60} == want
+
+
 def test_cutting_words():
     assert substring.cut_spans("a b  c\nd e", [(1, 2)]) == "a d e"
     assert substring.cut_spans("a b c", [(0, 2), (1, 2)]) == ""
