@@ -10,8 +10,10 @@ registers drops hopeless pairs; the full shingle sets confirm the rest.
 How many bands a text has follows from its size: two sets of similarity t
 differ in at most d = (1 - t) / t * n shingles (n: the smaller set), each of
 which changes one register at most. With more than d bands, one band must
-agree, so up to ``EXACT_BANDS`` bands no link can be missed; larger texts
-have 32 bands of eight registers."""
+agree, so up to ``most_bands`` no link can be missed; larger texts have that
+many bands, so narrow that a pair at the threshold shares none with a chance
+below ``MISS`` (at 0.85: 32 bands of eight registers, 4e-5; at 0.8: 64 of
+four, 2e-15)."""
 
 from __future__ import annotations
 
@@ -26,8 +28,8 @@ REGISTERS = 512
 BAND_REGISTERS = 256
 MANTISSA = 10
 EMPTY = 0xFFFF
-LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-EXACT_BANDS = 32
+LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
+MISS = 1e-4
 CHUNK = 256
 
 
@@ -64,10 +66,15 @@ def differences(n: int, threshold: float) -> int:
     return int((1 - threshold) / threshold * n + 1e-9)
 
 
+def most_bands(threshold: float) -> int:
+    """Bands of the largest sets: 32 or more, as the threshold asks for."""
+    return next((b for b in LEVELS if b >= 32 and (1 - threshold ** (BAND_REGISTERS // b)) ** b < MISS), LEVELS[-1])
+
+
 def level(n: int, threshold: float) -> int:
     """Bands for a set of n shingles (see the module's text)."""
-    d = differences(n, threshold)
-    return next((b for b in LEVELS if b > d), EXACT_BANDS)
+    d, most = differences(n, threshold), most_bands(threshold)
+    return next((b for b in LEVELS if d < b < most), most)
 
 
 def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:

@@ -85,6 +85,17 @@ def test_a_similar_pair_always_shares_a_band_up_to_the_exact_size():
         assert len(np.intersect1d(*keys))
 
 
+def test_long_texts_at_the_pipelines_threshold_share_a_band():
+    r, apart = np.random.default_rng(15), 0
+    for i in range(9000):
+        n = 2700 if i % 2 else 900  # sets of n that differ in n / 9 on each side are similar by 0.8
+        pool = r.integers(0, 2**63, n + n // 9, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 9:])
+        keys = [near_dedup.node_keys(near_dedup.registers(s), len(s), 0.8) for s in (a, b)]
+        apart += not len(np.intersect1d(*keys))
+    assert apart == 0
+
+
 def test_estimate_is_close():
     r = np.random.default_rng(6)
     a = r.integers(0, 2**63, 4000, dtype=np.uint64)
