@@ -64,9 +64,10 @@ def literal(run: str) -> str:
     return EDGES.sub("", run).lower()
 
 
-def template(runs: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(word, literal, kind, place)`` per word: its hash with placeholders,
-    its literal hash, 0 or the kind of placeholder, and which run it is."""
+def template(runs: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(word, literal, kind, place, first)`` per word: its hash with placeholders,
+    its literal hash, 0 or the kind of placeholder, which run it is, and
+    whether it is a capitalised literal that begins a sentence."""
     code = np.fromiter(map(tokens.__getitem__, runs), np.uint64, len(runs))
     place = np.flatnonzero(code)
     code = code[place]
@@ -78,7 +79,7 @@ def template(runs: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, n
     kind = np.where(number, 1, np.where(((flags & IS_UNIT) > 0) & after_number, 3,
                                         np.where(((flags & IS_TITLE) > 0) & ~after_end, 2, 0)))
     word = np.select([kind == 1, kind == 2, kind == 3], [NUMBER, NAME, UNIT], lit)
-    return word, lit, kind, place
+    return word, lit, kind, place, ((flags & IS_TITLE) > 0) & after_end & (kind == 0)
 
 
 def window_keys(word: np.ndarray, lit: np.ndarray, kind: np.ndarray, width: int, literals: int) -> np.ndarray:
@@ -107,7 +108,9 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, widths: list[int], literals: int, bitmap=None) -> DataFrame:
-    """``id, key, at, width, windows, slots`` of each window of ``rows(id, text)``.
+    """``id, key, at, width, windows, slots, first`` of each window of
+    ``rows(id, text)``, and (``first`` = 1) once more of those that differ if
+    capitalised words at the start of sentences are names.
 
     With a bitmap: of every width in ``widths``, those that it lets through.
     Without: all of the largest width that the text is as long as."""
@@ -116,33 +119,41 @@ def _windows(rows: DataFrame, widths: list[int], literals: int, bitmap=None) ->
         bits = bitmap.value if bitmap is not None else None
         for b in batches:
             for first in range(0, b.num_rows, 512):
-                ids, keys, ats, sizes, totals, slots = [], [], [], [], [], []
+                ids, keys, ats, sizes, totals, slots, firsts = [], [], [], [], [], [], []
                 part = b.slice(first, 512)
                 for i, t in enumerate(part.column(1).to_pylist()):
                     runs = (t or "").split()
-                    word, lit, kind, place = template(runs, tokens)
-                    for width in widths:
-                        key = window_keys(word, lit, kind, width, literals)
-                        hit = np.arange(len(key))
-                        if bits is not None:
-                            slot = key >> np.uint64(64 - BITS)
-                            word_at, bit = (slot >> np.uint64(6)).astype(np.int64), slot & np.uint64(63)
-                            hit = np.flatnonzero((bits[word_at] >> bit) & np.uint64(1))
-                        for j in hit.tolist():
-                            inside = np.flatnonzero(kind[j:j + width]) + j
-                            ids.append(i)
-                            keys.append(key[j])
-                            ats.append(j)
-                            sizes.append(width)
-                            totals.append(len(key))
-                            slots.append([f"{kind[x]}{literal(runs[place[x]])}" for x in inside.tolist()])
-                        if bits is None and len(key):
-                            break
+                    word, lit, kind, place, begins = template(runs, tokens)
+                    for names in (0, 1):
+                        if names:
+                            if not begins.any():
+                                break
+                            word, kind = np.where(begins, NAME, word), np.where(begins, 2, kind)
+                            other = np.cumsum(np.r_[0, begins])
+                        for width in widths:
+                            key = window_keys(word, lit, kind, width, literals)
+                            hit = np.flatnonzero(other[width:] > other[:-width]) if names and len(key) else np.arange(len(key))
+                            if bits is not None:
+                                slot = key[hit] >> np.uint64(64 - BITS)
+                                word_at, bit = (slot >> np.uint64(6)).astype(np.int64), slot & np.uint64(63)
+                                hit = hit[np.flatnonzero((bits[word_at] >> bit) & np.uint64(1))]
+                            for j in hit.tolist():
+                                inside = np.flatnonzero(kind[j:j + width]) + j
+                                ids.append(i)
+                                keys.append(key[j])
+                                ats.append(j)
+                                sizes.append(width)
+                                totals.append(len(key))
+                                firsts.append(names)
+                                slots.append([f"{kind[x]}{literal(runs[place[x]])}" for x in inside.tolist()])
+                            if bits is None and len(key):
+                                break
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(ids, pa.int64())), pa.array(np.array(keys, np.uint64).view(np.int64)),
                      pa.array(ats, pa.int32()), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32()),
-                     pa.array(slots, pa.list_(pa.string()))], ["id", "key", "at", "width", "windows", "slots"])
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key long, at int, width int, windows int, slots array<string>")
+                     pa.array(slots, pa.list_(pa.string())), pa.array(firsts, pa.int32())],
+                    ["id", "key", "at", "width", "windows", "slots", "first"])
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key long, at int, width int, windows int, slots array<string>, first int")
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, width: int = 5, literals: int = 3, coverage: float = 0.5,
@@ -155,7 +166,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, width: int = 5, literals: in
     An item leaks into a text where ``coverage`` of its windows of ``width``
     words are found in it, counting only runs of windows whose placeholders
     take one value for each value of the item in a share of ``consistency`` of
-    the cases. ``changed`` says that some value differs from the item's;
+    the cases. Capitalised words that begin a sentence count as literals and,
+    in runs of their own, as names. ``changed`` says that some value differs from the item's;
     ``text_key`` is the text's MD5. A run without letters, digits or money
     signs is no word; an item shorter than a window is one window, and one of
     fewer than ``literals`` words is too short to leak.
@@ -171,13 +183,14 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, width: int = 5, literals: in
     widths = list(range(width, literals - 1, -1))
     known = stage(_windows(items.distinct(), widths, literals).select(
         F.col("id").alias("item_id"), "key", F.col("at").alias("item_at"), "windows", F.col("slots").alias("item_slots"),
-        "width"), "items")
+        "width", F.col("first").alias("item_first")), "items")
     used = [r["width"] for r in known.select("width").distinct().collect()]
     bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(known))
-    hits = stage(_windows(docs, sorted(used), literals, bitmap).select("id.doc_id", "id.text_key", "key", "at", "slots"), "hits")
+    hits = stage(_windows(docs, sorted(used), literals, bitmap).select("id.doc_id", "id.text_key", "key", "at", "slots", F.col("first").alias("doc_first")), "hits")
     pairs = hits.join(known, "key")
     zipped = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    run = pairs.groupBy("doc_id", "text_key", "item_id", "windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    run = pairs.groupBy("doc_id", "text_key", "item_id", "windows", (F.col("at") - F.col("item_at")).alias("shift"),
+                        F.greatest("item_first", "doc_first").alias("names")).agg(
         F.collect_set("item_at").alias("ats"), F.min("at").alias("first"),
         F.array_distinct(F.flatten(F.collect_list(zipped))).alias("values"))
     sure = F.when(F.size("values") == 0, 1.0).otherwise(

@@ -21,6 +21,13 @@ def test_reparameterised_and_inconsistent_questions(spark):
     assert not got[1, 1]["changed"] and got[2, 1]["changed"] and got[1, 1]["coverage"] > 0.9
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 3 more apples. Tom then eats 2 apples. How many apples does Tom have left?"
+    same = item.replace("Tom", "Ann").replace("5", "9").replace("3", "4").replace(" 2 ", " 6 ")
+    got = leaks(spark, [(1, same), (2, "Thanks. " + item), (3, "Ann then eats her apples. How many are left?")], [(1, item)])
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1]["changed"] and not got[2, 1]["changed"]
+
+
 def test_equals_plain_windows_on_random_text(spark):
     r = random.Random(10)
     vocabulary = [f"word{i}" for i in range(3000)]
