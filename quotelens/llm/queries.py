@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, language_id, near_dedup, quality, sharding, substring, topk, url_reputation
+from . import (bpe, decontam, hard_negatives, html_text, language_id, near_dedup, quality, runs, sharding, substring,
+               token_counts, topk, url_reputation)
 from .common import held_out, read_table
 
 
@@ -153,6 +154,57 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(docs, items).drop("text_key")
 
 
+def op11_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"])
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), is_anchor=lambda i: i % 100 == 0, scale=256)
+
+
+OP11_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+    list_sum([p[1] * p[2] for p in list_zip(a.v, c.v)])::bigint as score
+  from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r
+  from s where same) where r <= 5),
+n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score,
+    s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same
+    and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512) \
+        .select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
+def periodised(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: where the unsigned crc32 h of the id ends in 0, the
+    words from the (g % n)-th on, g = h div 10, repeat with a period of
+    1 + (n - a) div (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.withColumn("h", F.coalesce(h, F.lit(1))).withColumn("g", F.expr("h div 10")) \
+        .withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))) \
+        .withColumn("n", F.size("w"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    period = F.expr("1 + (n - a) div (3 + g % 8)")
+    word = F.expr("transform(sequence(0, n - 1), i -> w[if(i < a, i, cast(a + (i - a) % p as int))])")
+    return chosen.withColumn("a", a).withColumn("p", period) \
+        .select("doc_id", F.when(F.col("n") > 0, F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_square_catchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return runs.digests(runs.find_runs(periodised(docs)))
+
+
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_bpe_digests": op2_bpe_digests,
@@ -164,6 +216,9 @@ QUERIES = {
     "op8_collinear_chains": op8_collinear_chains,
     "op9_random_indexing": op9_random_indexing,
     "op10_templates": op10_templates,
+    "op11_gnat": op11_gnat,
+    "op12_prefix_counts": op12_prefix_counts,
+    "op13_square_catchers": op13_square_catchers,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -171,4 +226,5 @@ ORACLE_SQL = {
     "op5_norm_buckets": OP5_SQL,
     "op6_hyperminhash": OP6_SQL,
     "op7_host_reputation": OP7_SQL,
+    "op11_gnat": OP11_SQL,
 }
