@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import accumulate
+from array import array
+from operator import sub
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -51,13 +53,17 @@ def load_spec(path: str) -> dict:
 class PrefixCounter:
     """Tables of prefix counts for one tokenizer file."""
 
-    def __init__(self, spec: dict, limit: int = 200_000):
+    def __init__(self, spec: dict, limit: int = 400_000):
         self.limit, self.special = limit, sorted(spec["special"], key=len, reverse=True)
-        self.vocab = spec["vocab"]
+        self.vocab: dict[bytes, int] = spec["vocab"]
         self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(spec["merges"])}
         made = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], r) for r, (a, b) in enumerate(spec["merges"])}
         self.made = made
-        self.begins = {t[:k] for t in self.vocab for k in range(1, len(t))}  # proper beginnings of tokens
+        finder = ahocorasick.Automaton()  # the tokens that end at each place, the longest first
+        for t, i in self.vocab.items():
+            finder.add_word(t.decode("latin-1"), i << 16 | len(t))
+        finder.make_automaton()
+        self.find = finder.iter
         self.left: dict[int, list] = {}
         self.right: dict[int, list] = {}
         self.fits: dict[int, bool] = {}
@@ -102,29 +108,26 @@ class PrefixCounter:
         return True
 
     def prefix_counts(self, piece: bytes) -> list[int]:
-        """The number of tokens of every prefix of a piece, by bytes."""
-        n = len(piece)
-        counts, last = [0] + [-1] * n, [-1] * (n + 1)
-        vocab, begins, fits = self.vocab.get, self.begins, self.fits
-        for j in range(n):
-            before = last[j]
-            for i in range(j + 1, n + 1):
-                t = piece[j:i]
-                token = vocab(t)
-                if token is not None and counts[i] < 0:
-                    if before < 0:
-                        ok = True
-                    else:
-                        pair = before << 24 | token
-                        ok = fits.get(pair)
-                        if ok is None:
-                            if len(fits) >= 1_000_000:
-                                fits.clear()
-                            ok = fits[pair] = self.apart(before, token)
-                    if ok:
-                        counts[i], last[i] = counts[j] + 1, token
-                if t not in begins:
-                    break
+        """The number of tokens of every prefix of a piece, by bytes: of the
+        tokens that end there, the one that its forerunner is apart from."""
+        n, done = len(piece), 0
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        fits = self.fits
+        for end, found in self.find(piece.decode("latin-1")):
+            if end < done:
+                continue  # settled by a longer token
+            j, token = end + 1 - (found & 0xFFFF), found >> 16
+            if j:
+                pair = last[j] << 24 | token
+                ok = fits.get(pair)
+                if ok is None:
+                    if len(fits) >= 1_000_000:
+                        fits.clear()
+                    ok = fits[pair] = self.apart(last[j], token)
+                if not ok:
+                    continue
+            done = end + 1
+            counts[done], last[done] = counts[j] + 1, token
         return counts
 
     def count(self, piece: str) -> int:
@@ -136,11 +139,11 @@ class PrefixCounter:
         if got is None:
             raw = piece.encode("utf-8", "surrogatepass")
             at = self.prefix_counts(raw)
-            if len(raw) != len(piece):
-                at = [at[i] for i in accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)]
-            if piece in ENDINGS and len(piece) == 3:  # cut after two characters it is no ending, but two pieces
+            if len(raw) != len(piece):  # characters begin where no continuation byte stands
+                at = [c for c, b in zip(at, raw) if b & 0xC0 != 0x80] + at[-1:]
+            if len(piece) == 3 and piece in ENDINGS:  # cut after two characters it is no ending, but two pieces
                 at[2] = self.count(piece[0]) + self.count(piece[1])
-            got = np.diff(np.array(at, np.int64)).astype(np.int16).tobytes()
+            got = array("h", map(sub, at[1:], at)).tobytes()
         if len(piece) < 64:
             self.tables[piece] = got
         return got
