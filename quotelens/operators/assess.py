@@ -8,21 +8,19 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .predict import array_median, typical_range
+from .predict import recommendation, typical_range
 from .quantiles import grouped_stats
 
 WORST = 10
 
 
-def assessed_rows(preds: DataFrame, band: Row, key: str = "quote_id", factor: float = S.MARGIN_FACTOR) -> DataFrame:
+def assessed_rows(wide: DataFrame, band: Row, key: str = "quote_id", factor: float = S.MARGIN_FACTOR) -> DataFrame:
     """``key, actual, estimate, win_bid, protect_margin, low, high`` of each
-    quote from ``preds(key, model, actual, pred)``: the median of the top-tier
+    quote from ``wide(key, actual, preds)``: the median of the top-tier
     models, the margins of the chosen band (one row, with its model's name)
-    around it, and the typical range around that model's price. A group holds
-    one quote's models."""
-    top = F.col("model").isin(*S.TOP_TIER_LINEAR, *S.TOP_TIER_TREE)
-    g = preds.groupBy(key).agg(F.max("actual").alias("actual"), array_median(F.collect_list(F.when(top, F.col("pred")))).alias("estimate"),
-                               F.max(F.when(F.col("model") == band["model"], F.col("pred"))).alias("own"))
+    around it, and the typical range around that model's price."""
+    own = wide.select("*", F.col(f"preds.{band['model']}").alias("own"))
+    g = recommendation(own, None, key, keep=("actual", "own"))
     low, high = typical_range(F.col("own"), F.lit(band["lower_pct"]), F.lit(band["upper_pct"]))
     return g.select(key, "actual", "estimate", (F.col("estimate") * (1 + band["lower_pct"] * factor / 100)).alias("win_bid"),
                     (F.col("estimate") * (1 + band["upper_pct"] * factor / 100)).alias("protect_margin"),

@@ -28,24 +28,33 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.features import feature_columns, feature_names
-from .quantiles import grouped_stats
+from .cv import discount_slopes
+from .quantiles import weighted_quantiles
 
 K = S.N_FOLDS
+#: The fold number that stands for a fit on all rows; FITS are all of them.
+ALL = K
+FITS = range(K + 1)
 RIDGE_ALPHAS = np.logspace(-2, 4, 20)
 LASSO_ALPHAS = np.logspace(-4, 2, 30)
 PARTS = S.BASE_PART_TYPES + [S.UNKNOWN_PART]
 
 
+#: Names of the rows of a coefficient table that are no features.
+INTERCEPT, LOG_RUSH, SLOPE, PART_SLOPE = "__intercept__", "__log_rush__", "__slope__", "__slope__:"
+
+
 def _safe(name: str) -> str:
     return "c_" + "".join(ch if ch.isalnum() else "_" for ch in name)
 
 
-def design(q: DataFrame) -> tuple[DataFrame, list[str]]:
+def design(q: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Feature matrix for the linear family, one row per quote.
-    Returns the frame and the ordered list of matrix column names."""
+    Returns the frame and the ordered list of matrix column names; the
+    columns in ``keep`` go along."""
     base = feature_names("onehot", True)
     d = q.select("quote_id", "fold", "quantity", F.col("rush_job").alias("rush_raw"), "base_part_type", "unit_price",
-                 "total_price_usd", "quote_date", "material", "part_description", "estimator",
+                 "total_price_usd", "quote_date", "material", "part_description", "estimator", *keep,
                  *feature_columns("onehot", True))
     extra = {"days_since_epoch": F.datediff(F.col("quote_date"), F.lit("2023-01-01").cast("date")).cast("double")}
     rush = F.col("rush_job").cast("double")
@@ -68,7 +77,7 @@ def design(q: DataFrame) -> tuple[DataFrame, list[str]]:
     meta = [F.col("total_price_usd").alias("actual"), "material", "part_description", "base_part_type",
             F.col("quantity").alias("quantity"), "estimator", F.col("rush_raw").alias("rush_flag"), "quote_date"]
     out = d.select("quote_id", "fold", inner.alias("inner"), F.coalesce(F.col("base_part_type"),
-                   F.lit(S.UNKNOWN_PART)).alias("part"), *meta, *cols)
+                   F.lit(S.UNKNOWN_PART)).alias("part"), *keep, *meta, *cols)
     return out, names
 
 
@@ -179,11 +188,6 @@ def _lasso_cd(gn: np.ndarray, bn: np.ndarray, alpha: float, beta0=None, tol=1e-1
     return beta
 
 
-def _linear_expr(names: list[str], coef: np.ndarray, intercept: float) -> Column:
-    terms = [F.lit(float(intercept))] + [F.col(_safe(n)) * F.lit(float(c)) for n, c in zip(names, coef) if c != 0.0]
-    return reduce(lambda a, b: a + b, terms)
-
-
 def _by_fold(exprs: dict[int, Column]) -> Column:
     e = None
     for k, x in exprs.items():
@@ -216,21 +220,17 @@ def _m4_cols() -> list[str]:
 def two_stage_params(q: DataFrame) -> tuple[dict, dict, dict]:
     """Per training fold k: global slope (log unit price on log qty),
     rush multiplier (ratio of medians) and per-part slopes (n >= 5)."""
-    from .cv import training_rows
-    tr = training_rows(q, ["unit_price", "quantity", "rush_job", "base_part_type"])
-    tr = tr.withColumn("lq", F.log(F.col("quantity").cast("double"))).withColumn("ly", F.log("unit_price")) \
-        .withColumn("part", F.coalesce("base_part_type", F.lit(S.UNKNOWN_PART)))
-    gs = {r["k"]: r["s"] for r in tr.groupBy("k").agg(F.regr_slope("ly", "lq").alias("s")).collect()}
-    ps = {(r["k"], r["part"]): (r["s"], r["n"]) for r in
-          tr.groupBy("k", "part").agg(F.regr_slope("ly", "lq").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
-    med = grouped_stats(tr, ["k", "rush_job"], [], [("m", "unit_price", 0.5)]).collect()
+    part = q.withColumn("part", F.coalesce("base_part_type", F.lit(S.UNKNOWN_PART)))
+    gs = {r["k"]: r["slope"] for r in discount_slopes(q, []).collect()}
+    ps = {(r["k"], r["part"]): (r["slope"], r["n"]) for r in discount_slopes(part, ["part"]).collect()}
+    med = weighted_quantiles(q, ["rush_job"], "unit_price", [("m", 0.5)], leave_out=("fold", len(FITS))).collect()
     mm = {(r["k"], r["rush_job"]): r["m"] for r in med}
     rush = {}
-    for k in range(K):
+    for k in FITS:
         r, nr = mm.get((k, True)), mm.get((k, False))
         rush[k] = r / nr if r is not None and nr is not None else 1.0
     part_slopes = {k: {p: (ps[(k, p)][0] if (k, p) in ps and ps[(k, p)][1] >= 5 and ps[(k, p)][0] is not None
-                           else gs[k]) for p in PARTS} for k in range(K)}
+                           else gs[k]) for p in PARTS} for k in FITS}
     return gs, rush, part_slopes
 
 
@@ -288,11 +288,14 @@ def loo_errors(dsg: DataFrame, names: list[str], plans: dict) -> dict:
     return out
 
 
-def fit_linear_cv(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> tuple[DataFrame, list[dict]]:
-    """Fit the linear family on every training fold; return out-of-fold
-    scored rows (quote_id, model, pred) and the fitted coefficients."""
+def fit_linear(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> list[dict]:
+    """Fit the linear family on every training fold and, as fold ``ALL``, on
+    all rows: per model and fold the coefficients with what scoring needs to
+    turn their sum into a price."""
+    from .stage import write_stage
+
     dsg, names = design(q)
-    dsg = dsg.cache()
+    dsg = write_stage(dsg, "design")
     grams = cell_grams(dsg, names)
     gs, rush, pslopes = two_stage_params(q)
     fits, plans = {}, {}
@@ -300,7 +303,7 @@ def fit_linear_cv(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> tupl
         if model == "M4":
             continue
         x = _x_cols(RIDGE_SPECS[model][0])
-        for k in range(K):
+        for k in FITS:
             v = GramView(grams[[f for f in range(K) if f != k]].sum(axis=(0, 1)), names)
             comb = _target(model, k, gs, rush, pslopes)
             mu, sd, gz, zy, ybar, yyc = _standardize(v, x, *_target_stats(v, x, comb))
@@ -318,7 +321,7 @@ def fit_linear_cv(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> tupl
                          "intercept": pl["ybar"] - coef @ pl["mu"], "resid_var": rvar}
     if "M4" in models:
         x = _m4_cols()
-        for k in range(K):
+        for k in FITS:
             outer = GramView(grams[[f for f in range(K) if f != k]].sum(axis=(0, 1)), names)
             comb = _target("M4", k, gs, rush, pslopes)
             mu, sd, _gz, _zy, _yb, _yyc = _standardize(outer, x, *_target_stats(outer, x, comb))
@@ -332,9 +335,18 @@ def fit_linear_cv(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> tupl
             coef = beta / sd
             fits[("M4", k)] = {"model": "M4", "fold": k, "alpha": alpha, "x": x, "coef": coef,
                                "intercept": b0 - coef @ mu, "resid_var": rvar}
-    scored = score_linear(dsg, fits, gs, rush, pslopes)
-    dsg.unpersist()
-    return scored, list(fits.values())
+    for (model, k), f in fits.items():
+        if model in ("M3a", "M3b"):
+            f["log_rush"], f["slope"] = float(np.log(rush[k])), float(gs[k])
+            f["part_slopes"] = {p: float(pslopes[k][p]) for p in PARTS} if model == "M3b" else {}
+    return list(fits.values())
+
+
+def fit_linear_cv(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> tuple[DataFrame, list[dict]]:
+    """Out-of-fold rows (quote_id, model, pred, ...) of the linear family, and
+    all fits."""
+    fits = fit_linear(q, models)
+    return score_linear(design(q)[0], fits), fits
 
 
 def _zspace(v: GramView, x, comb, mu, sd):
@@ -377,46 +389,94 @@ def _lasso_fit(v: GramView, x, comb, mu, sd, alpha):
     return beta, b0, max(rvar, 0.0)
 
 
-def score_linear(dsg: DataFrame, fits: dict, gs, rush, pslopes) -> DataFrame:
+def with_linear_prices(dsg: DataFrame, fits: list[dict], folds=range(K), keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """``dsg`` with a struct ``linear`` of one price a model, and the models'
+    names: each row is scored by the fit of its ``fold`` (``ALL`` is the fit on
+    all rows). A fold's coefficients are one constant array that a row picks
+    once, so the generated code grows with the features, not with the folds."""
+    lq, rj = F.col(_safe("log_quantity")), F.col(_safe("rush_job"))
+    by_model: dict[str, dict[int, dict]] = {}
+    for f in fits:
+        if f["fold"] in folds:
+            by_model.setdefault(f["model"], {})[f["fold"]] = f
+    models = sorted(by_model)
+    if not models:
+        return (dsg if keep is None else dsg.select(*keep)), []
+    slopes = [SLOPE, LOG_RUSH, *PARTS]
+
+    def picked(of) -> Column:
+        return _by_fold({k: F.array(*[F.lit(float(c)) for c in of(k)]) for k in folds})
+
+    arrays, prices = {}, {}
+    for m in models:
+        fit = by_model[m]
+        names = next(iter(fit.values()))["x"]
+        used = [i for i in range(len(names)) if any(f["coef"][i] != 0.0 for f in fit.values())]
+        arrays[f"_c_{m}"] = picked(lambda k, fit=fit, used=used: [fit[k]["intercept"] + (
+            0.0 if m == "M1" else 0.5 * fit[k]["resid_var"]), *[fit[k]["coef"][i] for i in used]])
+        c = F.col(f"_c_{m}")
+        e = reduce(lambda a, b: a + b, [c[0], *[F.col(_safe(names[i])) * c[j + 1] for j, i in enumerate(used)]])
+        if m == "M1":
+            prices[m] = F.greatest(e, F.lit(0.0))
+            continue
+        if "slope" in next(iter(fit.values())):
+            arrays[f"_s_{m}"] = picked(lambda k, fit=fit: [fit[k]["slope"], fit[k]["log_rush"],
+                                                          *[fit[k]["part_slopes"].get(p, fit[k]["slope"]) for p in PARTS]])
+            own = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in PARTS]), F.col("part")), F.lit(0))
+            slope = F.element_at(F.col(f"_s_{m}"), F.when(own > 0, own + (len(slopes) - len(PARTS))).otherwise(1).cast("int"))
+            e = e + (F.lit(1.0) + slope) * lq + rj * F.col(f"_s_{m}")[1]
+        prices[m] = F.exp(e)
+    kept = dsg.columns if keep is None else keep
+    d = dsg.select("*", *[a.alias(n) for n, a in arrays.items()])
+    return d.select(*[F.col(c) for c in kept], F.struct(*[prices[m].cast("double").alias(m) for m in models]).alias("linear")), models
+
+
+META = ["actual", "material", "part_description", "base_part_type", "quantity", "estimator", "rush_flag", "quote_date"]
+
+
+def score_linear(dsg: DataFrame, fits: list[dict]) -> DataFrame:
     """Out-of-fold predictions of all models as column expressions of one
     scan (no UDF)."""
-    preds = []
-    lq = F.col(_safe("log_quantity"))
-    rj = F.col(_safe("rush_job"))
-    for model in sorted({m for m, _ in fits}):
-        per_fold = {}
-        for k in range(K):
-            f = fits[(model, k)]
-            lin = _linear_expr(f["x"], f["coef"], f["intercept"])
-            if model == "M1":
-                e = F.greatest(lin, F.lit(0.0))
-            elif model in ("M2", "M4"):
-                e = F.exp(lin + F.lit(0.5 * f["resid_var"]))
-            else:
-                if model == "M3a":
-                    slope = F.lit(float(gs[k]))
-                else:
-                    slope = None
-                    for p in PARTS:
-                        c = F.col("part") == p
-                        slope = F.when(c, F.lit(float(pslopes[k][p]))) if slope is None else slope.when(c, F.lit(float(pslopes[k][p])))
-                    slope = slope.otherwise(F.lit(float(gs[k])))
-                e = F.exp(lin + F.lit(0.5 * f["resid_var"]) + (F.lit(1.0) + slope) * lq
-                          + rj * F.lit(float(np.log(rush[k]))))
-            per_fold[k] = e
-        preds.append(F.struct(F.lit(model).alias("model"), _by_fold(per_fold).cast("double").alias("pred")))
-    return dsg.select("quote_id", "fold", F.explode(F.array(*preds)).alias("_p"), "actual", "material", "part_description",
-                      "base_part_type", "quantity", "estimator", F.col("rush_flag").alias("rush_job"), "quote_date") \
-        .select("quote_id", "fold", "_p.model", "actual", "_p.pred", "material", "part_description", "base_part_type",
-                "quantity", "estimator", "rush_job", "quote_date")
+    d, models = with_linear_prices(dsg, fits, keep=["quote_id", "fold", *META])
+    preds = [F.struct(F.lit(m).alias("model"), F.col(f"linear.{m}").alias("pred")) for m in models]
+    return d.withColumn("_p", F.explode(F.array(*preds))).select(
+        "quote_id", "fold", "_p.model", "actual", "_p.pred", "material", "part_description", "base_part_type", "quantity",
+        "estimator", F.col("rush_flag").alias("rush_job"), "quote_date")
 
 
 def coefficient_table(spark, fits: list[dict]) -> DataFrame:
-    """Fitted coefficients as a table (model, fold, feature, coef)."""
+    """The fits as a table (model, fold, feature, coef, alpha,
+    resid_var): coefficients on the features' own scale, the intercept and,
+    for the two-stage models, slopes and rush factor. It is all that scoring
+    needs (``load_fits``)."""
     rows = []
     for f in fits:
-        rows.append((f["model"], int(f["fold"]), "__intercept__", float(f["intercept"]), float(f["alpha"]),
-                     float(f["resid_var"])))
-        for n, c in zip(f["x"], f["coef"]):
-            rows.append((f["model"], int(f["fold"]), n, float(c), float(f["alpha"]), float(f["resid_var"])))
+        extra = [(INTERCEPT, f["intercept"])]
+        if "slope" in f:
+            extra += [(LOG_RUSH, f["log_rush"]), (SLOPE, f["slope"])]
+            extra += [(PART_SLOPE + p, v) for p, v in f["part_slopes"].items()]
+        rows += [(f["model"], int(f["fold"]), n, float(c), float(f["alpha"]), float(f["resid_var"]))
+                 for n, c in extra + list(zip(f["x"], f["coef"]))]
     return spark.createDataFrame(rows, "model string, fold int, feature string, coef double, alpha double, resid_var double")
+
+
+def load_fits(table: DataFrame) -> list[dict]:
+    """The fits of a coefficient table (its size is models x folds x features)."""
+    fits: dict = {}
+    for r in table.collect():
+        f = fits.setdefault((r["model"], r["fold"]), {"model": r["model"], "fold": r["fold"], "alpha": r["alpha"],
+                                                       "resid_var": r["resid_var"], "x": [], "coef": []})
+        name = r["feature"]
+        if name == INTERCEPT:
+            f["intercept"] = r["coef"]
+        elif name == LOG_RUSH:
+            f["log_rush"] = r["coef"]
+        elif name == SLOPE:
+            f["slope"] = r["coef"]
+            f.setdefault("part_slopes", {})
+        elif name.startswith(PART_SLOPE):
+            f.setdefault("part_slopes", {})[name[len(PART_SLOPE):]] = r["coef"]
+        else:
+            f["x"].append(name)
+            f["coef"].append(r["coef"])
+    return [f | {"coef": np.array(f["coef"])} for f in fits.values()]

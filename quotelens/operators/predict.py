@@ -105,54 +105,52 @@ def array_median(arr: Column) -> Column:
     return F.when(n > 0, (lo + hi) / 2)
 
 
-def model_disagreement(preds: DataFrame, key: str = "quote_id") -> DataFrame:
-    """A20 + R9: per row min, max, median over models, spread % =
-    (max - min) / median, flag > 20 %. Groups are one row's models, so
-    the in-memory median is bounded by the number of models."""
-    g = preds.groupBy(key).agg(F.min("pred").alias("min_pred"), F.max("pred").alias("max_pred"),
-                               array_median(F.collect_list("pred")).alias("median_pred"),
-                               F.count("pred").alias("n_models"))
+def _least_and_most(prices: Column) -> tuple[Column, Column]:
+    return F.array_min(prices), F.array_max(prices)
+
+
+def _prices(wide: DataFrame, models: list[str]) -> Column:
+    """The prices of the named models that ``preds`` has, as an array."""
+    have = wide.schema["preds"].dataType.names
+    return F.array(*[F.col(f"preds.{m}") for m in models if m in have]) if any(m in have for m in models) \
+        else F.array().cast("array<double>")
+
+
+def model_disagreement(wide: DataFrame, key: str = "quote_id") -> DataFrame:
+    """A20 + R9 from a row's struct ``preds``: min, max, median over models,
+    spread % = (max - min) / median, flag > 20 %. No shuffle."""
+    prices = _prices(wide, wide.schema["preds"].dataType.names)
+    low, high = _least_and_most(prices)
+    g = wide.select(key, low.alias("min_pred"), high.alias("max_pred"), array_median(prices).alias("median_pred"),
+                    F.size(F.filter(prices, lambda x: x.isNotNull())).cast("long").alias("n_models"))
     spread = (F.col("max_pred") - F.col("min_pred")) / F.col("median_pred") * 100
-    return g.select(key, "min_pred", "max_pred", "median_pred", "n_models", spread.alias("spread_pct"),
-                    (spread > 20).alias("flagged"))
-
-
-def recommendation(preds: DataFrame, band: DataFrame | None = None, key: str = "quote_id",
-                   factor: float = S.MARGIN_FACTOR) -> DataFrame:
-    """Consensus of the top-tier models (median; all models when
-    none is present), spread %, linear-vs-tree divergence, and win bid /
-    protect margin = estimate x (1 + factor x band edge %)."""
-    top = S.TOP_TIER_LINEAR + S.TOP_TIER_TREE
-    is_top = F.col("model").isin(*top)
-    g = preds.groupBy(key).agg(
-        array_median(F.collect_list(F.when(is_top, F.col("pred")))).alias("_top_med"),
-        F.max(F.when(is_top, F.col("pred"))).alias("_top_max"),
-        F.min(F.when(is_top, F.col("pred"))).alias("_top_min"),
-        F.count(F.when(is_top, 1)).alias("_n_top"),
-        array_median(F.collect_list("pred")).alias("_all_med"), F.max("pred").alias("_all_max"),
-        F.min("pred").alias("_all_min"),
-        F.array_join(F.array_sort(F.collect_list(F.when(is_top, F.col("model")))), ",").alias("_top_models"),
-        F.array_join(F.array_sort(F.collect_list("model")), ",").alias("_all_models"),
-        array_median(F.collect_list(F.when(F.col("model").isin(*S.TOP_TIER_LINEAR), F.col("pred")))).alias("linear_median"),
-        array_median(F.collect_list(F.when(F.col("model").isin(*S.TOP_TIER_TREE), F.col("pred")))).alias("tree_median"),
-    )
-    # groups hold one quote's models (bounded by the model count), so the
-    # medians are taken on small sorted arrays rather than percentile buffers
-    has_top = F.col("_n_top") > 0
-    est = F.when(has_top, F.col("_top_med")).otherwise(F.col("_all_med"))
-    mx = F.when(has_top, F.col("_top_max")).otherwise(F.col("_all_max"))
-    mn = F.when(has_top, F.col("_top_min")).otherwise(F.col("_all_min"))
+    return g.select("*", spread.alias("spread_pct"), (spread > 20).alias("flagged"))
+
+
+def recommendation(wide: DataFrame, band: DataFrame | None = None, key: str = "quote_id",
+                   factor: float = S.MARGIN_FACTOR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """R3-R5 from a row's struct ``preds``: consensus of the top-tier models
+    (median; all models when none is present), spread %, linear-vs-tree
+    divergence, and win bid / protect margin = estimate x (1 + factor x band
+    edge %). A quote's prices stand in one row, so nothing is shuffled."""
+    have = wide.schema["preds"].dataType.names
+    top = [m for m in S.TOP_TIER_LINEAR + S.TOP_TIER_TREE if m in have] or have
+    prices = _prices(wide, top)
+    low, high = _least_and_most(prices)
+    g = wide.select(key, *keep, array_median(prices).alias("estimate"), F.lit(",".join(sorted(top))).alias("top_tier_models"),
+                    (high - low).alias("_width"), array_median(_prices(wide, S.TOP_TIER_LINEAR)).alias("linear_median"),
+                    array_median(_prices(wide, S.TOP_TIER_TREE)).alias("tree_median"))
     mid = (F.col("linear_median") + F.col("tree_median")) / 2
+    est = F.col("estimate")
     out = g.select(
-        key, est.alias("estimate"),
-        F.when(has_top, F.col("_top_models")).otherwise(F.col("_all_models")).alias("top_tier_models"),
-        F.when(est > 0, (mx - mn) / est * 100).otherwise(F.lit(0.0)).alias("top_tier_spread_pct"),
+        key, *keep, "estimate", "top_tier_models",
+        F.when(est > 0, F.col("_width") / est * 100).otherwise(F.lit(0.0)).alias("top_tier_spread_pct"),
         "linear_median", "tree_median",
         (F.abs(F.col("linear_median") - F.col("tree_median")) / mid * 100).alias("divergence_pct"))
     if band is not None:
         b = F.broadcast(band.select("lower_pct", "upper_pct"))  # the chosen band: one row
-        out = out.crossJoin(b).withColumn("protect_margin", F.col("estimate") * (1 + F.col("upper_pct") * factor / 100)) \
-            .withColumn("win_bid", F.col("estimate") * (1 + F.col("lower_pct") * factor / 100)) \
+        out = out.crossJoin(b).withColumn("protect_margin", est * (1 + F.col("upper_pct") * factor / 100)) \
+            .withColumn("win_bid", est * (1 + F.col("lower_pct") * factor / 100)) \
             .drop("lower_pct", "upper_pct")
     return out
 

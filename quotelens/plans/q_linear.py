@@ -1,49 +1,71 @@
-"""Queries over the multi-model out-of-fold table (M0 + linear family):
-M1-M4, significance (M12, M13, M15), disagreement and recommendation
-(A20, R3-R5, R9), scorecard (W4, L8, L9, L11), coefficients (S7, M19).
+"""Queries over the out-of-fold prices of all fourteen models: M1-M9,
+significance (M12, M13, M15), disagreement and recommendation (A20, R3-R5,
+R9), lenses and scorecard (L1-L9, L11, A30), parameters (M19, S7).
 
-Linear fits have no SQL equivalent, so these are rows-only checks; the fits
-are compared with numpy in ``tests/test_linear.py``, and the operators that
+Fits have no SQL equivalent: they are compared with plain numpy in
+``tests/test_linear.py`` and ``tests/test_trees.py``; the operators that
 follow them have SQL on stand-in models in ``q_checked.py``."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..operators import lenses as L
+from ..operators import models as M
 from ..operators import predict as PR
+from ..operators import probes as PB
+from ..operators import trees as TR
 from ..operators.enrich import materialized_quotes
-from ..operators.linear import coefficient_table, fit_linear_cv
-from ..operators.stage import cached_stage, write_stage
-from .q_models import m0_oof_table
+from ..operators.linear import INTERCEPT, LOG_RUSH, PART_SLOPE, SLOPE
+from ..operators.stage import cached_stage, cached_value
+from .q_models import m0_tables
 from .registry import register
 
-_FITS: dict = {}
+ATTRIBUTES = ("total_price_usd", "material", "part_description", "base_part_type", "quantity", "estimator", "rush_job", "quote_date")
+
+
+def model_tables(spark, sf):
+    """The tables of all models, fitted once."""
+    return cached_value(spark, "models", sf, lambda: M.fit_models(materialized_quotes(spark, sf), m0_tables(spark, sf)))
 
 
-def linear_oof_table(spark, sf):
+def oof_wide(spark, sf):
+    """Out-of-fold prices of all models beside each quote."""
     def build():
-        scored, fits = fit_linear_cv(materialized_quotes(spark, sf))
-        _FITS[(spark.sparkContext.applicationId, sf)] = write_stage(coefficient_table(spark, fits), "coefficients")
-        return scored
-    return cached_stage(spark, "oof_linear", sf, build)
+        return M.score_wide(materialized_quotes(spark, sf), model_tables(spark, sf), keep=ATTRIBUTES) \
+            .withColumnRenamed("total_price_usd", "actual")
+    return cached_stage(spark, "oof_wide", sf, build)
 
 
 def all_oof_table(spark, sf):
-    return cached_stage(spark, "oof_all", sf, lambda: m0_oof_table(spark, sf).unionByName(linear_oof_table(spark, sf)))
+    """A row for each quote and model; nothing is stored twice."""
+    return M.long_form(oof_wide(spark, sf))
 
 
 def all_fold_metrics(spark, sf):
     return cached_stage(spark, "fold_metrics_all", sf, lambda: EV.fold_metrics(all_oof_table(spark, sf)))
 
 
+def all_bands(spark, sf):
+    return cached_stage(spark, "bands_all", sf, lambda: PR.empirical_bands(all_oof_table(spark, sf)))
+
+
+def _priced(spark, sf, models):
+    oof = M.long_form(oof_wide(spark, sf).withColumn("preds", F.struct(*[F.col(f"preds.{m}").alias(m) for m in models])))
+    return oof.select("quote_id", "fold", "model", "actual", "pred")
+
+
 @register("m01_linear_cv")
 def m01(spark, sf):
     """M1, M2, M3a, M3b, M4 + M11: out-of-fold predictions."""
-    return linear_oof_table(spark, sf).select("quote_id", "fold", "model", "actual", "pred")
+    return _priced(spark, sf, M.LINEAR)
+
+
+@register("m05_tree_cv")
+def m05(spark, sf):
+    """M5, M6, M6b, M7, M7b, M7c, M8, M9 + M11: out-of-fold predictions."""
+    return _priced(spark, sf, TR.MODELS)
 
 
 @register("a15_cv_summary_all_models")
@@ -52,6 +74,11 @@ def a15all(spark, sf):
     return EV.cv_summary(all_fold_metrics(spark, sf)).orderBy("MAPE_mean")
 
 
+@register("a19_bands_all_models")
+def a19all(spark, sf):
+    return all_bands(spark, sf)
+
+
 @register("m12_wilcoxon")
 def m12(spark, sf):
     return EV.wilcoxon_test(all_fold_metrics(spark, sf))
@@ -64,6 +91,7 @@ def m13(spark, sf):
 
 @register("m15_hypotheses")
 def m15(spark, sf):
+    """All eleven hypotheses."""
     fm = all_fold_metrics(spark, sf)
     return EV.resolve_hypotheses(EV.comparison_table(fm), EV.permutation_test(fm))
 
@@ -71,78 +99,121 @@ def m15(spark, sf):
 @register("a20_model_disagreement")
 def a20(spark, sf):
     """A20 + R9: per quote min / max / median over models, spread %."""
-    return PR.model_disagreement(all_oof_table(spark, sf).select("quote_id", "model", "pred"))
+    return PR.model_disagreement(oof_wide(spark, sf))
 
 
 @register("r03_recommendation")
 def r03(spark, sf):
     """R3-R5 (+ J11, T8): consensus estimate, divergence, win bid and
     protect margin with the band of the best model."""
-    oof = all_oof_table(spark, sf)
-    band = PR.best_band(PR.empirical_bands(oof))
-    rec = PR.recommendation(oof.select("quote_id", "model", "pred"), band)
-    actual = oof.where(F.col("model") == "M0").select("quote_id", "actual")
-    return rec.join(actual, "quote_id")
+    return PR.recommendation(oof_wide(spark, sf), PR.best_band(all_bands(spark, sf)), keep=("actual",))
+
+
+@register("r10_estimate_errors")
+def r10(spark, sf):
+    """Actual price beside the estimate, difference and per cent."""
+    rec = PR.recommendation(oof_wide(spark, sf), None, keep=("actual",))
+    return rec.select("quote_id", "actual", "estimate", (F.col("estimate") - F.col("actual")).alias("error"),
+                      PR.signed_pct("estimate").alias("error_pct"))
 
 
 @register("a27_coverage_report")
 def a27(spark, sf):
     """A27 + A29: recommender coverage over all rows for the margin
     factors 0.25 / 0.50 / 0.75 / 1.00 (in range, exposed, $ at risk)."""
-    oof = all_oof_table(spark, sf)
-    band = PR.best_band(PR.empirical_bands(oof))
-    rec = PR.recommendation(oof.select("quote_id", "model", "pred"), None)
-    actual = oof.where(F.col("model") == "M0").select("quote_id", "actual")
-    return PR.coverage(rec.join(actual, "quote_id"), band)
+    rec = PR.recommendation(oof_wide(spark, sf), None, keep=("actual",))
+    return PR.coverage(rec, PR.best_band(all_bands(spark, sf)))
+
+
+# --------------------------------------------------------------- lenses ----
+def _lens(name, build):
+    def table(spark, sf):
+        return cached_stage(spark, name, sf, lambda: build(spark, sf))
+    return table
+
+
+error_lens = _lens("lens_error", lambda spark, sf: L.error_profile(all_oof_table(spark, sf)))
+segment_lens = _lens("lens_segments", lambda spark, sf: L.segment_fairness(all_oof_table(spark, sf)))
+calibration_lens = _lens("lens_calibration", lambda spark, sf: L.calibration(all_oof_table(spark, sf)))
+quartile_lens = _lens("lens_quartiles", lambda spark, sf: L.calibration_by_quartile(all_oof_table(spark, sf)))
+deterministic_lens = _lens("lens_deterministic", lambda spark, sf: PB.deterministic_probes(spark, model_tables(spark, sf)))
+stochastic_lens = _lens("lens_stochastic", lambda spark, sf: PB.stochastic_probes(materialized_quotes(spark, sf), model_tables(spark, sf)))
+boundary_lens = _lens("lens_boundary", lambda spark, sf: PB.boundary_probes(spark, model_tables(spark, sf)))
+
+
+@register("l03_coherence_deterministic")
+def l03d(spark, sf):
+    """L3b for every model."""
+    return deterministic_lens(spark, sf)
+
+
+@register("l03_coherence_stochastic")
+def l03s(spark, sf):
+    """L3c for every model over every quote."""
+    return stochastic_lens(spark, sf)
+
+
+@register("l03_coherence_summary")
+def l03(spark, sf):
+    """L3d: pass count out of 10 checks and pass rate of every model."""
+    return PB.coherence_summary(deterministic_lens(spark, sf), stochastic_lens(spark, sf))
+
+
+@register("l06_boundary_behavior")
+def l06(spark, sf):
+    """L6 for every model."""
+    return boundary_lens(spark, sf)
+
+
+def effective_params(spark, sf):
+    """M19, of the fits on all rows: non-zero coefficients, leaves, lookup
+    entries with slope and rush factor."""
+    t = model_tables(spark, sf)
+    whole = F.col("fold") == M.ALL
+    constants = F.col("feature").isin(INTERCEPT, LOG_RUSH, SLOPE) | F.col("feature").startswith(PART_SLOPE)
+    linear = t["linear"].where(whole & ~constants).groupBy("model") \
+        .agg(F.count(F.when(F.abs("coef") > 1e-8, 1)).alias("effective_params"))
+    trees = TR.leaf_counts(t["trees"]).where(whole).select("model", "effective_params")
+    lookup = t["m0_levels"].where(F.col("k") == M.ALL).agg((F.count(F.lit(1)) + 2).alias("effective_params")) \
+        .select(F.lit("M0").alias("model"), "effective_params")
+    return linear.unionByName(trees).unionByName(lookup)
+
+
+@register("l07_interpretability")
+def l07(spark, sf):
+    """L7 + M19: parameters, rating, reason and method of every model."""
+    models = spark.createDataFrame([(m,) for m in M.scored_models(oof_wide(spark, sf))], "model string")
+    return L.complexity(models, effective_params(spark, sf))
+
+
+@register("t07_worst_segment")
+def t07(spark, sf):
+    """The worst segment of every model."""
+    return L.worst_segment(segment_lens(spark, sf))
+
+
+@register("a30_acceptance")
+def a30(spark, sf):
+    """A30 for every model."""
+    return L.acceptance(error_lens(spark, sf), segment_lens(spark, sf), quartile_lens(spark, sf),
+                        L.fold_stability(all_fold_metrics(spark, sf)))
 
 
 @register("l08_scorecard")
 def l08(spark, sf):
-    """W4 + L8 + L9 + L11: per-lens quintile ranks from the out-of-fold
-    lenses, average rank, dots and production eligibility."""
-    oof = all_oof_table(spark, sf)
-    ep = L.error_profile(oof).select("model", "mape")
-    seg = L.segment_fairness(oof).where(F.col("n") >= 10).groupBy("model").agg(F.max("mape").alias("worst_segment_mape"))
-    cal = L.calibration(oof).select("model", F.abs("mean_signed_error_pct").alias("abs_cal"), "label")
-    stab = L.fold_stability(EV.fold_metrics(oof)).select("model", "fold_mape_std")
-    s = ep.join(seg, "model", "left").join(cal, "model").join(stab, "model") \
-        .withColumn("worst_segment_mape", F.coalesce("worst_segment_mape", F.lit(100.0))) \
-        .withColumn("error_score", F.lit(100.0) - F.col("mape"))
-    s = L.quintile_rank(s, "error_score", True, "rank_error_profile")
-    s = L.quintile_rank(s, "worst_segment_mape", False, "rank_segment_fairness")
-    s = L.quintile_rank(s, "abs_cal", False, "rank_calibration")
-    s = L.quintile_rank(s, "fold_mape_std", False, "rank_stability")
-    interp = F.when(F.col("model").isin("M0", "M1", "M2", "M3a", "M3b"), 5).when(F.col("model") == "M4", 4) \
-        .when(F.col("model") == "M8", 2).otherwise(3)
-    s = s.withColumn("rank_interpretability", interp)
-    ranks = ["rank_error_profile", "rank_segment_fairness", "rank_calibration", "rank_stability",
-             "rank_interpretability"]
-    avg = reduce(lambda a, b: a + b, [F.col(r) for r in ranks]) / len(ranks)
-    dots = {r: F.concat(F.repeat(F.lit("●"), F.col(r)), F.repeat(F.lit("○"), F.lit(5) - F.col(r))) for r in ranks}
-    strengths = F.filter(F.array(*[F.when(F.col(r) >= 4, F.lit(r.replace("rank_", "").replace("_", " "))) for r in ranks]),
-                         lambda x: x.isNotNull())
-    weaknesses = F.filter(F.array(*[F.when(F.col(r) <= 2, F.lit(r.replace("rank_", "").replace("_", " "))) for r in ranks]),
-                          lambda x: x.isNotNull())
-    narrative = F.concat_ws(" ", F.concat(F.col("model"), F.lit(":")),
-                            F.format_string("%.1f%% MAPE, %s.", F.col("mape"), F.col("label")),
-                            F.format_string("Fold stability: ±%.1f%%.", F.col("fold_mape_std")),
-                            F.when(F.size(strengths) > 0, F.concat(F.lit("Strong on: "), F.array_join(strengths, ", "), F.lit("."))),
-                            F.when(F.size(weaknesses) > 0, F.concat(F.lit("Weak on: "), F.array_join(weaknesses, ", "), F.lit("."))))
-    return s.select("model", "mape", *ranks, F.round(avg, 2).alias("average_rank"),
-                    *[d.alias(r.replace("rank_", "dots_")) for r, d in dots.items()], narrative.alias("narrative"),
-                    (F.col("mape") < 14).alias("production_eligible"))
+    """The seven lenses of every model."""
+    return L.scorecard(error_lens(spark, sf), L.worst_segment(segment_lens(spark, sf)),
+                       PB.coherence_summary(deterministic_lens(spark, sf), stochastic_lens(spark, sf)),
+                       calibration_lens(spark, sf), L.fold_stability(all_fold_metrics(spark, sf)), boundary_lens(spark, sf),
+                       l07(spark, sf))
 
 
 @register("s07_linear_coefficients")
 def s07(spark, sf):
     """S7 + M19: fitted linear coefficients as a persisted table;
     non-zero count per model and fold."""
-    linear_oof_table(spark, sf)
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITS:  # stage cached from an earlier call in this app
-        _FITS[key] = write_stage(coefficient_table(spark, fit_linear_cv(materialized_quotes(spark, sf))[1]),
-                                 "coefficients")
-    coef = _FITS[key]
+    coef = model_tables(spark, sf)["linear"].where(F.col("fold") < M.ALL)
+    feature = ~F.col("feature").startswith("__")
     return coef.groupBy("model", "fold").agg(
-        F.count(F.when((F.col("feature") != "__intercept__") & (F.abs("coef") > 1e-8), 1)).alias("effective_params"),
+        F.count(F.when(feature & (F.abs("coef") > 1e-8), 1)).alias("effective_params"),
         F.first("alpha").alias("alpha"), F.first("resid_var").alias("resid_var"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
-from ..operators.cv import m0_oof
+from ..operators.cv import m0_fit, m0_score, to_oof
 from ..operators.enrich import materialized_quotes
-from ..operators.stage import cached_stage
+from ..operators.stage import cached_stage, cached_value, write_stage
 from .registry import register
 from .sqlbase import enriched_cte, fold_metrics_cte, m0_oof_cte, with_ctes
 
@@ -15,13 +15,24 @@ OOF = with_ctes(enriched_cte(), m0_oof_cte())
 FM = with_ctes(enriched_cte(), m0_oof_cte(), fold_metrics_cte())
 
 
+def m0_tables(spark, sf):
+    """M0's parameters for every fold and for all rows."""
+    def build():
+        levels, scalars = m0_fit(materialized_quotes(spark, sf))
+        return {"m0_levels": write_stage(levels, "m0-levels"), "m0_scalars": scalars}
+    return cached_value(spark, "m0", sf, build)
+
+
 def m0_oof_table(spark, sf):
     """Out-of-fold M0 predictions, written once and shared by every lens."""
-    return cached_stage(spark, "oof_m0", sf, lambda: m0_oof(materialized_quotes(spark, sf)))
+    def build():
+        t = m0_tables(spark, sf)
+        return to_oof(m0_score(materialized_quotes(spark, sf).withColumn("k", F.col("fold")), t["m0_levels"], t["m0_scalars"]), "M0")
+    return cached_stage(spark, "oof_m0", sf, build)
 
 
 def m0_fold_metrics(spark, sf):
-    return EV.fold_metrics(m0_oof_table(spark, sf))
+    return cached_stage(spark, "fold_metrics_m0", sf, lambda: EV.fold_metrics(m0_oof_table(spark, sf)))
 
 
 @register("w05_fold_assignment", oracle=with_ctes(enriched_cte()) + """

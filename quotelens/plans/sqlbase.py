@@ -185,7 +185,7 @@ def with_ctes(*ctes: str) -> str:
 def m0_oof_cte() -> str:
     """M0 out-of-fold predictions in SQL (needs ``eq``)."""
     return f"""
-    folds AS (SELECT CAST(range AS INTEGER) AS k FROM range({S.N_FOLDS})),
+    folds AS (SELECT CAST(range AS INTEGER) AS k FROM range({S.N_FOLDS + 1})),
     train AS (SELECT f.k, e.* FROM eq e JOIN folds f ON e.fold <> f.k),
     m0st AS (
       SELECT k, 'global' AS dim, '*' AS level, unit_price FROM train

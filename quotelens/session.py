@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
@@ -50,3 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+class Shared:
+    """A driver object for tasks, broadcast by value: workers need no copy of
+    the package to read it, and each keeps one."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast({"raw": cloudpickle.dumps(value)})
+
+    def get(self):
+        held = self.held.value
+        if "value" not in held:
+            held["value"] = cloudpickle.loads(held["raw"])
+        return held["value"]
