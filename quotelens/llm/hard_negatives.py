@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Shared
 from .common import stage
 
 SLACK = 1e-9
@@ -151,12 +152,12 @@ def _plant(rows: DataFrame, total: int, ways: int, levels: int, sample: int) ->
 
 
 def _deal(rows: DataFrame, tree: Tree) -> DataFrame:
-    share = rows.sparkSession.sparkContext.broadcast(tree)
+    share = Shared(rows.sparkSession, tree)
     names = ["row", "id", "label", "v", "leaf"]
 
     def run(batches):
         for b in _slices(batches):
-            leaf = share.value.deal(_matrix(b.column(3)))
+            leaf = share.get().deal(_matrix(b.column(3)))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(leaf)], names)
 
     return rows.select(*names[:4]).mapInArrow(run, "row long, id long, label string, v array<long>, leaf long")
@@ -165,7 +166,7 @@ def _deal(rows: DataFrame, tree: Tree) -> DataFrame:
 def _ranges(dealt: DataFrame, tree: Tree) -> None:
     """Fill the tree's ranges from all rows: each task keeps one cell for a
     split point and a sibling, cells meet in a grouped minimum and maximum."""
-    share = dealt.sparkSession.sparkContext.broadcast(tree)
+    share = Shared(dealt.sparkSession, tree)
 
     def run(batches):
         cells: dict = {}
@@ -182,7 +183,7 @@ def _ranges(dealt: DataFrame, tree: Tree) -> None:
                 cell[:, k, 3] = np.maximum(cell[:, k, 3], norm2[here].max())
 
         for b in _slices(batches):
-            share.value.deal(_matrix(b.column(0)), see)
+            share.get().deal(_matrix(b.column(0)), see)
         out = [(node, i, k, *map(float, c[i, k])) for node, c in cells.items()
                for i in range(c.shape[0]) for k in range(c.shape[1]) if np.isfinite(c[i, k, 0])]
         cols = list(zip(*out)) or [()] * 7
@@ -213,7 +214,7 @@ OUT = "anchor_id long, positive_id long, rank int, negative_id long, positive_sc
 def _reach(asked: DataFrame, tree: Tree) -> DataFrame:
     """``asked`` once for each leaf, besides its own, that can hold a row of
     any of its windows."""
-    share = asked.sparkSession.sparkContext.broadcast(tree)
+    share = Shared(asked.sparkSession, tree)
     names = [*asked.columns, "leaf"]
     lo, hi = F.array_min(F.transform("wanted", lambda w: w["low"])), F.array_max(F.transform("wanted", lambda w: w["high"]))
     v, own = asked.columns.index("av"), asked.columns.index("own")
@@ -221,7 +222,7 @@ def _reach(asked: DataFrame, tree: Tree) -> DataFrame:
     def run(batches):
         for b in _slices(batches):
             low, high = (b.column(len(names) - 1 + i).to_numpy() for i in (0, 1))
-            at, leaf = share.value.leaves(_matrix(b.column(v)), low, high)
+            at, leaf = share.get().leaves(_matrix(b.column(v)), low, high)
             other = leaf != b.column(own).to_numpy()[at]
             part = pa.RecordBatch.from_arrays(b.columns[:len(names) - 1], names[:-1]).take(pa.array(at[other]))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf[other])], names)
