@@ -61,8 +61,8 @@ def training_bounds(q: DataFrame) -> DataFrame:
     return ranges.unionByName(known)
 
 
-def detect_ood(rows: DataFrame, bounds: DataFrame, id_col: str = "request_id") -> DataFrame:
-    """R7 + J5: reasons in fixed order; is_ood when any."""
+def detect_ood(rows: DataFrame, bounds: DataFrame, id_col: str = "request_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """R7 + J5: reasons in fixed order; is_ood when any. Columns in ``keep`` go along."""
     rng = bounds.where(F.col("kind").endswith("_min") | F.col("kind").endswith("_max")) \
         .groupBy().pivot("kind", ["quantity_min", "quantity_max", "lead_time_min", "lead_time_max"]) \
         .agg(F.first(F.col("value").cast("int")))
@@ -91,7 +91,7 @@ def detect_ood(rows: DataFrame, bounds: DataFrame, id_col: str = "request_id") -
                F.concat(F.lit("Unknown part description: "), F.coalesce(F.col("part_description"), F.lit("")))),
     )
     r = F.filter(reasons, lambda x: x.isNotNull())
-    return j.select(id_col, (F.size(r) > 0).alias("is_ood"), F.array_join(r, "; ").alias("reasons"),
+    return j.select(id_col, *keep, (F.size(r) > 0).alias("is_ood"), F.array_join(r, "; ").alias("reasons"),
                     F.size(r).alias("n_reasons"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_checked, q_linear, q_models, q_predict, q_probes, q_profile, q_quality, q_sources, q_stream, q_workflow  # noqa: F401
+from . import (  # noqa: F401
+    q_checked, q_linear, q_models, q_predict, q_probes, q_profile, q_quality, q_requests, q_sources, q_stream, q_workflow)
 from .registry import REGISTRY
 
 
