@@ -133,10 +133,23 @@ class Grower:
             n_all[low:low + many] = np.bincount(at[here] - low, w[here], many)
             if d == depth or not len(self.codes) or not here.any():
                 continue
-            sums = np.zeros((len(r), 2 * many), np.float32)
-            sums[ar[here], at[here] - low] = r[here]
-            sums[ar[here], many + at[here] - low] = w[here]
-            hist = (hot.T @ sums).astype(np.float64)
+            # left children are counted; right ones are what their parents have besides
+            half = max(1, many // 2)
+            side = np.flatnonzero(here & ((at - low) % 2 == 0)) if d else ar
+            sums = np.zeros((len(r), 2 * half), np.float32)
+            place = (at[side] - low) // (2 if d else 1)
+            sums[side, place] = r[side]
+            sums[side, half + place] = w[side]
+            left = (hot.T @ sums).astype(np.float64)
+            if d:
+                both = np.empty((len(left), 2, many))
+                for part_of in (0, 1):
+                    one = left[:, part_of * half:(part_of + 1) * half]
+                    both[:, part_of, 0::2] = one
+                    both[:, part_of, 1::2] = hist[:, part_of * half:(part_of + 1) * half] - one
+                hist = both.reshape(len(left), 2 * many)
+            else:
+                hist = left
             g, n = g_all[low:low + many], n_all[low:low + many]
             best = np.full(many, 1e-9 * (1.0 + float((g * g / np.maximum(n + l2, 1e-12)).sum())))
             for k in columns:

@@ -22,6 +22,7 @@ _DEFAULTS = {
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "quotelens", extra: dict | None = None) -> SparkSession:
     """Session for local runs. On a cluster the submitter owns the conf."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # the tasks share the cores; each does its own arithmetic
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
