@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    q_checked, q_linear, q_models, q_predict, q_probes, q_profile, q_quality, q_requests, q_sources, q_stream, q_workflow)
+    q_checked, q_linear, q_models, q_more, q_predict, q_probes, q_profile, q_quality, q_requests, q_sources, q_stream, q_workflow)
 from .registry import REGISTRY
 
 

@@ -142,9 +142,12 @@ def l04q(spark, sf):
 
 @register("l05_fold_stability", oracle=with_ctes(enriched_cte(), m0_oof_cte(), fold_metrics_cte()) + """
 SELECT model, avg(MAPE) AS fold_mape_mean, stddev_pop(MAPE) AS fold_mape_std, max(MAPE) - min(MAPE) AS fold_mape_range,
-       count(*) AS n_folds FROM fm GROUP BY model""", doubles=["fold_mape_mean", "fold_mape_std", "fold_mape_range"])
+       count(*) AS n_folds, array_to_string(list(CAST(round(MAPE, 6) AS VARCHAR) ORDER BY fold), ',') AS fold_mapes
+FROM fm GROUP BY model""", doubles=["fold_mape_mean", "fold_mape_std", "fold_mape_range"])
 def l05(spark, sf):
-    return L.fold_stability(m0_fold_metrics(spark, sf))
+    """L5, A25, with the folds' MAPEs as text."""
+    s = L.fold_stability(m0_fold_metrics(spark, sf))
+    return s.withColumn("fold_mapes", F.array_join(F.transform("fold_mapes", lambda x: F.round(x, 6).cast("string")), ","))
 
 
 _BIAS = OOF + """,
