@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.alarms import alarms
 from ..session import ensure_checkpoint_dir
 from ..sources.events import workflow_events
 
@@ -71,14 +72,20 @@ def _drain(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def _override_windows(ev: DataFrame) -> DataFrame:
     d = (F.col("human_price") - F.col("model_price")) / F.col("model_price") * 100
-    agg = ev.where(F.col("event") == "override").groupBy(F.window("event_time", "24 hours", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("n_overrides"), F.avg(F.abs(d)).alias("mean_abs_delta_pct"))
-    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_overrides",
-                      "mean_abs_delta_pct")
+    override = F.col("event") == "override"
+    agg = ev.where(override | (F.col("event") == "created")).groupBy(F.window("event_time", "24 hours", "1 hour").alias("w")).agg(
+        F.count(F.when(override, 1)).alias("n_overrides"), F.count(F.when(~override, 1)).alias("n_created"),
+        F.avg(F.when(override, F.abs(d))).alias("mean_abs_delta_pct"))
+    rate = F.when(F.col("n_created") > 0, F.col("n_overrides") / F.col("n_created"))
+    often, far = alarms(rate, F.col("mean_abs_delta_pct"))
+    return agg.where("n_overrides > 0").select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_overrides", "n_created",
+        rate.alias("override_rate"), "mean_abs_delta_pct", often.alias("rate_alarm"), far.alias("delta_alarm"))
 
 
 def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3: per 24 h window sliding by 1 h, override count and mean |delta %|."""
+    """ST3: per 24 h window sliding by 1 h with an override: overrides,
+    created quotes, rate, mean |delta %|, and the two alarms."""
     return _drain(spark, sf_dir, "drift", lambda st: _override_windows(
         workflow_events(st).withWatermark("event_time", DISORDER)))
 
