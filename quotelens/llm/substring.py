@@ -11,12 +11,12 @@ aligned word by word and cut to their best passages."""
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHasher, drop_stage, mix64, partitions, small_batches, stage, window_hashes
@@ -24,10 +24,13 @@ from .near_dedup import words_of
 
 K, WINDOW = 5, 9
 CIRCLE = 50
-LEVELS = (1, 2, 4)  # seeds in the runs that are joined after the first round
+ALIKE = 3  # of the four words before and the four behind, for a chain of a single match
+NEW = 16  # words in a row without an explanation, from which a stretch is compared again
+BITMAP = 1 << 24  # bits
 GAP_COST = 0.1
 MAX_GAP = 48
 PAD = 96
+MASK = (1 << 32) - 1
 SHIFT = 32  # a place is the number of the id's text and, in the low bits, the word
 SHORT = 8  # words: a longer difference weighs in full
 RESYNC = sorted(((i, j) for i in range(SHORT + 1) for j in range(SHORT + 1) if i or j), key=lambda g: (max(g), abs(g[0] - g[1])))
@@ -208,36 +211,62 @@ def _longest(runs: list, gaps: list, lo: int, hi: int, similarity: float) -> tup
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, v, text``: the rows with an id and a text; ``v`` numbers the
-    different texts of one id (0 where there is one)."""
+    different texts of one id (0 where there is one), by the place of their
+    hash among those of the id."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")) \
         .where("doc is not null and text is not null")
     keyed = docs.select("doc", F.xxhash64("text").alias("t"))
-    several = stage(keyed.groupBy("doc").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("doc"), "several")
+    several = keyed.groupBy("doc").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("doc")
+    several = stage(several, "several")
     if several.isEmpty():
         return docs.withColumn("v", F.lit(0))
-    texts = keyed.join(several, "doc").groupBy("doc").agg(F.sort_array(F.collect_set("t")).alias("all"))
-    v = F.coalesce(F.array_position("all", F.xxhash64("text")) - 1, F.lit(0)).cast("int")
-    return docs.join(texts, "doc", "left").select("doc", "text", v.alias("v"))
+    # a number each, by a window over the different texts of one id
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("t")) - 1
+    numbers = stage(keyed.join(several, "doc").distinct().withColumn("v", place), "numbers")
+    j = docs.withColumn("t", F.xxhash64("text")).join(numbers, ["doc", "t"], "left")
+    return j.select("doc", "text", F.coalesce("v", F.lit(0)).cast("int").alias("v"))
+
+
+def context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A byte of each of the four words before the seeds at ``at`` and the
+    four behind them, packed; nothing stands beyond the ends."""
+    low = np.r_[np.zeros(4, np.uint64), (ids >> np.uint64(24) & np.uint64(0xFF)), np.zeros(K + 4, np.uint64)]
+    out = np.zeros(len(at), np.uint64)
+    for k, step in enumerate([0, 1, 2, 3, 4 + K, 5 + K, 6 + K, 7 + K]):
+        out |= low[at + step] << np.uint64(8 * k)
+    return out
 
 
 def _seeds(texts: DataFrame) -> DataFrame:
-    """``h, doc, at`` of every seed."""
+    """``h, doc, at, ctx`` of every seed."""
     def run(batches):
         hasher = WordHasher()
         for b in batches:
             for first in range(0, b.num_rows, 256):
                 part = b.slice(first, 256)
                 doc, v = part.column(0).to_numpy(), part.column(1).to_numpy()
-                hs, docs, ats = [], [], []
+                hs, docs, ats, ctx = [], [], [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
-                    at, h = seeds_of(hasher.ids(words_of(t)))
+                    ids = hasher.ids(words_of(t))
+                    at, h = seeds_of(ids)
                     hs.append(h)
                     docs.append(np.full(len(at), doc[i]))
                     ats.append(at + (int(v[i]) << SHIFT))
+                    ctx.append(context(ids, at))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(docs)),
-                     pa.array(np.concatenate(ats).astype(np.int64))], ["h", "doc", "at"])
-    return texts.select("doc", "v", "text").mapInArrow(run, "h long, doc long, at long")
+                     pa.array(np.concatenate(ats).astype(np.int64)), pa.array(np.concatenate(ctx).view(np.int64))],
+                    ["h", "doc", "at", "ctx"])
+    return texts.select("doc", "v", "text").mapInArrow(run, "h long, doc long, at long, ctx long")
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """``doc, v, rep, rv, n``: the documents whose text a smaller one has as
+    well, with the smallest such and the number of words."""
+    keyed = texts.select("doc", "v", F.md5("text").alias("t"))
+    first = keyed.groupBy("t").agg(F.min(F.struct("doc", "v")).alias("first"), F.max("doc").alias("top")).where("top > first.doc")
+    return keyed.distinct().join(first, "t").where(F.col("doc") > F.col("first.doc")) \
+        .select("doc", "v", F.col("first.doc").alias("rep"), F.col("first.v").alias("rv"))
 
 
 def _groups(batches, columns: int, keys: int):
@@ -264,7 +293,9 @@ def _groups(batches, columns: int, keys: int):
 
 def _chains(matches: DataFrame) -> DataFrame:
     """``doc, v, hub, hv, xs, ys`` of each chain of matches, from
-    ``matches(doc, v, hub, hv, x, y)`` dealt and sorted by document."""
+    ``matches(doc, v, hub, hv, x, y, alike)`` dealt and sorted by document. A
+    chain of one match is kept if ``ALIKE`` of the words around it agree as
+    well: elsewhere no passage can grow from it but by chance."""
     def run(batches):
         out: list[tuple] = []
 
@@ -274,9 +305,13 @@ def _chains(matches: DataFrame) -> DataFrame:
             got = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, kinds)], ["doc", "v", "hub", "hv", "xs", "ys"])
             out.clear()
             return got
-        for doc, v, hub, hv, x, y in _groups(batches, 6, 4):
-            both = np.unique(np.stack([x, y]), axis=1)
+        for doc, v, hub, hv, x, y, alike in _groups(batches, 7, 4):
+            if len(x) == 1 and alike[0] < ALIKE:
+                continue
+            both = np.unique(np.stack([x, y, alike]), axis=1)
             for c in chains(both[0], both[1]):
+                if len(c) == 1 and both[2][c[0]] < ALIKE:
+                    continue
                 out.append((doc[0], v[0], hub[0], hv[0], both[0][c], both[1][c]))
             if len(out) >= 2000:
                 yield batch()
@@ -315,10 +350,10 @@ def repeated_passages(df: DataFrame, min_words: int = 50, similarity: float = 0.
     ``min_words`` words or more in the document, of which (and of the source's)
     a share of ``similarity`` is equal in order. Each document is compared with
     the first document of each of its seeds, so that a passage in n documents
-    gives n - 1 rows, not all pairs; whole copies are passages like others.
-    Seeds that no passage explains then, alone and in runs of neighbours, are
-    compared with the next document that holds them, round by round until a
-    round explains no more of them.
+    gives n - 1 rows, not all pairs. Equal runs of ``min_words`` words are found
+    wherever an earlier document holds them, if ``NEW`` words in a row of them
+    are in no passage yet. A document of the same text as an earlier one is one
+    passage.
     What a document says again after ``CIRCLE`` words or more is compared with
     the source each time, quicker repetitions turn by turn. A chain is followed up to ``PAD`` words beyond its outer seeds.
 
@@ -326,77 +361,181 @@ def repeated_passages(df: DataFrame, min_words: int = 50, similarity: float = 0.
     different texts of one id are different documents of that id, which aren't
     compared with each other. Other columns are not read; an empty table gives
     an empty result."""
-    texts = _texts(small_batches(df), id_col, text_col)
-    seeds = stage(_seeds(texts), "seeds")
-    hubs = seeds.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("top")).where("top > first.doc") \
-        .select("h", F.col("first.doc").alias("hub"), F.col("first.at").alias("hub_at"))
+    return _passages(_texts(small_batches(df), id_col, text_col), min_words, similarity).drop("v").distinct()
+
+
+def _passages(texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """``repeated_passages`` with the number ``v`` of the document's text."""
+    copies = stage(_copies(texts), "copies")
+    seeds = _seeds(texts).withColumn("v", F.shiftright("at", SHIFT).cast("int"))
+    seeds = stage(seeds.join(copies.select("doc", "v"), ["doc", "v"], "left_anti").drop("v"), "seeds")
+    hubs = seeds.groupBy("h").agg(F.min(F.struct("doc", "at", "ctx")).alias("first"), F.max("doc").alias("top")).where("top > first.doc") \
+        .select("h", F.col("first.doc").alias("hub"), F.col("first.at").alias("hub_at"), F.col("first.ctx").alias("hub_ctx"))
     shared = stage(seeds.join(hubs, "h"), "shared")
     drop_stage(seeds)
     found = stage(_aligned(shared, texts, min_words, similarity), "passages")
-    runs = stage(_marked(_runs(shared), found), "runs")
+    stretches = stage(_stretches(shared, found, min_words), "stretches")
     drop_stage(shared)
-    rounds = [found]
-    while not runs.where("open").isEmpty():
-        first = F.min(F.struct("doc", "at")).alias("first")
-        hubs = runs.groupBy("h").agg(first, F.max(F.when(F.col("open"), F.col("doc"))).alias("top")).where("top > first.doc") \
-            .select("h", F.col("first.doc").alias("hub"), F.col("first.at").alias("hub_at"))
-        rest = stage(runs.join(hubs, "h").where("doc > hub"), "rest")
-        found = stage(_aligned(rest.where("open"), texts, min_words, similarity), "passages")
-        drop_stage(runs)
-        if found.isEmpty():
-            break
-        rounds.append(found)
-        runs = stage(_marked(rest.drop("hub", "hub_at"), found), "runs")
-        drop_stage(rest)
-        if runs.where("was and not open").isEmpty():
-            break
-    return reduce(DataFrame.union, rounds).drop("v").distinct()
-
-
-def _runs(shared: DataFrame) -> DataFrame:
-    """``doc, v, at, last, h, open``: runs of neighbouring seeds of
-    ``shared(h, doc, at, hub)``, with the place of the run's last seed. Runs
-    of one are only those that the hub doesn't hold itself."""
+    whole = _whole(copies, texts, min_words)
+    return found.unionByName(whole).unionByName(_exact(stretches, texts, min_words))
+
+
+def _whole(copies: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """A passage for each document whose text an earlier one has as well."""
     def run(batches):
-        for doc, at, h, first in _groups(_wide(batches), 4, 1):
-            for m in LEVELS:
-                if m == 1:
-                    i = np.flatnonzero(first == 0)
-                    keys = h[i]
-                else:
-                    n = max(len(at) - m + 1, 0)
-                    i = np.flatnonzero(at[m - 1:][:n] - at[:n] <= 2 * CIRCLE)
-                    keys = window_hashes(h.view(np.uint64), m).view(np.int64)[i]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], at[i], at[i + m - 1], keys)], ["doc", "at", "last", "h"])
-    rows = shared.select("doc", "at", "h", (F.col("doc") == F.col("hub")).cast("int").alias("first"))
-    dealt = rows.repartition(partitions(shared.sparkSession), "doc").sortWithinPartitions("doc", "at")
-    return dealt.mapInArrow(run, "doc long, at long, last long, h long").withColumn("open", F.lit(True))
-
-
-def _marked(runs: DataFrame, found: DataFrame) -> DataFrame:
-    """``runs`` with ``open`` false where a passage of ``found`` explains the
-    run, and ``was``, what it was before."""
+        for b in batches:
+            n = np.array([len(words_of(t)) for t in b.column(4).to_pylist()], np.int32)
+            doc, v, rep = (b.column(i).to_numpy() for i in (0, 1, 2))
+            ok = n >= min_words
+            zero, m = np.zeros(int(ok.sum()), np.int32), n[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                doc[ok], zero, m, rep[ok], zero, m, m, np.ones(len(m)), v[ok].astype(np.int64))], PASSAGE)
+    rows = copies.join(texts.distinct(), ["doc", "v"]).select("doc", "v", "rep", "rv", "text")
+    return rows.mapInArrow(run, PASSAGE_TYPES)
+
+
+PASSAGE = ["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "equal_words", "similarity", "v"]
+PASSAGE_TYPES = ("doc_id long, start_word int, n_words int, source_id long, source_start int, source_words int, "
+                 "equal_words int, similarity double, v long")
+
+
+def _stretches(shared: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """``doc, v, low, high, open``: the stretches of ``min_words`` words or
+    more of which every seed is shared, and those parts of them (with what an
+    equal run around may need) that hold ``NEW`` words in a row in no passage
+    (``open``)."""
     def run(batches):
-        for doc, at, last, h, was, kind in _groups(_wide(batches), 6, 1):
-            spans, rows = np.flatnonzero(kind == 0), np.flatnonzero(kind)
-            if not len(rows):
+        for doc, at, end, kind in _groups(_wide(batches), 4, 1):
+            out = []
+            where, spans = at[kind == 1], np.stack([at[kind == 0], end[kind == 0]], 1)
+            if not len(where):
                 continue
-            inside = np.zeros(len(rows), bool)
-            if len(spans):
-                # of the passages that start at or before a run, the end of the one that reaches furthest
-                reach = np.maximum.accumulate(last[spans])
-                k = np.searchsorted(at[spans], at[rows], side="right") - 1
-                inside = (k >= 0) & (last[rows] + K <= reach[np.maximum(k, 0)])
-            before = was[rows] == 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[rows], at[rows], last[rows], h[rows], before & ~inside, before)], names)
-    names = ["doc", "at", "last", "h", "open", "was"]
-    start = F.shiftleft(F.col("v").cast("long"), SHIFT) + F.col("start_word")
-    spans = found.select(F.col("doc_id").alias("doc"), start.alias("at"), (start + F.col("n_words")).alias("last"),
-                         F.lit(0).cast("long").alias("h"), F.lit(0).alias("was"), F.lit(0).alias("kind"))
-    rows = runs.select("doc", "at", "last", "h", F.col("open").cast("int").alias("was"), F.lit(1).alias("kind")).union(spans)
-    dealt = rows.repartition(partitions(runs.sparkSession), "doc").sortWithinPartitions("doc", "at", "kind")
-    return dealt.mapInArrow(run, "doc long, at long, last long, h long, open boolean, was boolean")
+            cut = np.flatnonzero(np.diff(where) > WINDOW)
+            lows, highs = where[np.r_[0, cut + 1]] - WINDOW + 1, where[np.r_[cut, len(where) - 1]] + K + WINDOW - 1
+            for lo, hi in zip(lows.tolist(), highs.tolist()):
+                v = (lo + WINDOW - 1) >> SHIFT
+                lo = max(lo, v << SHIFT)
+                if hi - lo < min_words:
+                    continue
+                out.append((lo, hi, False))
+                at_word = lo
+                inside = spans[(spans[:, 1] > lo) & (spans[:, 0] < hi)].tolist()
+                for s, e in [*inside, [hi, hi]]:
+                    if s - at_word >= NEW:
+                        out.append((max(lo, at_word - min_words + NEW), min(hi, s + min_words - NEW), True))
+                    at_word = max(at_word, e)
+            if out:
+                low, high, is_open = (np.array(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    np.full(len(out), doc[0]), low >> SHIFT, low & MASK, high - (low >> SHIFT << SHIFT), is_open)],
+                    ["doc", "v", "low", "high", "open"])
+    start = F.shiftleft(F.col("v"), SHIFT) + F.col("start_word")
+    spans = found.select(F.col("doc_id").alias("doc"), start.alias("at"), (start + F.col("n_words")).alias("end"), F.lit(0).alias("kind"))
+    rows = shared.select("doc", "at", F.lit(0).cast("long").alias("end"), F.lit(1).alias("kind")).distinct().union(spans)
+    dealt = rows.repartition(partitions(shared.sparkSession), "doc").sortWithinPartitions("doc", "at", "kind")
+    return dealt.mapInArrow(run, "doc long, v long, low long, high long, open boolean")
+
+
+def _run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` ids, from those of runs half as long."""
+    h, k, out, used = ids, 1, None, 0
+    while used < n:
+        if n & k:  # runs of the powers of two that add up to n, one behind the other
+            out = h if out is None else mix64(out[:len(ids) - used - k + 1] * np.uint64(0x9E3779B97F4A7C15) + h[used:])
+            used += k
+        h = mix64(h[:-k] * np.uint64(0xC2B2AE3D27D4EB4F) + h[k:]) if len(h) > k else h[:0]
+        k *= 2
+    return out[:max(len(ids) - n + 1, 0)]
+
+
+def _circling(ids: np.ndarray, n: int) -> np.ndarray:
+    """Whether the run of ``n`` words from each place on goes round in a
+    circle of n / 2 words at most: each of its k-mers comes back after as
+    many words."""
+    h = window_hashes(ids, K)
+    back = np.zeros(len(h), np.int64)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    back[order[:-1][same]] = np.diff(order)[same]
+    ends = np.r_[np.flatnonzero(np.diff(back) != 0) + 1, len(back)] if len(back) else np.empty(0, np.int64)
+    left = ends[np.searchsorted(ends, np.arange(len(back)), side="right")] - np.arange(len(back)) if len(back) else back
+    round_ = (back > 0) & (2 * back <= n) & (left >= n - K + 1 - back)
+    return round_[:max(len(ids) - n + 1, 0)]
+
+
+def _run_rows(stretches: DataFrame, texts: DataFrame, min_words: int, bits=None) -> DataFrame:
+    """``h, doc, v, at`` of the runs of ``min_words`` words in the stretches,
+    with ``bits`` those alone whose hash hits the bitmap. What goes round in
+    circles is left to the chains."""
+    spans = stretches.groupBy("doc", "v").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))  # of one text
+
+    def run(batches):
+        hasher = WordHasher()
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = hasher.ids(words_of(b.column(3)[i].as_py()))
+                h, past, circling = _run_hashes(ids, min_words), 0, _circling(ids, min_words)
+                for s in b.column(2)[i].as_py():
+                    at = np.arange(max(s["low"], past), min(s["high"] - min_words + 1, len(h)))
+                    if not len(at):
+                        continue
+                    past = int(at[-1]) + 1
+                    at = at[~circling[at]]
+                    g = h[at]
+                    if bits is not None:
+                        bit = g % np.uint64(BITMAP)
+                        ok = (bits.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        at, g = at[ok], g[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(at), b.column(0)[i].as_py())),
+                                                      pa.array(np.full(len(at), b.column(1)[i].as_py())), pa.array(at)], ["h", "doc", "v", "at"])
+    rows = spans.join(texts.withColumn("v", F.col("v").cast("long")).distinct(), ["doc", "v"]).select("doc", "v", "spans", "text")
+    return rows.mapInArrow(run, "h long, doc long, v long, at long")
+
+
+def _exact(stretches: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """Equal runs of ``min_words`` words or more: those of the open stretches
+    go into a bitmap of fixed size, all stretches are held against it, and
+    each run is joined with the first document that holds it. Neighbouring
+    runs with the same source are one passage."""
+    spark = stretches.sparkSession
+    if stretches.where("open").isEmpty():
+        return spark.createDataFrame([], PASSAGE_TYPES)
+
+    def fill(batches):
+        bits = np.zeros(BITMAP // 8, np.uint8)
+        for b in batches:
+            bit = b.column(0).to_numpy().view(np.uint64) % np.uint64(BITMAP)
+            np.bitwise_or.at(bits, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    def merge(batches):
+        bits = np.zeros(BITMAP // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                bits |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    some = _run_rows(stretches.where("open"), texts, min_words).mapInArrow(fill, "bits binary")
+    some = some.repartition(8).mapInArrow(merge, "bits binary")  # eight bitmaps reach the driver
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for r in some.collect():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    runs = stage(_run_rows(stretches.where("not open"), texts, min_words, spark.sparkContext.broadcast(bits)), "runs")
+    first = runs.groupBy("h").agg(F.min(F.struct("doc", "v", "at")).alias("f"), F.max("doc").alias("top")).where("top > f.doc")
+    rows = runs.join(first, "h").where("doc > f.doc").select("doc", "v", F.col("f.doc").alias("hub"), F.col("f.v").alias("hv"),
+                                                             (F.col("at") - F.col("f.at")).alias("shift"), "at")
+
+    def join(batches):
+        for doc, v, hub, _hv, shift, at in _groups(_wide(batches), 6, 5):
+            cut = np.flatnonzero(np.diff(at) != 1)
+            lo, hi = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + min_words
+            n = (hi - lo).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                np.full(len(n), doc[0]), lo.astype(np.int32), n, np.full(len(n), hub[0]), (lo - shift[0]).astype(np.int32), n, n,
+                np.ones(len(n)), np.full(len(n), v[0]))], PASSAGE)
+    dealt = rows.repartition(partitions(spark), "doc", "v", "hub", "hv", "shift") \
+        .sortWithinPartitions("doc", "v", "hub", "hv", "shift", "at")
+    return dealt.mapInArrow(join, PASSAGE_TYPES)
 
 
 def _wide(batches, rows: int = 1 << 14):
@@ -411,13 +550,20 @@ def _wide(batches, rows: int = 1 << 14):
         yield pa.concat_batches(held)
 
 
+def _agreeing(a: str, b: str) -> Column:
+    """How many of the eight bytes of two contexts agree; a zero byte, where
+    there is no word, agrees with nothing."""
+    return sum((F.when((F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8 * k).bitwiseAND(255) == 0)
+                       & (F.shiftrightunsigned(F.col(a), 8 * k).bitwiseAND(255) != 0), 1).otherwise(0) for k in range(8)), F.lit(0)).cast("long")
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """The passages between the documents and hubs of ``pairs(doc, at, hub,
     hub_at)``, with the number ``v`` of the document's text."""
-    low = (1 << SHIFT) - 1
+    low = MASK
     matches = pairs.where("doc > hub").select(
         "doc", F.shiftright("at", SHIFT).alias("v"), "hub", F.shiftright("hub_at", SHIFT).alias("hv"),
-        F.col("at").bitwiseAND(low).alias("x"), F.col("hub_at").bitwiseAND(low).alias("y"))
+        F.col("at").bitwiseAND(low).alias("x"), F.col("hub_at").bitwiseAND(low).alias("y"), _agreeing("ctx", "hub_ctx").alias("alike"))
     dealt = matches.repartition(partitions(pairs.sparkSession), "doc", "v").sortWithinPartitions("doc", "v", "hub", "hv", "x", "y")
     found = stage(_chains(dealt).withColumn("id", F.monotonically_increasing_id()), "chains")
     ends = found.select("*", F.greatest(F.element_at("xs", 1) - PAD, F.lit(0)).alias("xl"), (F.element_at("xs", -1) + K + PAD).alias("xh"),
@@ -441,9 +587,8 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: flo
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-    names = ["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "equal_words", "similarity", "v"]
-    return rows.mapInArrow(align, "doc_id long, start_word int, n_words int, source_id long, source_start int, "
-                                  "source_words int, equal_words int, similarity double, v long")
+    names = PASSAGE
+    return rows.mapInArrow(align, PASSAGE_TYPES)
 
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -466,20 +611,30 @@ def cut_spans(text: str, spans: list[tuple]) -> str:
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
-                 **how) -> DataFrame:
+                 min_words: int = 50, similarity: float = 0.8) -> DataFrame:
     """``df`` without the repeated passages: each stays in the document with
     the smallest id only. A text that is cut is trimmed and, if
     ``length_col`` is a column, has its length set there; a row of which
-    nothing is left is dropped. Other rows and columns are unchanged."""
-    found = repeated_passages(df, id_col=id_col, text_col=text_col, **how)
-    spans = stage(found.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set(F.struct("start_word", "n_words")).alias("_spans")), "spans")
-    joined = df.join(spans, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left").drop("_id")
+    nothing is left is dropped. Other rows and columns are unchanged, whatever
+    the columns' names: rows with a null id or text stay, of several texts of
+    one id each is cut by its own passages, repeated rows are cut alike, and
+    an empty table stays empty."""
+    texts = _texts(small_batches(df), id_col, text_col)
+    found = stage(_passages(texts, min_words, similarity), "passages")
+    name = {c: f"{c}_{uuid.uuid4().hex[:8]}" for c in ("id", "t", "spans")}  # no column of the table
+    keys = texts.select("doc", F.col("v").cast("long").alias("v"), F.xxhash64("text").alias(name["t"])).distinct()
+    spans = found.join(keys, (found["doc_id"] == keys["doc"]) & (found["v"] == keys["v"])) \
+        .groupBy(F.col("doc").alias(name["id"]), name["t"]).agg(F.collect_set(F.struct("start_word", "n_words")).alias(name["spans"]))
+    spans = stage(spans, "spans")  # the passages of one text
+    cell = {c: F.col(f"`{c}`") for c in df.columns}
+    joined = df.join(spans, (cell[id_col].cast("long") == F.col(name["id"])) & (
+        F.xxhash64(cell[text_col].cast("string")) == F.col(name["t"])), "left")
     cut = F.udf(lambda t, s: None if t is None else cut_spans(t, [(r[0], r[1]) for r in s]), "string", useArrow=True)
-    kept = df.columns
-    same = joined.where("_spans is null").select(kept)
-    new = joined.where("_spans is not null").withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("_spans")))
-    new = new.where(F.coalesce(F.length(f"`{text_col}`"), F.lit(0)) > 0)
-    if length_col in kept:
-        new = new.withColumn(length_col, F.length(f"`{text_col}`").cast(dict(df.dtypes)[length_col]))
-    return same.unionByName(new.select(kept))
+    hit = F.col(name["spans"])
+    same = joined.where(hit.isNull()).select(*cell.values())
+    new = joined.where(hit.isNotNull()).select(*[cut(x.cast("string"), hit).alias(c) if c == text_col else x for c, x in cell.items()])
+    new = new.where(F.length(cell[text_col]) > 0)
+    if length_col in cell:
+        kind = dict(df.dtypes)[length_col]
+        new = new.select(*[F.length(cell[text_col]).cast(kind).alias(c) if c == length_col else x for c, x in cell.items()])
+    return same.union(new)

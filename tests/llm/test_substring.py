@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quotelens.llm import substring
 
@@ -143,3 +144,67 @@ def test_edge_cases(spark, small, empty):
     assert kept.columns == df.columns
     assert sorted((x["doc_id"] or 0, x["text"] or "", x["n_chars"]) for x in kept.collect()) == sorted(
         [(0, p, 9), (1, p, 9), (1, p, 9), (1, q, 9), (2, "see end", 7), (4, "", 1)])
+
+
+def test_a_passage_whose_overlapping_pieces_stand_in_earlier_documents(spark):
+    for seed in range(6):
+        r = random.Random(20 + seed)
+        p = words(r, 60)
+        rows = [(i, " ".join(words(r, 40) + p[s:s + 36] + words(r, 40))) for i, s in ((1, 0), (2, 12), (3, 24))]
+        rows += [(i, " ".join(words(r, 40) + p + words(r, 40))) for i in (9, 10)]
+        got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [(g["doc_id"], g["source_id"], g["n_words"]) for g in got] == [(10, 9, 60)]
+
+
+def test_every_equal_run_of_fifty_words_is_found(spark):
+    """Brute force over documents that share pieces of a few passages."""
+    r = random.Random(31)
+    pool = [words(r, 150) for _ in range(6)]
+    docs = []
+    for _ in range(90):
+        w = []
+        for _ in range(r.randint(1, 4)):
+            p = r.choice(pool)
+            s = r.randrange(110)
+            w += words(r, r.randint(5, 40)) + p[s:s + r.choice([20, 35, 50, 51, 70])]
+        docs.append(w + words(r, 10))
+    got = substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    found = {}
+    for g in got:
+        found.setdefault(g["doc_id"], set()).update(range(g["start_word"], g["start_word"] + g["n_words"]))
+    seen = set()
+    for i, w in enumerate(docs):
+        runs = [tuple(w[s:s + 50]) for s in range(len(w) - 49)]
+        for s, run in enumerate(runs):
+            if run in seen:  # explained but for less than NEW words in a row
+                missing = [k for k in range(s, s + 50) if k not in found.get(i, set())]
+                assert not any(b - a == substring.NEW - 1 for a, b in zip(missing, missing[substring.NEW - 1:])), (i, s)
+        seen |= set(runs)
+
+
+def test_recall_of_changed_passages(spark):
+    """60 words, a share of them replaced; recall through the whole operator."""
+    r = random.Random(41)
+    rows, n = [], 80
+    for k, share in enumerate((0.1, 0.15)):
+        for i in range(n):
+            p = words(r, 60)
+            q = list(p)
+            for at in r.sample(range(1, 59), round(60 * share)):
+                q[at] = "changed"
+            rows += [(k * 1000 + i, " ".join(words(r, 50) + p + words(r, 50))), (k * 1000 + 500 + i, " ".join(words(r, 50) + q + words(r, 50)))]
+    got = {g["doc_id"] for g in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(500 <= g < 1000 for g in got) >= 0.97 * n and sum(g >= 1500 for g in got) >= 0.9 * n
+
+
+def test_two_texts_of_one_id_and_clashing_names(spark):
+    r = random.Random(51)
+    p, q = " ".join(words(r, 70)), " ".join(words(r, 120))
+    rows = [(1, p, 1), (2, p, 2), (2, q, 3), (None, p, 4), (3, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    for c in ("_key", "_id", "_bad", "_copies", "_spans", "a.b", "doc", "v", "t", "spans"):
+        df = df.withColumn(c, F.lit("clash"))
+    kept = substring.drop_repeats(df)
+    assert kept.columns == df.columns
+    assert sorted(((x["doc_id"] or 0), x["text"] or "", x["n_chars"], x["a.b"]) for x in kept.collect()) == sorted(
+        [(1, p, 1, "clash"), (2, q, 3, "clash"), (0, p, 4, "clash"), (3, "", 5, "clash")])
