@@ -438,6 +438,8 @@ def _stretches(shared: DataFrame, found: DataFrame, min_words: int) -> DataFrame
 
 def _run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` ids, from those of runs half as long."""
+    if len(ids) < n:
+        return ids[:0]
     h, k, out, used = ids, 1, None, 0
     while used < n:
         if n & k:  # runs of the powers of two that add up to n, one behind the other

@@ -208,3 +208,12 @@ def test_two_texts_of_one_id_and_clashing_names(spark):
     assert kept.columns == df.columns
     assert sorted(((x["doc_id"] or 0), x["text"] or "", x["n_chars"], x["a.b"]) for x in kept.collect()) == sorted(
         [(1, p, 1, "clash"), (2, q, 3, "clash"), (0, p, 4, "clash"), (3, "", 5, "clash")])
+
+
+def test_shared_texts_just_short_of_a_passage(spark):
+    r = random.Random(61)
+    rows = []
+    for n in range(36, 50):
+        p = words(r, n)
+        rows += [(100 * n + 1, " ".join(p + words(r, 1))), (100 * n + 2, " ".join(words(r, 1) + p))]
+    assert substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
