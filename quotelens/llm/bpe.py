@@ -209,6 +209,11 @@ class Codec:
         for t, i in chain(spec["vocab"].items(), self.added.items()):
             self.token[i] = t
         self.digits = [str(i) for i in range(size)]
+        vocab, end = spec["vocab"], spec["end"]
+        # pairs of ids to the rank of their merge and, in the low bits, the id that it makes
+        self.joined = {vocab[a] << 20 | vocab[b]: r << 20 | vocab[a + b] for (a, b), r in spec["ranks"].items()}
+        self.plain = [vocab[c] for c in self.alphabet]
+        self.final = [vocab[c + end] for c in self.alphabet]
         self.same = list(range(size))  # one object for each id, so that remembered ids share them
 
     def normalise(self, text: str) -> str:
@@ -220,21 +225,24 @@ class Codec:
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word by the merges alone."""
-        sym = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
-        sym[-1] += self.spec["end"]
-        ranks, vocab = self.spec["ranks"], self.spec["vocab"]
-        if len(sym) <= self.LONG:
-            none = 1 << 30
-            of = [ranks.get(p, none) for p in zip(sym, sym[1:])]
+        raw = word.encode("utf-8", "surrogatepass")
+        if len(raw) <= self.LONG:
+            ids = [self.plain[b] for b in raw]
+            ids[-1] = self.final[raw[-1]]
+            get, none = self.joined.get, 1 << 62
+            of = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
             while of and (best := min(of)) < none:
                 i = of.index(best)
-                sym[i:i + 2] = [sym[i] + sym[i + 1]]
+                ids[i:i + 2] = [best & 0xFFFFF]
                 del of[i]
                 if i < len(of):
-                    of[i] = ranks.get((sym[i], sym[i + 1]), none)
+                    of[i] = get(ids[i] << 20 | ids[i + 1], none)
                 if i:
-                    of[i - 1] = ranks.get((sym[i - 1], sym[i]), none)
-            return [vocab[s] for s in sym]
+                    of[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            return ids
+        sym = [self.alphabet[b] for b in raw]
+        sym[-1] += self.spec["end"]
+        ranks, vocab = self.spec["ranks"], self.spec["vocab"]
         after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
         heap = [(r, i, p) for i, p in enumerate(zip(sym, sym[1:])) if (r := ranks.get(p)) is not None]
         heapq.heapify(heap)
