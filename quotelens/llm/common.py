@@ -32,6 +32,17 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has."""
+    mark = uuid.uuid4().hex[:10]
+    return [f"{n}_{mark}" for n in names]
+
+
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def write_shared_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Write one driver-built file into the shared folder; returns its URI."""
     uri = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex[:12]}-{name}"

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, stage, window_hashes
+from .common import columns_of, fresh, mix64, small_batches, stage, window_hashes
 
 # Units of measure and currency that may follow a number.
 UNITS = frozenset((
@@ -205,7 +205,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, width: int = 5, literals: in
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` whose text leaks no benchmark item, unchanged."""
-    bad = stage(find_leaks(df, benchmark, text_col=text_col, **how).select(F.col("text_key").alias("_bad")).distinct(), "leaks")
-    key = F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")))
-    return df.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(df.columns)
+    """The rows of ``df`` whose text leaks no benchmark item, unchanged,
+    whatever their columns' names. Rows with a null or empty text stay, null
+    ids and repeated rows are judged by their text like others; an empty table
+    stays empty, an empty benchmark takes nothing out."""
+    bad, key = fresh("bad", "key")
+    leaks = stage(find_leaks(df, benchmark, text_col=text_col, **how).select(F.col("text_key").alias(bad)).distinct(), "leaks")
+    keyed = df.withColumn(key, F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))))
+    return keyed.join(leaks, F.col(key) == F.col(bad), "left_anti").select(*columns_of(df))

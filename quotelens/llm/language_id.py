@@ -190,7 +190,9 @@ def identify(df: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id",
 
 
 def drop_undetermined(df: DataFrame, words: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text has a language, with all their columns."""
+    """The rows of ``df`` whose text has a language, with all their columns.
+    A null, empty or letterless text has none, and its row goes; ids are not
+    read, repeated rows stay repeated, an empty table stays empty."""
     shared = df.sparkSession.sparkContext.broadcast(words)
     at = df.columns.index(text_col)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, components, drop_stage, mix64, partitions, small_batches, stage, window_hashes
+from .common import WordHasher, columns_of, components, drop_stage, fresh, mix64, partitions, small_batches, stage, window_hashes
 
 REGISTERS = 512
 BAND_REGISTERS = 256
@@ -172,7 +172,7 @@ def _filter_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFr
 
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` with 100 * common >= percent * union on the full
-    sets."""
+    sets, written; the stage ``pairs`` goes."""
     def sets(batches):
         hasher = WordHasher()
         for b in batches:
@@ -195,7 +195,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     found = stage(one, "sets")
     a = found.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     b = found.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    ok = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    linked = stage(ok, "linked")
+    drop_stage(found)
+    drop_stage(pairs)
+    return linked
 
 
 def _hub_pairs(bands: DataFrame) -> DataFrame:
@@ -291,28 +295,35 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: s
     text = F.col(f"`{text_col}`").cast("string")
     docs = small_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("ck"),
                      text.alias("text"))
-    rows = stage(sketches(docs, k), "sketches")
-    nodes = stage(rows.where("doc_id is not null and n > 0").groupBy("ck").agg(
+    full = stage(sketches(docs, k), "sketches")
+    nodes = stage(full.where("doc_id is not null and n > 0").groupBy("ck").agg(
         F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("regs").alias("regs"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = stage(full.drop("regs"), "rows")
+    drop_stage(full)
     bands = stage(_bands(nodes, threshold), "bands")
     several = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     shared = stage(bands.join(several, "key", "left_semi"), "shared")
     drop_stage(bands)
     hopeful = stage(_filter_pairs(_hub_pairs(shared), nodes, threshold), "hopeful")
-    linked = stage(_confirm(hopeful, docs, nodes, k, percent), "linked")
+    linked = _confirm(hopeful, docs, nodes, k, percent)
     mixed = _mixed(shared, components(linked))
     hopeful = stage(_filter_pairs(_pairs(mixed.where("comp != main")), nodes, threshold), "hopeful")
-    linked = linked.union(stage(_confirm(hopeful, docs, nodes, k, percent), "linked"))
+    drop_stage(mixed)
+    linked = linked.union(_confirm(hopeful, docs, nodes, k, percent))
     mixed = _mixed(shared, components(linked))
+    drop_stage(shared)
     rest = stage(_rest_pairs(mixed, nodes, threshold), "rest")
+    drop_stage(mixed)
     linked = linked.union(_confirm(rest, docs, nodes, k, percent))
-    named = nodes.select("ck", "node", "head").join(components(linked), "node", "left") \
+    heads = stage(nodes.select("ck", "node", "head"), "heads")
+    drop_stage(nodes)
+    named = heads.join(components(linked), "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     named = named.join(lowest, "component").select("ck", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.drop("regs").join(named, "ck", "left").select(
+    return rows.join(named, "ck", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
         F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.col("ck").alias("text_key"))
 
@@ -320,13 +331,17 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: s
 def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row
-    with the smallest id stays, once if it is repeated; columns unchanged."""
+    with the smallest id stays, once if it is repeated; columns unchanged,
+    whatever their names. Rows with a null id stay, as do those whose text is
+    null, empty or without words, once for each id; of the different texts of
+    one id each is judged by its own links. An empty table stays empty."""
+    i, t, n, key = fresh("id", "text", "copies", "key")
     kept = near_duplicates(df, k, threshold, id_col, text_col).where("kept and doc_id is not null") \
-        .groupBy("doc_id", "text_key").agg(F.count("*").alias("_copies"))
-    kept = stage(kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_ck"), "_copies"), "kept")
-    key = F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")))
-    own = df.withColumn("_key", key).join(kept, (F.col("_id") == F.col(f"`{id_col}`").cast("long"))
-                                          & F.col("_ck").eqNullSafe(F.col("_key")))
-    once = own.where("_copies = 1").select(df.columns)
-    again = own.where("_copies > 1").select(df.columns).dropDuplicates([id_col, text_col])
-    return once.unionByName(again).unionByName(df.where(F.col(f"`{id_col}`").isNull()))
+        .groupBy("doc_id", "text_key").agg(F.count("*").alias(n))
+    kept = stage(kept.select(F.col("doc_id").alias(i), F.col("text_key").alias(t), n), "kept")
+    own_id = F.col(f"`{id_col}`")
+    own = df.withColumn(key, F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))))
+    own = own.join(kept, (F.col(i) == own_id.cast("long")) & F.col(t).eqNullSafe(F.col(key)))
+    once = own.where(F.col(n) == 1).select(*columns_of(df))
+    again = own.where(F.col(n) > 1).dropDuplicates([i, key]).select(*columns_of(df))
+    return once.union(again).union(df.where(own_id.isNull()))

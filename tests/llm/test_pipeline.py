@@ -38,5 +38,23 @@ def test_stages_do_their_work(spark, tmp_path):
 
 def test_registered_once_each():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert corpus_pipeline.ORACLE_SQL is None and callable(corpus_pipeline.run)
+
+
+def test_stages_take_any_column_names(spark):
+    from pyspark.sql import functions as F
+
+    from quotelens.llm import decontam, near_dedup
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, words), (2, words), (2, words), (3, words + " x"), (None, words), (4, None), (4, None), (5, ""), (6, "quite another text, all alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_key", "_id", "_bad", "_copies", "_ck", "_spans", "a.b", "key", "node"):
+        df = df.withColumn(c, F.lit("clash"))
+    kept = near_dedup.drop_near_duplicates(df)
+    assert kept.columns == df.columns and kept.where("_key != 'clash' or `a.b` != 'clash'").count() == 0
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6]
+    items = spark.createDataFrame([(7, "quite another text, all alone here")], "item_id long, text string")
+    clean = decontam.decontaminate(df, items)
+    assert clean.columns == df.columns and clean.count() == len(rows) - 1
+    assert decontam.decontaminate(df.limit(0), items).count() == 0 and near_dedup.drop_near_duplicates(df.limit(0)).count() == 0
