@@ -46,17 +46,30 @@ def seeds_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = window_hashes(ids, K)
     if not len(h):
         return np.empty(0, np.int64), h
-    order = np.argsort(h, kind="stable")
-    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (np.diff(order) >= CIRCLE)]
-    if not new.all():
-        turn = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        h[order] = np.where(turn > 0, mix64(h[order] + turn.astype(np.uint64)), h[order])
+    ordered = np.sort(h)
+    if (ordered[1:] == ordered[:-1]).any():
+        order = np.argsort(h, kind="stable")
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (np.diff(order) >= CIRCLE)]
+        if not new.all():
+            turn = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            h[order] = np.where(turn > 0, mix64(h[order] + turn.astype(np.uint64)), h[order])
     w = min(WINDOW, len(h))
-    low = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(len(h) - w + 1)
-    at = np.unique(low)
+    least = _sliding(h, w, np.minimum)  # of each window; a seed is the least of one of those that hold it
+    pad = np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero(h == _sliding(np.r_[pad, least, pad], w, np.maximum))
     return at, h[at]
 
 
+def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
+    """Minimum or maximum of every window of ``w``, by windows of powers of
+    two."""
+    k = 1
+    while 2 * k <= w:
+        x = pick(x[:-k], x[k:])
+        k *= 2
+    return pick(x[:len(x) - (w - k)], x[w - k:]) if w > k else x
+
+
 def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Collinear chains of matches ``(x, y)``, best first, each a list of
     match numbers; a match is in one chain at most.
@@ -228,24 +241,25 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A byte of each of the four words before the seeds at ``at`` and the
-    four behind them, packed; nothing stands beyond the ends."""
-    low = np.r_[np.zeros(4, np.uint64), (ids >> np.uint64(24) & np.uint64(0xFF)), np.zeros(K + 4, np.uint64)]
-    out = np.zeros(len(at), np.uint64)
+    """Four bits, from 1 to 15, of each of the four words before the seeds at
+    ``at`` and the four behind them, packed; 0 where a text ends."""
+    low = np.r_[np.zeros(4, np.uint32), (ids >> np.uint64(24)).astype(np.uint32) % np.uint32(15) + np.uint32(1), np.zeros(K + 4, np.uint32)]
+    out = np.zeros(len(at), np.uint32)
     for k, step in enumerate([0, 1, 2, 3, 4 + K, 5 + K, 6 + K, 7 + K]):
-        out |= low[at + step] << np.uint64(8 * k)
-    return out
+        out |= low[at + step] << np.uint32(4 * k)
+    return out.view(np.int32)
 
 
 def _seeds(texts: DataFrame) -> DataFrame:
-    """``h, doc, at, ctx`` of every seed."""
+    """``h, doc, at, ctx`` of every seed, and for each text a row without
+    ``h`` whose place is the number of its words."""
     def run(batches):
         hasher = WordHasher()
         for b in batches:
             for first in range(0, b.num_rows, 256):
                 part = b.slice(first, 256)
                 doc, v = part.column(0).to_numpy(), part.column(1).to_numpy()
-                hs, docs, ats, ctx = [], [], [], []
+                hs, docs, ats, ctx, ends = [], [], [], [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
                     ids = hasher.ids(words_of(t))
                     at, h = seeds_of(ids)
@@ -253,11 +267,14 @@ def _seeds(texts: DataFrame) -> DataFrame:
                     docs.append(np.full(len(at), doc[i]))
                     ats.append(at + (int(v[i]) << SHIFT))
                     ctx.append(context(ids, at))
+                    ends.append(len(ids) + (int(v[i]) << SHIFT))
+                n = len(ends)
+                none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(docs)),
-                     pa.array(np.concatenate(ats).astype(np.int64)), pa.array(np.concatenate(ctx).view(np.int64))],
+                    [pa.concat_arrays([pa.array(np.concatenate(hs).view(np.int64)), none]), pa.array(np.concatenate([*docs, doc])),
+                     pa.array(np.concatenate([*ats, ends]).astype(np.int64)), pa.array(np.concatenate([*ctx, np.zeros(n, np.int32)]))],
                     ["h", "doc", "at", "ctx"])
-    return texts.select("doc", "v", "text").mapInArrow(run, "h long, doc long, at long, ctx long")
+    return texts.select("doc", "v", "text").mapInArrow(run, "h long, doc long, at long, ctx int")
 
 
 def _copies(texts: DataFrame) -> DataFrame:
@@ -369,29 +386,29 @@ def _passages(texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
     copies = stage(_copies(texts), "copies")
     seeds = _seeds(texts).withColumn("v", F.shiftright("at", SHIFT).cast("int"))
     seeds = stage(seeds.join(copies.select("doc", "v"), ["doc", "v"], "left_anti").drop("v"), "seeds")
-    hubs = seeds.groupBy("h").agg(F.min(F.struct("doc", "at", "ctx")).alias("first"), F.max("doc").alias("top")).where("top > first.doc") \
+    whole = stage(_whole(copies, seeds.where("h is null"), min_words), "whole")
+    kept = seeds.where("h is not null")
+    hubs = kept.groupBy("h").agg(F.min(F.struct("doc", "at", "ctx")).alias("first"), F.max("doc").alias("top")).where("top > first.doc") \
         .select("h", F.col("first.doc").alias("hub"), F.col("first.at").alias("hub_at"), F.col("first.ctx").alias("hub_ctx"))
-    shared = stage(seeds.join(hubs, "h"), "shared")
+    shared = kept.join(hubs, "h").select("doc", "at", "hub", "hub_at", _agreeing("ctx", "hub_ctx").alias("alike"))
+    shared = stage(shared, "shared")
     drop_stage(seeds)
-    found = stage(_aligned(shared, texts, min_words, similarity), "passages")
+    found = _aligned(shared, texts, min_words, similarity)
     stretches = stage(_stretches(shared, found, min_words), "stretches")
     drop_stage(shared)
-    whole = _whole(copies, texts, min_words)
     return found.unionByName(whole).unionByName(_exact(stretches, texts, min_words))
 
 
-def _whole(copies: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
-    """A passage for each document whose text an earlier one has as well."""
-    def run(batches):
-        for b in batches:
-            n = np.array([len(words_of(t)) for t in b.column(4).to_pylist()], np.int32)
-            doc, v, rep = (b.column(i).to_numpy() for i in (0, 1, 2))
-            ok = n >= min_words
-            zero, m = np.zeros(int(ok.sum()), np.int32), n[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                doc[ok], zero, m, rep[ok], zero, m, m, np.ones(len(m)), v[ok].astype(np.int64))], PASSAGE)
-    rows = copies.join(texts.distinct(), ["doc", "v"]).select("doc", "v", "rep", "rv", "text")
-    return rows.mapInArrow(run, PASSAGE_TYPES)
+def _whole(copies: DataFrame, ends: DataFrame, min_words: int) -> DataFrame:
+    """A passage for each document whose text an earlier one has as well;
+    ``ends(doc, at)`` has the number of words of that."""
+    n = F.col("at").bitwiseAND(MASK).cast("int")
+    first = ends.select(F.col("doc").alias("rep"), F.shiftright("at", SHIFT).cast("int").alias("rv"), n.alias("n")).where(F.col("n") >= min_words)
+    zero = F.lit(0)
+    return copies.join(first.distinct(), ["rep", "rv"]).select(
+        F.col("doc").alias("doc_id"), zero.alias("start_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_id"),
+        zero.alias("source_start"), F.col("n").alias("source_words"), F.col("n").alias("equal_words"), F.lit(1.0).alias("similarity"),
+        F.col("v").cast("long").alias("v"))
 
 
 PASSAGE = ["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "equal_words", "similarity", "v"]
@@ -490,7 +507,7 @@ def _run_rows(stretches: DataFrame, texts: DataFrame, min_words: int, bits=None)
                         at, g = at[ok], g[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(at), b.column(0)[i].as_py())),
                                                       pa.array(np.full(len(at), b.column(1)[i].as_py())), pa.array(at)], ["h", "doc", "v", "at"])
-    rows = spans.join(texts.withColumn("v", F.col("v").cast("long")).distinct(), ["doc", "v"]).select("doc", "v", "spans", "text")
+    rows = spans.join(texts.withColumn("v", F.col("v").cast("long")), ["doc", "v"]).select("doc", "v", "spans", "text")
     return rows.mapInArrow(run, "h long, doc long, v long, at long")
 
 
@@ -529,6 +546,7 @@ def _exact(stretches: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
 
     def join(batches):
         for doc, v, hub, _hv, shift, at in _groups(_wide(batches), 6, 5):
+            at = np.unique(at)  # repeated rows
             cut = np.flatnonzero(np.diff(at) != 1)
             lo, hi = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + min_words
             n = (hi - lo).astype(np.int32)
@@ -553,10 +571,10 @@ def _wide(batches, rows: int = 1 << 14):
 
 
 def _agreeing(a: str, b: str) -> Column:
-    """How many of the eight bytes of two contexts agree; a zero byte, where
-    there is no word, agrees with nothing."""
-    return sum((F.when((F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8 * k).bitwiseAND(255) == 0)
-                       & (F.shiftrightunsigned(F.col(a), 8 * k).bitwiseAND(255) != 0), 1).otherwise(0) for k in range(8)), F.lit(0)).cast("long")
+    """How many of the eight parts of two contexts agree; a zero, where there
+    is no word, agrees with nothing."""
+    return sum((F.when((F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 4 * k).bitwiseAND(15) == 0)
+                       & (F.shiftrightunsigned(F.col(a), 4 * k).bitwiseAND(15) != 0), 1).otherwise(0) for k in range(8)), F.lit(0)).cast("int")
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -565,7 +583,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: flo
     low = MASK
     matches = pairs.where("doc > hub").select(
         "doc", F.shiftright("at", SHIFT).alias("v"), "hub", F.shiftright("hub_at", SHIFT).alias("hv"),
-        F.col("at").bitwiseAND(low).alias("x"), F.col("hub_at").bitwiseAND(low).alias("y"), _agreeing("ctx", "hub_ctx").alias("alike"))
+        F.col("at").bitwiseAND(low).alias("x"), F.col("hub_at").bitwiseAND(low).alias("y"), F.col("alike").cast("long").alias("alike"))
     dealt = matches.repartition(partitions(pairs.sparkSession), "doc", "v").sortWithinPartitions("doc", "v", "hub", "hv", "x", "y")
     found = stage(_chains(dealt).withColumn("id", F.monotonically_increasing_id()), "chains")
     ends = found.select("*", F.greatest(F.element_at("xs", 1) - PAD, F.lit(0)).alias("xl"), (F.element_at("xs", -1) + K + PAD).alias("xh"),
@@ -590,7 +608,9 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: flo
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
     names = PASSAGE
-    return rows.mapInArrow(align, PASSAGE_TYPES)
+    aligned = stage(rows.mapInArrow(align, PASSAGE_TYPES), "passages")
+    drop_stage(found)
+    return aligned
 
 
 WORD = re.compile(r"[^ \t-\r]+")
