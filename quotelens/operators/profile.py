@@ -30,6 +30,15 @@ def summary_stats(q: DataFrame) -> DataFrame:
     ], [("price_median", "total_price_usd", 0.5)])
 
 
+def column_summary(q: DataFrame, columns: list[str]) -> DataFrame:
+    """A1: ``position, column_name, n_rows, n_null`` of each column, in one
+    aggregate."""
+    a = q.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("column_name"), F.col("n").alias("n_rows"),
+                              F.col(f"c{i}").alias("n_null")) for i, c in enumerate(columns)])
+    return a.select(F.explode(rows).alias("r")).select("r.*")
+
+
 DIMENSIONS = [("material", "material"), ("part_description", "part_description"),
               ("process", "process"), ("estimator", "estimator")]
 

@@ -40,6 +40,17 @@ def a01(spark, sf):
     return P.summary_stats(materialized_quotes(spark, sf))
 
 
+QUOTE_COLUMNS = ["quote_id", "quote_date", "part_description", "material", "process", "quantity", "lead_time_weeks", "rush_job",
+                 "estimator", "total_price_usd"]
+
+
+@register("a01_column_summary", oracle=EQ + "\n" + " UNION ALL ".join(
+    f"SELECT {i + 1} AS position, '{c}' AS column_name, count(*) AS n_rows, count_if({c} IS NULL)::BIGINT AS n_null FROM eq" for i, c in enumerate(QUOTE_COLUMNS)))
+def a01c(spark, sf):
+    """A1: columns, rows and missing values."""
+    return P.column_summary(materialized_quotes(spark, sf), QUOTE_COLUMNS)
+
+
 A2_STACK = " UNION ALL ".join(
     f"SELECT '{n}' AS dimension, CAST({c} AS VARCHAR) AS category, unit_price FROM eq"
     for n, c in P.DIMENSIONS)

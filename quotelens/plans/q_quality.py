@@ -15,9 +15,8 @@ def _in(values) -> str:
     return "(" + ", ".join(repr(v) if isinstance(v, int) else "'" + v + "'" for v in values) + ")"
 
 
-def _sorted_join_sql(col: str, cond: str) -> str:
-    return (f"array_to_string(list_transform(list_sort(list(DISTINCT {col}) FILTER (WHERE {cond})), "
-            f"lambda x: CAST(x AS VARCHAR)), ',')")
+def _values_sql(col: str, cond: str) -> str:
+    return f"nullif(count(DISTINCT {col}) FILTER (WHERE {cond}), 0) || ' values'"
 
 
 _BADQ = f"quantity NOT IN {_in(S.VALID_QUANTITIES)}"
@@ -27,12 +26,12 @@ _UE = f"estimator IS NULL OR estimator NOT IN {_in(S.VALID_ESTIMATORS)}"
 _RULES = [
     ("V01_non_positive_price", "critical", "count_if(total_price_usd <= 0)", "NULL"),
     ("V02_rush_null", "critical", "count_if(rush_job IS NULL)", "NULL"),
-    ("V03_invalid_quantity", "critical", f"count_if({_BADQ})", _sorted_join_sql("quantity", _BADQ)),
+    ("V03_invalid_quantity", "critical", f"count_if({_BADQ})", _values_sql("quantity", _BADQ)),
     ("V04_missing_material", "warning", "count_if(material IS NULL)", "NULL"),
     ("V05_missing_process", "warning", "count_if(process IS NULL)", "NULL"),
-    ("V06_unknown_material", "warning", f"count_if({_UM})", _sorted_join_sql("material", _UM)),
-    ("V07_unknown_process", "warning", f"count_if({_UP})", _sorted_join_sql("process", _UP)),
-    ("V08_unknown_estimator", "warning", f"count_if({_UE})", _sorted_join_sql("COALESCE(estimator, 'NULL')", _UE)),
+    ("V06_unknown_material", "warning", f"count_if({_UM})", _values_sql("material", _UM)),
+    ("V07_unknown_process", "warning", f"count_if({_UP})", _values_sql("process", _UP)),
+    ("V08_unknown_estimator", "warning", f"count_if({_UE})", _values_sql("COALESCE(estimator, 'NULL')", _UE)),
     ("V09_duplicate_quote_id", "warning", "count(*) - count(DISTINCT quote_id)", "NULL"),
     ("V10_lead_time_below_1", "warning", "count_if(lead_time_weeks < 1)", "CAST(min(lead_time_weeks) AS VARCHAR)"),
 ]
@@ -47,6 +46,17 @@ def v01(spark, sf):
     return V.validation_report(load_dirty_quotes(spark, sf))
 
 
+_INVALID = [("V03_invalid_quantity", "CAST(quantity AS VARCHAR)", _BADQ), ("V06_unknown_material", "material", _UM),
+            ("V07_unknown_process", "process", _UP), ("V08_unknown_estimator", "COALESCE(estimator, 'NULL')", _UE)]
+
+
+@register("v03_invalid_values", oracle=DQ + "\n" + " UNION ALL ".join(
+    f"SELECT '{r}' AS rule, {v} AS value, count(*) AS n FROM dirty WHERE {c} GROUP BY 2" for r, v, c in _INVALID))
+def v03(spark, sf):
+    """V3, V6-V8 in detail: every value outside its domain, with its count."""
+    return V.invalid_values(load_dirty_quotes(spark, sf))
+
+
 _MISSING_COLS = ["quote_id", "quote_date", "part_description", "material", "process", "quantity",
                  "lead_time_weeks", "rush_job", "estimator", "total_price_usd"]
 
