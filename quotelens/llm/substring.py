@@ -421,7 +421,7 @@ def _stretches(shared: DataFrame, found: DataFrame, min_words: int) -> DataFrame
     more of which every seed is shared, and those parts of them (with what an
     equal run around may need) that hold ``NEW`` words in a row in no passage
     (``open``)."""
-    def run(batches):
+    def parts(batches):
         for doc, at, end, kind in _groups(_wide(batches), 4, 1):
             out = []
             where, spans = at[kind == 1], np.stack([at[kind == 0], end[kind == 0]], 1)
@@ -429,7 +429,8 @@ def _stretches(shared: DataFrame, found: DataFrame, min_words: int) -> DataFrame
                 continue
             cut = np.flatnonzero(np.diff(where) > WINDOW)
             lows, highs = where[np.r_[0, cut + 1]] - WINDOW + 1, where[np.r_[cut, len(where) - 1]] + K + WINDOW - 1
-            for lo, hi in zip(lows.tolist(), highs.tolist()):
+            long = highs - lows >= min_words
+            for lo, hi in zip(lows[long].tolist(), highs[long].tolist()):
                 v = (lo + WINDOW - 1) >> SHIFT
                 lo = max(lo, v << SHIFT)
                 if hi - lo < min_words:
@@ -443,9 +444,10 @@ def _stretches(shared: DataFrame, found: DataFrame, min_words: int) -> DataFrame
                     at_word = max(at_word, e)
             if out:
                 low, high, is_open = (np.array(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    np.full(len(out), doc[0]), low >> SHIFT, low & MASK, high - (low >> SHIFT << SHIFT), is_open)],
-                    ["doc", "v", "low", "high", "open"])
+                yield np.full(len(out), doc[0]), low >> SHIFT, low & MASK, high - (low >> SHIFT << SHIFT), is_open
+
+    def run(batches):
+        yield from _batched(parts(batches), ["doc", "v", "low", "high", "open"])
     start = F.shiftleft(F.col("v"), SHIFT) + F.col("start_word")
     spans = found.select(F.col("doc_id").alias("doc"), start.alias("at"), (start + F.col("n_words")).alias("end"), F.lit(0).alias("kind"))
     rows = shared.select("doc", "at", F.lit(0).cast("long").alias("end"), F.lit(1).alias("kind")).distinct().union(spans)
@@ -472,6 +474,9 @@ def _circling(ids: np.ndarray, n: int) -> np.ndarray:
     circle of n / 2 words at most: each of its k-mers comes back after as
     many words."""
     h = window_hashes(ids, K)
+    ordered = np.sort(h)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return np.zeros(max(len(ids) - n + 1, 0), bool)
     back = np.zeros(len(h), np.int64)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -488,12 +493,13 @@ def _run_rows(stretches: DataFrame, texts: DataFrame, min_words: int, bits=None)
     circles is left to the chains."""
     spans = stretches.groupBy("doc", "v").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))  # of one text
 
-    def run(batches):
+    def parts(batches):
         hasher = WordHasher()
         for b in batches:
             for i in range(b.num_rows):
                 ids = hasher.ids(words_of(b.column(3)[i].as_py()))
                 h, past, circling = _run_hashes(ids, min_words), 0, _circling(ids, min_words)
+                doc, v = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 for s in b.column(2)[i].as_py():
                     at = np.arange(max(s["low"], past), min(s["high"] - min_words + 1, len(h)))
                     if not len(at):
@@ -505,8 +511,10 @@ def _run_rows(stretches: DataFrame, texts: DataFrame, min_words: int, bits=None)
                         bit = g % np.uint64(BITMAP)
                         ok = (bits.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         at, g = at[ok], g[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(at), b.column(0)[i].as_py())),
-                                                      pa.array(np.full(len(at), b.column(1)[i].as_py())), pa.array(at)], ["h", "doc", "v", "at"])
+                    yield g.view(np.int64), np.full(len(at), doc), np.full(len(at), v), at
+
+    def run(batches):
+        yield from _batched(parts(batches), ["h", "doc", "v", "at"])
     rows = spans.join(texts.withColumn("v", F.col("v").cast("long")), ["doc", "v"]).select("doc", "v", "spans", "text")
     return rows.mapInArrow(run, "h long, doc long, v long, at long")
 
@@ -544,20 +552,37 @@ def _exact(stretches: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
     rows = runs.join(first, "h").where("doc > f.doc").select("doc", "v", F.col("f.doc").alias("hub"), F.col("f.v").alias("hv"),
                                                              (F.col("at") - F.col("f.at")).alias("shift"), "at")
 
-    def join(batches):
+    def parts(batches):
         for doc, v, hub, _hv, shift, at in _groups(_wide(batches), 6, 5):
             at = np.unique(at)  # repeated rows
             cut = np.flatnonzero(np.diff(at) != 1)
             lo, hi = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + min_words
             n = (hi - lo).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                np.full(len(n), doc[0]), lo.astype(np.int32), n, np.full(len(n), hub[0]), (lo - shift[0]).astype(np.int32), n, n,
-                np.ones(len(n)), np.full(len(n), v[0]))], PASSAGE)
+            yield (np.full(len(n), doc[0]), lo.astype(np.int32), n, np.full(len(n), hub[0]), (lo - shift[0]).astype(np.int32), n, n,
+                   np.ones(len(n)), np.full(len(n), v[0]))
+
+    def join(batches):
+        yield from _batched(parts(batches), PASSAGE)
     dealt = rows.repartition(partitions(spark), "doc", "v", "hub", "hv", "shift") \
         .sortWithinPartitions("doc", "v", "hub", "hv", "shift", "at")
     return dealt.mapInArrow(join, PASSAGE_TYPES)
 
 
+def _batched(parts, names: list[str], rows: int = 1 << 14):
+    """``parts``, each a list of numpy columns, put together to record batches
+    of about ``rows`` rows."""
+    held, n = [], 0
+    for p in parts:
+        if len(p[0]):
+            held.append(p)
+            n += len(p[0])
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+
 def _wide(batches, rows: int = 1 << 14):
     """``batches`` put together to about ``rows`` rows."""
     held: list = []
