@@ -340,7 +340,7 @@ class Forests:
 def load_forests(nodes: DataFrame) -> Forests:
     """The node table on the driver: its size is set by the models' settings
     (fits x trees x nodes), not by the data."""
-    return Forests(nodes.toPandas())
+    return Forests(nodes.toArrow().to_pandas())
 
 
 def tree_predictions(spark, forests: Forests, models: list[str]) -> "callable":

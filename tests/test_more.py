@@ -21,7 +21,7 @@ from quotelens.plans import q_linear as QL
 
 def test_refits_equal_explicit_weighted_fits(spark):
     q = materialized_quotes(spark, SF001).where("fold < 2")
-    fits = LN.fit_linear(materialized_quotes(spark, SF001), models=("M1", "M2"))
+    fits = LN.load_fits(QL.model_tables(spark, SF001)["linear"].where("model in ('M1', 'M2')"))
     got = {r["model"]: r for r in ST.refit_stability(q, fits, models=("M1", "M2"), replicates=4).collect()}
     d, _ = LN.design(q)
     pdf = d.select("*", ST.row_hash().alias("h")).toPandas()

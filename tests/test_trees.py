@@ -14,7 +14,7 @@ from quotelens.operators import attribution as AT
 from quotelens.operators import models as M
 from quotelens.operators import trees as TR
 from quotelens.operators.enrich import materialized_quotes
-from quotelens.operators.stage import write_stage
+from quotelens.plans import q_linear as QL
 
 
 @pytest.fixture(scope="module")
@@ -23,13 +23,13 @@ def quotes(spark):
 
 
 @pytest.fixture(scope="module")
-def tables(spark, quotes):
-    return M.fit_models(quotes)
+def tables(spark):
+    return QL.model_tables(spark, SF001)
 
 
 @pytest.fixture(scope="module")
-def wide(spark, quotes, tables):
-    return write_stage(M.score_wide(quotes, tables, keep=("total_price_usd",)), "wide")
+def wide(spark):
+    return QL.oof_wide(spark, SF001)
 
 
 def test_keys_hold_the_features(spark, quotes):
@@ -107,7 +107,7 @@ def test_an_unknown_estimator_gets_the_mean_of_the_estimators_models(quotes, tab
 def test_models_learn_and_log_targets_win(wide):
     names = M.scored_models(wide)
     assert names == ["M0", "M1", "M2", "M3a", "M3b", "M4", "M5", "M6", "M6b", "M7", "M7b", "M7c", "M8", "M9"]
-    ape = {m: F.avg(F.abs(F.col(f"preds.{m}") / F.col("total_price_usd") - 1)).alias(m) for m in names}
+    ape = {m: F.avg(F.abs(F.col(f"preds.{m}") / F.col("actual") - 1)).alias(m) for m in names}
     mape = wide.agg(*ape.values()).first()
     assert mape["M7"] < mape["M6"] < mape["M0"] and mape["M7c"] < mape["M7b"] < mape["M0"] and mape["M5"] < mape["M0"]
     assert mape["M2"] < mape["M1"] and mape["M6"] < mape["M6b"] and all(mape[m] is not None for m in names)
