@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
+import regex
 from conftest import SF001
 from tokenizers import Tokenizer
 
@@ -45,7 +46,8 @@ def test_every_token_is_one_token(counter):
 
 
 def test_every_character(library, counter):
-    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    known = regex.compile(r"[\p{L}\p{N}\s]").match  # of the rest, which is all alike, one in sixteen
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 16 == 0 or known(chr(c)))]
     for at in range(0, len(chars), 1024):
         text = "".join(f"a{c}1 {c}" for c in chars[at:at + 1024])
         if counter.counts(text)[-1] != tokens(library, text):
