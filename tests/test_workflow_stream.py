@@ -43,8 +43,8 @@ def test_lifecycle_rules(spark):
 
 def test_m0_coherence(spark):
     # strongly planted effects hold even on the smallest table
-    d = {r["check"]: r["passed"] for r in E.queries()["l03_coherence_deterministic"](spark, SF001).collect()}
+    d = {r["check"]: r["passed"] for r in E.queries()["l03_deterministic_m0"](spark, SF001).collect()}
     assert d["material_ordering"] and d["rush_premium"] and d["quantity_discount"]
     # with 60k rows every check passes
-    r = E.queries()["l03_coherence_summary"](spark, SF01).first()
+    r = E.queries()["l03_summary_m0"](spark, SF01).first()
     assert r["total_count"] == 10 and r["pass_count"] == 10
