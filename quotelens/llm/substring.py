@@ -385,12 +385,13 @@ def _passages(texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """``repeated_passages`` with the number ``v`` of the document's text."""
     copies = stage(_copies(texts), "copies")
     seeds = _seeds(texts).withColumn("v", F.shiftright("at", SHIFT).cast("int"))
-    seeds = stage(seeds.join(copies.select("doc", "v"), ["doc", "v"], "left_anti").drop("v"), "seeds")
+    # the small sides are hashed by partition, so that the seeds need no sort
+    seeds = stage(seeds.join(copies.select("doc", "v").hint("shuffle_hash"), ["doc", "v"], "left_anti").drop("v"), "seeds")
     whole = stage(_whole(copies, seeds.where("h is null"), min_words), "whole")
     kept = seeds.where("h is not null")
     hubs = kept.groupBy("h").agg(F.min(F.struct("doc", "at", "ctx")).alias("first"), F.max("doc").alias("top")).where("top > first.doc") \
         .select("h", F.col("first.doc").alias("hub"), F.col("first.at").alias("hub_at"), F.col("first.ctx").alias("hub_ctx"))
-    shared = kept.join(hubs, "h").select("doc", "at", "hub", "hub_at", _agreeing("ctx", "hub_ctx").alias("alike"))
+    shared = kept.join(hubs.hint("shuffle_hash"), "h").select("doc", "at", "hub", "hub_at", _agreeing("ctx", "hub_ctx").alias("alike"))
     shared = stage(shared, "shared")
     drop_stage(seeds)
     found = _aligned(shared, texts, min_words, similarity)
