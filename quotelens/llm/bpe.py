@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, small_batches, stage, write_shared_bytes
+from .common import drop_stage, giving_back, small_batches, stage, write_shared_bytes
 
 # Letters and numbers that newer Unicode tables add and the tokenizers library does not know as such.
 UNKNOWN_LETTERS = (
@@ -342,7 +342,7 @@ def word_counts(df: DataFrame, spec: dict, text_col: str) -> DataFrame:
         yield flush()
 
     return df.select(F.col(f"`{text_col}`").cast("string").alias("text")) \
-        .mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        .mapInArrow(giving_back(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(df: DataFrame, spec: dict, text_col: str = "text", size: int = 50_000) -> bytes:
@@ -372,13 +372,10 @@ def _mapped(df: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int
     uri = write_shared_bytes(spark, build_lexicon(docs, spec, "text", size), "words.lexicon")
     spark.sparkContext.addFile(uri)
     name = uri.rsplit("/", 1)[1]
-    share = spark.sparkContext.broadcast({"spec": spec})
+    share = spark.sparkContext.broadcast(spec)
 
     def run(batches):
-        held = share.value  # lives as long as the worker, and so does what the codec remembers
-        codec = held.get("codec")
-        if codec is None:
-            codec = held["codec"] = Codec(held["spec"], Lexicon.open(SparkFiles.get(name)))
+        codec = Codec(share.value, Lexicon.open(SparkFiles.get(name)))  # what it remembers ends with the task
         for b in batches:
             ids = b.column(0).to_pylist()
             for at in range(0, len(ids), 512):
@@ -388,7 +385,7 @@ def _mapped(df: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int
 
     names = [c.split()[0] for c in schema.split(", ")]
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, schema.replace("doc_id any", f"doc_id {kind}"))
+    return docs.mapInArrow(giving_back(run), schema.replace("doc_id any", f"doc_id {kind}"))
 
 
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import giving_back, held_out, small_batches
 
 UNDETERMINED = "und"
 
@@ -186,7 +186,7 @@ def identify(df: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                     ["doc_id", "lang_pred", "score"])
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+    return docs.mapInArrow(giving_back(run), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def drop_undetermined(df: DataFrame, words: dict[str, list[str]], text_col: str = "text") -> DataFrame:
@@ -203,4 +203,4 @@ def drop_undetermined(df: DataFrame, words: dict[str, list[str]], text_col: str
                 part = b.slice(first, 512)
                 known = [model.predict(t)[0] != UNDETERMINED for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(known, pa.bool_()))
-    return small_batches(df).mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(giving_back(run), df.schema)

@@ -1,7 +1,9 @@
+import gc
 import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -72,3 +74,21 @@ def test_edge_cases(small, empty, library):
 def test_other_tokenizer_files_are_refused():
     with pytest.raises((ValueError, KeyError)):
         bpe.load_spec(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_codec_ends_with_its_task(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "some plain words"), (2, None)], "doc_id long, text string")
+    given = []
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **k: given.append(f) or real(self, f, *a, **k))
+    bpe.digests(df, PATH)
+
+    def codecs():
+        gc.collect()
+        return sum(type(x).__name__ == "Codec" for x in gc.get_objects())
+
+    before = codecs()
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["some plain words", None]})
+    rows = [r for b in given[-1]([batch]) for r in b.to_pylist()]
+    assert [r["n_tokens"] for r in rows] == [len(bpe.Codec(bpe.load_spec(PATH)).encode("some plain words")), 0]
+    assert codecs() == before  # an idle worker holds neither tables nor remembered words
