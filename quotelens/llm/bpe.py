@@ -274,6 +274,14 @@ class Codec:
 
     def split(self, part: str) -> list[str] | tuple:
         """The words of a run without white space and added tokens, normalised."""
+        if part.isascii():
+            part = part.lower()
+            if part.isalpha():
+                return (part,)
+            word = part.rstrip(",.")
+            if len(word) == len(part) - 1 and word.isalpha():
+                return word, part[-1]
+            return self.words(part)
         part = self.normalise(part)
         if part.isalpha():
             return (part,) if max(part) < "\u0558" else self.words(part)
@@ -325,6 +333,10 @@ def word_counts(df: DataFrame, spec: dict, text_col: str) -> DataFrame:
         def flush():
             got: Counter = Counter()
             for c, n in seen.items():
+                if c.isascii() and c.isalpha():
+                    if len(c) < 64:
+                        got[c.lower()] += n
+                    continue
                 for part in codec.cut.split(c) if codec.cut and "<" in c else (c,):
                     if part not in codec.added:
                         for w in codec.split(part) if part else ():

@@ -47,6 +47,13 @@ def test_codec_equals_the_library(library):
         assert codec.decode(ids) == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_ascii_runs_are_split_without_normalising(monkeypatch):
+    codec, r = bpe.Codec(bpe.load_spec(PATH)), random.Random(4)
+    want = {t: list(codec.words(t.lower())) for t in ("".join(r.choices("abzAZ019.,'!-_sS", k=r.randint(1, 9))) for _ in range(5000))}
+    monkeypatch.setattr(codec, "normalise", None)
+    assert all(list(codec.split(t)) == words for t, words in want.items())
+
+
 def test_query_equals_the_library(spark, library):
     got = {r["doc_id"]: r for r in queries.QUERIES["op2_bpe_digests"](spark, SF001).collect()}
     docs = spark.read.parquet(f"{SF001}/documents.parquet").collect()
