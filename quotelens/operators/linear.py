@@ -3,7 +3,9 @@
 Pass 1 (one scan): every task accumulates A'A for A = [1, features,
 targets] per (outer fold, inner fold) cell with numpy (``mapInArrow``);
 the cells are summed by an aggregate. Only (#cells x width^2) numbers
-reach the driver -- bounded by the feature count, never by rows.
+reach the driver -- bounded by the feature count, never by rows. A task
+is given the few columns that the others follow from (``compact``) and
+makes the matrix itself (``expand``); no design row is shuffled or written.
 
 * Ridge (M1, M2, M3a, M3b): columns standardized with the training
   fold's population std, intercept free, alpha from logspace(-2, 4, 20)
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.features import feature_columns, feature_names
+from ..functions.features import feature_columns, feature_names, label_code
 from .cv import discount_slopes
 from .quantiles import weighted_quantiles
 
@@ -70,12 +72,11 @@ def design(q: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[st
         extra[f"lq_x_{p}"] = F.when(F.coalesce(F.col("base_part_type"), F.lit(S.UNKNOWN_PART)) == p,
                                     F.col("log_quantity")).otherwise(F.lit(0.0))
     names = base + list(extra)
-    inner = F.pmod(F.conv(F.substring(F.md5(F.col("quote_id")), 9, 8), 16, 10).cast("bigint"), F.lit(K)).cast("int")
     cols = [F.col(f"`{c}`").cast("double").alias(_safe(c)) for c in base] + \
            [e.cast("double").alias(_safe(n)) for n, e in extra.items()]
     meta = [F.col("total_price_usd").alias("actual"), "material", "part_description", "base_part_type",
             F.col("quantity").alias("quantity"), "estimator", F.col("rush_raw").alias("rush_flag"), "quote_date"]
-    out = d.select("quote_id", "fold", inner.alias("inner"), F.coalesce(F.col("base_part_type"),
+    out = d.select("quote_id", "fold", inner_fold().alias("inner"), F.coalesce(F.col("base_part_type"),
                    F.lit(S.UNKNOWN_PART)).alias("part"), *keep, *meta, *cols)
     return out, names
 
@@ -88,10 +89,66 @@ def matrix(batch: pa.RecordBatch, cols: list[str]) -> np.ndarray:
     return a
 
 
-def cell_grams(dsg: DataFrame, names: list[str]) -> np.ndarray:
-    """(K, K, w, w) array of A'A per (fold, inner) cell, A = [1, cols]."""
-    cols = [_safe(n) for n in names]
-    w = len(cols) + 1
+#: Level columns: the categorical feature and the code that each stands for.
+LEVELS = {f"{c}_{v}": (c, i) for c in ("base_part_type", "material", "process", "estimator")
+          for i, v in enumerate(S.LABEL_CATEGORIES[c])}
+
+
+def design_names() -> list[str]:
+    """The columns of ``design``, in order."""
+    base = feature_names("onehot", True)
+    return (base + ["days_since_epoch"] + [f"rush_x_{c}" for c in base if c.startswith("material_")]
+            + [f"rush_x_{c}" for c in base if c.startswith("base_part_type_")]
+            + ["tier_x_log_qty", "rush_x_lead_time", "y_price", "y_log_price", "y_log_up"] + [f"lq_x_{p}" for p in PARTS])
+
+
+def inner_fold() -> Column:
+    """The lasso's inner fold of a quote."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col("quote_id")), 9, 8), 16, 10).cast("bigint"), F.lit(K)).cast("int")
+
+
+def compact(q: DataFrame, *others: Column) -> DataFrame:
+    """``fold``, the ``others`` and the columns that ``expand`` makes a design
+    matrix of: numbers as they are, categories as codes."""
+    named = q.withColumn("_part", F.coalesce("base_part_type", F.lit(S.UNKNOWN_PART)))
+    days = F.datediff(F.col("quote_date"), F.lit("2023-01-01").cast("date"))
+    rows = [*feature_columns("label", True), label_code("_part", PARTS).alias("part"), days.alias("days_since_epoch"),
+            F.col("total_price_usd").alias("y_price"), F.log("total_price_usd").alias("y_log_price"), F.log("unit_price").alias("y_log_up")]
+    return named.select("fold", *others, *[c.cast("double") for c in rows])
+
+
+def expand(columns: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
+    """Design columns, one a row of the result, from those of ``compact``
+    (null: NaN)."""
+    rush, lq = columns["rush_job"], columns["log_quantity"]
+
+    def one(name: str) -> np.ndarray:
+        if name in LEVELS:
+            of, code = LEVELS[name]
+            return columns[of] == code
+        if name == "tier_x_log_qty":
+            return columns["material_cost_tier"] * lq
+        if name == "rush_x_lead_time":
+            return rush * columns["lead_time_weeks"]
+        if name.startswith("rush_x_"):
+            return rush * one(name[len("rush_x_"):])
+        if name.startswith("lq_x_"):
+            return np.where(columns["part"] == PARTS.index(name[len("lq_x_"):]), lq, 0.0)
+        return columns[name]
+
+    out = np.empty((len(names), len(rush)))
+    for i, name in enumerate(names):
+        out[i] = one(name)
+    return out
+
+
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+
+
+def cell_grams(q: DataFrame, names: list[str]) -> np.ndarray:
+    """(K, K, w, w) array of A'A per (fold, inner) cell, A = [1, columns]."""
+    w = len(names) + 1
     schema = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("inner", T.IntegerType()),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
 
@@ -100,12 +157,15 @@ def cell_grams(dsg: DataFrame, names: list[str]) -> np.ndarray:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = batch.column("fold").to_numpy(zero_copy_only=False) * K + batch.column("inner").to_numpy(zero_copy_only=False)
-            a, order = matrix(batch, cols), np.argsort(cell, kind="stable")
-            a, cell = a[order], cell[order]
+            columns = _arrays(batch)
+            cell = columns.pop("fold") * K + columns.pop("inner")
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            a = np.ones((w, len(cell)))
+            a[1:] = expand({c: v[order] for c, v in columns.items()}, names)
             for c in np.unique(cell):
-                am = a[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
-                acc[c // K, c % K] += am.T @ am
+                am = a[:, np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
+                acc[c // K, c % K] += am @ am.T
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(K, dtype=np.int32), K)), pa.array(np.tile(np.arange(K, dtype=np.int32), K)),
              pa.array(list(acc.reshape(K * K, w * w)), pa.list_(pa.float64()))], ["fold", "inner", "g"])
@@ -116,7 +176,7 @@ def cell_grams(dsg: DataFrame, names: list[str]) -> np.ndarray:
                          "g": pa.array([total], pa.list_(pa.float64()))})
 
     # the tasks' cells are added as packed arrays in two rounds, so that no group holds those of all tasks
-    g = dsg.select("fold", "inner", *cols).mapInArrow(part, schema)
+    g = compact(q, inner_fold().alias("inner")).mapInArrow(part, schema)
     g = g.withColumn("salt", F.spark_partition_id() % 64).groupBy("fold", "inner", "salt").applyInArrow(add, schema)
     out = np.zeros((K, K, w * w))
     for r in g.groupBy("fold", "inner").applyInArrow(add, schema).collect():  # K*K arrays bounded by the feature count
@@ -255,40 +315,49 @@ def _target(model: str, k: int, gs, rush, pslopes) -> dict[str, float]:
     return comb
 
 
-def loo_errors(dsg: DataFrame, names: list[str], plans: dict) -> dict:
+def loo_errors(q: DataFrame, plans: dict) -> dict:
     """Pass 2: sum of squared LOO errors per (model, fold, alpha).
     ``plans[(model, k)]`` holds mu, sd, V, lam, c, ybar, n, target comb."""
     cols = sorted({c for pl in plans.values() for c in pl["x"] + list(pl["comb"])})
-    safe = [_safe(c) for c in cols]
     pos = {c: i for i, c in enumerate(cols)}
     na = len(RIDGE_ALPHAS)
     keys = list(plans)
     schema = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("sse", T.ArrayType(T.DoubleType()))])
 
+    by_columns: dict = {}  # the folds' projections of the models with the same columns, side by side
+    for key, pl in plans.items():
+        by_columns.setdefault(tuple(pl["x"]), {}).setdefault(key[1], []).append(key)
+    turns = {x: (np.concatenate([plans[of[0]]["V"] / plans[of[0]]["sd"][:, None] for of in folds.values()], 1),
+                 np.concatenate([(plans[of[0]]["mu"] / plans[of[0]]["sd"]) @ plans[of[0]]["V"] for of in folds.values()]))
+             for x, folds in by_columns.items()}
+
     def part(batches):
         acc = np.zeros((len(keys), na))
         for batch in batches:
-            a = matrix(batch, safe)[:, 1:]
-            fo = batch.column("fold").to_numpy(zero_copy_only=False)
-            shared: dict = {}  # models with the same columns share projections and leverages
-            for ki, key in enumerate(keys):
-                pl = plans[key]
-                group = (key[1], tuple(pl["x"]))
-                if group not in shared:
-                    m = fo != key[1]
-                    z = (a[m][:, [pos[c] for c in pl["x"]]] - pl["mu"]) / pl["sd"]
-                    qv = z @ pl["V"]
+            columns = _arrays(batch)
+            fo = columns.pop("fold")
+            a = expand(columns, cols)
+            for x, folds in by_columns.items():
+                turn, shift = turns[x]
+                projected = a[[pos[c] for c in x]].T @ turn
+                projected -= shift
+                for i, (k, of) in enumerate(folds.items()):
+                    own, pl = fo == k, plans[of[0]]  # the fold's own rows are left out
+                    qv = projected[:, i * len(x):(i + 1) * len(x)]
                     den = pl["lam"][None, :] + RIDGE_ALPHAS[:, None]           # (na, p)
-                    shared[group] = m, qv, den, 1.0 - 1.0 / pl["n"] - (qv ** 2) @ (1.0 / den).T
-                m, qv, den, rest = shared[group]
-                if m.any():
-                    y = a[m][:, [pos[c] for c in pl["comb"]]] @ np.array(list(pl["comb"].values()))
-                    yhat = pl["ybar"] + qv @ (pl["c"][None, :] / den).T         # (rows, na)
-                    acc[ki] += (((y[:, None] - yhat) / rest) ** 2).sum(axis=0)
+                    rest = 1.0 - 1.0 / pl["n"] - (qv * qv) @ (1.0 / den).T
+                    for key in of:
+                        pl = plans[key]
+                        y = np.array(list(pl["comb"].values())) @ a[[pos[c] for c in pl["comb"]]]
+                        e = qv @ (pl["c"][None, :] / den).T                     # (rows, na)
+                        np.subtract((y - pl["ybar"])[:, None], e, out=e)
+                        e /= rest
+                        e[own] = 0.0
+                        acc[keys.index(key)] += np.einsum("ij,ij->j", e, e)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(list(acc), pa.list_(pa.float64()))],
                                          ["key", "sse"])
 
-    r = dsg.select("fold", *safe).mapInArrow(part, schema) \
+    r = compact(q).mapInArrow(part, schema) \
         .select("key", F.posexplode("sse").alias("a", "v")).groupBy("key", "a").agg(F.sum("v").alias("v"))
     out = {}
     for row in r.toLocalIterator():  # (#models x K x #alphas) numbers
@@ -300,11 +369,8 @@ def fit_linear(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> list[di
     """Fit the linear family on every training fold and, as fold ``ALL``, on
     all rows: per model and fold the coefficients with what scoring needs to
     turn their sum into a price."""
-    from .stage import write_stage
-
-    dsg, names = design(q)
-    dsg = write_stage(dsg, "design")
-    grams = cell_grams(dsg, names)
+    names = design_names()
+    grams = cell_grams(q, names)
     gs, rush, pslopes = two_stage_params(q)
     fits, plans = {}, {}
     for model in models:
@@ -319,7 +385,7 @@ def fit_linear(q: DataFrame, models=("M1", "M2", "M3a", "M3b", "M4")) -> list[di
             plans[(model, k)] = {"x": x, "comb": comb, "mu": mu, "sd": sd, "V": vec, "lam": lam,
                                  "c": vec.T @ zy, "ybar": ybar, "n": v.n, "gz": gz, "zy": zy, "yyc": yyc}
     if plans:
-        sse = loo_errors(dsg, names, plans)
+        sse = loo_errors(q, plans)
         for key, pl in plans.items():
             errs = [sse.get((key, a), np.inf) for a in range(len(RIDGE_ALPHAS))]
             alpha = float(RIDGE_ALPHAS[int(np.argmin(errs))])
